@@ -1,8 +1,10 @@
 """Queries of the training-data operators by name, and their SQL where SQL can express them."""
 
-from triadic.llm import exact_dedup
+from triadic.llm import exact_dedup, mixing, secrets
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op7_secret_scans": secrets.op7_secret_scans,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 ORACLES = {
