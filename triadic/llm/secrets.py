@@ -58,19 +58,15 @@ HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer"
 LONGEST_WORD = 16
 
 
-def _adjacent() -> dict[str, set[str]]:
-    """Keys that touch: the neighbours in a row, and those below or above at the same or the next place."""
-    out: dict[str, set[str]] = {}
-    for r, row in enumerate(KEY_ROWS):
-        for i, key in enumerate(row):
-            near = {row[j] for j in (i - 1, i + 1) if 0 <= j < len(row)}
-            for s, shift in ((r - 1, 1), (r + 1, -1)):
-                if 0 <= s < len(KEY_ROWS):
-                    other = KEY_ROWS[s]
-                    low = i if r and s else i + shift  # the digit row starts one key further left
-                    near |= {other[j] for j in (low, low + shift) if 0 <= j < len(other)}
-            out[key] = near
-    return out
+def _adjacent() -> dict[str, dict[str, tuple[int, int]]]:
+    """Keys that touch, with the direction as rows down and places right: neighbours in a row, and the two keys above and below.
+
+    Each row starts half a key (the letters: one key) further right, so the key below place i is i or i - 1.
+    """
+    place = {key: (r, i + (r > 0)) for r, row in enumerate(KEY_ROWS) for i, key in enumerate(row)}
+    at = {where: key for key, where in place.items()}
+    steps = ((0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1))
+    return {key: {at[r + dr, i + di]: (dr, di) for dr, di in steps if (r + dr, i + di) in at} for key, (r, i) in place.items()}
 
 
 ADJACENT = _adjacent()
@@ -111,8 +107,7 @@ def guess_cost(value: str, words: dict[str, int] | None = None, longest: int = L
             segments[m.end()].append((i, math.log10(366 * years) if m.end() - i > 4 else math.log10(years)))
         j = i + 1
         turns, direction = 0, None
-        while j < n and low[j] in ADJACENT.get(low[j - 1], ()):
-            step = ord(low[j]) - ord(low[j - 1])
+        while j < n and (step := ADJACENT.get(low[j - 1], {}).get(low[j])):
             turns, direction = turns + (step != direction), step
             j += 1
             if j - i >= 3:
