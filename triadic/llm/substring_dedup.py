@@ -3,32 +3,35 @@
 Task: find each position of the corpus at which a string of `length` bytes starts that also starts at
 another position, and remove every byte that such a string covers.
 
-A suffix array built by prefix doubling ranks all positions by their first h bytes, then sorts the pairs
-(rank at i, rank at i + h) into ranks by 2h bytes, and drops what is unique, until h reaches the
-threshold. Sorting one row for every byte, round after round, would move many times the input, so the
-early rounds here sort a sample of positions that cannot miss a repeat, and the last round sorts single
-positions only where the earlier ones have left a doubt:
+A suffix array built by prefix doubling ranks all positions by their first h bytes, sorts the pairs (rank
+at i, rank at a growing offset from i) into ranks by more bytes, and drops what is unique, until h reaches
+the threshold. One sorted row for every byte, round after round, would move many times the input, so here
+a row stands for a cell of neighbouring positions, and cells shrink as h grows:
 
-* Sample. Every window of `window` neighbouring 16-byte grams names its leftmost gram of least hash its
+* Anchors. Every window of `window` neighbouring 16-byte grams names its leftmost gram of least hash its
   anchor. Equal strings of `length` bytes have their anchors at equal offsets, so a position i is known by
-  its anchor p and i's offset to it, and repeats are looked for among anchors (about 2 in window + 1
-  positions).
-* First round, h = length - window + 1: all strings whose anchor is p hold the h bytes from p. The pairs of
-  names of their two halves are grouped; an anchor with a unique pair is dropped with all its positions.
-* Second round, reaching window - 1 bytes to the left and length bytes to the right of p: anchors that agree
-  on this pair of sides agree on all their positions, so these are repeats. One anchor of each such class
-  goes on, and only where there is another class with the same first-round pair.
-* Last round, h = length: each position of the anchors that went on gives the pair of names of its two
-  halves; pairs that occur twice are repeats.
-
-A name is a 64-bit polynomial hash, and every decision to remove rests on a pair of names, 128 bits. The
-names stand for the dense ranks of the classical algorithm, and grouping by pairs for sorting them.
-
-Texts are UTF-8 bytes, null is empty, and matches never cross documents. Documents are known by doc_id
-(which may be null) and a hash of the text; repeated rows are further occurrences, so they are removed
-entirely if they are long enough, and each gets its row. Texts are hashed in pieces of bounded size, so
-memory does not follow the longest text but for a few bytes a byte of it. Input columns other than doc_id
-and text are not read. An empty table gives an empty result.
+  its anchor p and the offset p - i, and a repeat can be looked for among anchors without missing any.
+* A round has cells of g neighbouring offsets of an anchor: first g = window (all of an anchor's positions),
+  then 16, then 1. All strings that start in a cell share their h = length - g + 1 middle bytes. Cells are
+  grouped by the rank of these bytes; a cell whose rank is unique is dropped with all its positions.
+* Where two cells also agree on the bytes before and after, as far as any of their strings reaches,
+  all their positions are repeats: they are settled, and one cell speaks for its class in the next round.
+  Classes go on only where another class shares their middle bytes. At g = 1 there is nothing before or after,
+  the pair is that of the string's halves, and the threshold is reached.
+
+Ranks are 64-bit polynomial names of bytes instead of dense ranks, grouping by pairs stands for sorting
+them, and each decision to remove rests on a pair, 128 bits.
+
+Data moves as follows. Anchors' first names are counted, and anchors whose name is not unique go to their
+documents, once, together with the texts (packed by zstd), into a checkpoint in the shared folder that is
+partitioned by document. Rounds send names only, and what they decide comes back to that partitioning, so
+the texts are not shuffled again. Common passages and large groups of copies add up in partial
+aggregates, and joins on names are equi-joins whose hot keys adaptive execution can split.
+
+Texts are UTF-8 bytes, null is empty, and matches never cross documents. Documents are known by a hash of
+doc_id (which may be null) and text and a second one of the text; repeated rows are further occurrences, so
+they are removed entirely if they are long enough, and each gets its row. Texts are hashed in pieces of
+bounded size. Input columns other than doc_id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +42,9 @@ from pyspark.sql import functions as F
 
 from triadic.llm.common import clean_text, cut, mix64, slices_by_bytes, utf8_buffer
 
-LENGTH, WINDOW, GRAM, PIECE = 400, 150, 16, 1 << 20
+LENGTH, WINDOW, GRAM, PIECE = 400, 200, 16, 1 << 20
+#: Offsets in a cell after the first round, whose cells have `window`.
+CELLS = (16, 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = (1 << 22) - 1
 
@@ -81,113 +86,138 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(backward[: n - w + 1], forward[w - 1 : n])
 
 
-def anchor_rows(raw: np.ndarray, bounds: np.ndarray, length: int, window: int, gram: int, core_only: bool = False):
+def anchor_rows(raw: np.ndarray, bounds: np.ndarray, length: int, window: int, gram: int):
     """Anchors of the documents raw[bounds[d]:bounds[d + 1]].
 
     Gives arrays: document, anchor, first and last start that belong to it (all but the document in bytes
-    from the document's start), the first-round name and the two second-round names.
+    from the document's start), and the name of the bytes that all strings with this anchor share.
     """
-    n = len(raw)
-    if n < length or not (np.diff(bounds) >= length).any():
+    count = np.maximum(np.diff(bounds) - length + 1, 0)
+    if not count.any():
         return None
     sums = Hashes(raw)
     key = sums.grams(gram)
     key = (key & ~np.uint64(_PLACE)) | np.arange(len(key), dtype=np.uint64)
     least = (_sliding_least(key, window) & np.uint64(_PLACE)).astype(np.int64)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.maximum(np.diff(bounds) - length + 1, 0))
-    count = np.maximum(np.diff(bounds) - length + 1, 0)
-    first = np.cumsum(count) - count
-    start = np.arange(len(doc)) - first[doc] + bounds[:-1][doc]
+    doc = np.repeat(np.arange(len(bounds) - 1), count)
+    start = np.arange(len(doc)) - (np.cumsum(count) - count)[doc] + bounds[:-1][doc]
     anchor = least[start]
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
     tail = np.r_[head[1:], len(start)] - 1
     doc, p, lo, hi = doc[head], anchor[head], start[head], start[tail]
-    half = (length - window + 1) // 2
-    core = mix64(sums.names(p, p + half) * np.uint64(3) + sums.names(p + half, p + length - window + 1))
     at = bounds[:-1][doc]
-    if core_only:
-        return doc, p - at, lo - at, hi - at, core
-    left = sums.names(np.maximum(at, p - window + 1), p)
-    right = sums.names(p, np.minimum(bounds[1:][doc], p + length))
-    return doc, p - at, lo - at, hi - at, core, left, right
+    return doc, p - at, lo - at, hi - at, sums.names(p, p + length - window + 1)
 
 
-def _long_anchor_rows(raw: np.ndarray, length: int, window: int, gram: int, piece: int, core_only: bool):
+def _long_anchor_rows(raw: np.ndarray, length: int, window: int, gram: int, piece: int):
     """anchor_rows of one long document, in pieces that overlap; an anchor on a border is put together again."""
     n, parts = len(raw), []
     for s in range(0, n - length + 1, piece):
-        lo_byte = max(0, s - window)
-        hi_byte = min(n, s + piece + window + length)
-        got = anchor_rows(raw[lo_byte:hi_byte], np.array([0, hi_byte - lo_byte]), length, window, gram, core_only)
+        first, last = max(0, s - window), min(n, s + piece + window + length)
+        got = anchor_rows(raw[first:last], np.array([0, last - first]), length, window, gram)
         if got is None:
             continue
-        doc, p, lo, hi, *names = got
-        p, lo, hi = p + lo_byte, np.maximum(lo + lo_byte, s), np.minimum(hi + lo_byte, s + piece - 1)
+        doc, p, lo, hi, name = got
+        lo, hi = np.maximum(lo + first, s), np.minimum(hi + first, s + piece - 1)
         keep = lo <= hi
-        parts.append([x[keep] for x in (doc, p, lo, hi, *names)])
+        parts.append([x[keep] for x in (doc, p + first, lo, hi, name)])
     if not parts:
         return None
-    doc, p, lo, hi, *names = (np.concatenate(x) for x in zip(*parts))
-    new = np.r_[True, p[1:] != p[:-1]]
-    head = np.flatnonzero(new)
+    doc, p, lo, hi, name = (np.concatenate(x) for x in zip(*parts))
+    head = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
     tail = np.r_[head[1:], len(p)] - 1
-    return (doc[head], p[head], lo[head], hi[tail], *(x[head] for x in names))
+    return doc[head], p[head], lo[head], hi[tail], name[head]
 
 
-def _scan(length: int, window: int, gram: int, piece: int, core_only: bool):
+def _scan(length: int, window: int, gram: int, piece: int, name_only: bool):
+    """(key, mark, text) -> a row for each anchor."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, marks = batch.column(0), batch.column(1)
             raw, bounds = utf8_buffer(batch.column(2))
             for a, b in slices_by_bytes(np.diff(bounds), piece):
                 part, own = raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                got = anchor_rows(part, own, length, window, gram, core_only) if len(part) <= 2 * piece else _long_anchor_rows(part, length, window, gram, piece, core_only)
+                got = anchor_rows(part, own, length, window, gram) if len(part) <= 2 * piece else _long_anchor_rows(part, length, window, gram, piece)
                 if got is None:
                     continue
-                doc, p, lo, hi, core, *sides = got
-                columns = [pa.array(core.view(np.int64))]
-                names = ["core"]
-                if not core_only:
+                doc, p, lo, hi, name = got
+                columns, names = [pa.array(name.view(np.int64))], ["name"]
+                if not name_only:
                     at = pa.array(doc + a)
-                    columns += [pa.array(x.view(np.int64)) for x in sides] + [ids.take(at), marks.take(at)] + [pa.array(x.astype(np.int32)) for x in (p, lo, hi)]
-                    names += ["left", "right", "doc_id", "mark", "p", "lo", "hi"]
+                    columns += [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (p, lo, hi))]
+                    names += ["key", "mark", "p", "lo", "hi"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _single_starts(length: int):
-    """(doc_id, mark, text, doubts) -> each start in doubt, with the names of its two halves."""
+def _pack(batches):
+    import pyarrow as pa
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [squeeze.compress((t.as_py() or "").encode()) for t in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["key", "mark", "doc_id", "packed"])
+
+
+def _unpacked(value) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(value.as_py())
+
+
+def cell_rows(raw: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, cell: int, length: int):
+    """The cells of `cell` offsets in which starts lo to hi of anchors p lie: p, lo, hi and a pair of names.
+
+    Of cells with one offset the names are those of the two halves of its string; else the first is that of
+    the bytes that all strings share, the second that of all bytes before and after them that a string reaches.
+    """
+    first, last = (p - hi) // cell, (p - lo) // cell
+    n = last - first + 1
+    row = np.repeat(np.arange(len(p)), n)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+    p, lo, hi = p[row], np.maximum(lo[row], p[row] - j * cell - cell + 1), np.minimum(hi[row], p[row] - j * cell)
+    origin = p - j * cell
+    begin, end = np.maximum(origin - cell + 1, 0), np.minimum(origin + length, len(raw))
+    sums = Hashes(raw)
+    shared = origin + length - cell + 1
+    # The cell's place is part of its name: the same bytes seen from another anchor hold other starts.
+    place = mix64(j.astype(np.uint64))
+    if cell == 1:
+        return p, lo, hi, sums.names(origin, origin + length // 2) + place, sums.names(origin + length // 2, shared)
+    around = sums.names(begin, origin) * np.uint64(3) + sums.names(shared, end)
+    return p, lo, hi, sums.names(origin, shared) + place, mix64(around)
+
+
+def _cells(cell: int, length: int, window: int, piece: int):
+    """(key, mark, packed, doubts) -> a row for each cell of the anchors in doubt."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for i in range(batch.num_rows):
-                raw, _ = utf8_buffer(batch.column(2).slice(i, 1))
+                raw = np.frombuffer(_unpacked(batch.column(2)[i]), np.uint8)
                 doubts = batch.column(3)[i].values
-                lo, hi = (np.asarray(doubts.field(k)) for k in ("lo", "hi"))
-                n = hi - lo + 1
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                for c in range(0, len(at), 1 << 17):
-                    some = at[c : c + (1 << 17)].astype(np.int64)
-                    order = np.argsort(some)
-                    some = some[order]
-                    base = int(some[0])
-                    # Neighbouring starts share a stretch; far ones are hashed apart, so memory stays bounded.
-                    for stretch in np.split(some, np.flatnonzero(np.diff(some) > 4 * length) + 1):
-                        base = int(stretch[0])
-                        sums = Hashes(raw[base : int(stretch[-1]) + length])
-                        s = stretch - base
-                        first, second = sums.names(s, s + length // 2), sums.names(s + length // 2, s + length)
-                        take = pa.array(np.full(len(stretch), i))
+                p, lo, hi = (np.asarray(doubts.field(k)).astype(np.int64) for k in ("p", "lo", "hi"))
+                order = np.argsort(p, kind="stable")
+                p, lo, hi = p[order], lo[order], hi[order]
+                limit = max(1, (1 << 18) * cell // window)  # anchors whose cells are written at once
+                for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p // piece)) + 1):
+                    for c in range(0, len(part), limit):
+                        k = part[c : c + limit]
+                        # One byte more at an end that is not the text's own, as a name must not seem cut there.
+                        base, end = max(0, int(p[k[0]]) - window - 1), min(len(raw), int(p[k[-1]]) + length + 1)
+                        at, a, b, *names = cell_rows(raw[base:end], p[k] - base, lo[k] - base, hi[k] - base, cell, length)
+                        take = pa.array(np.full(len(at), i))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(stretch.astype(np.int32))],
-                            ["first", "second", "doc_id", "mark", "at"],
+                            [*(pa.array(x.view(np.int64)) for x in names), batch.column(0).take(take), batch.column(1).take(take), *(pa.array((x + base).astype(np.int32)) for x in (at, a, b))],
+                            ["first", "second", "key", "mark", "p", "lo", "hi"],
                         )
 
     return run
@@ -210,19 +240,12 @@ def _cut_out(length: int):
 
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1), batch.column(2)):
-                raw = (text.as_py() or "").encode()
-                if found.is_valid:
-                    lo, hi = (np.asarray(found.values.field(k)) for k in ("lo", "hi"))
-                else:
-                    lo = hi = np.zeros(0, np.int32)
-                a, b = covered(lo, hi, length)
-                kept, last = [], 0
-                for s, e in zip(a.tolist(), b.tolist()):
-                    kept.append(raw[last:s])
-                    last = e
-                kept.append(raw[last:])
-                out.append((len(raw), [{"start": s, "end": e} for s, e in zip(a.tolist(), b.tolist())], b"".join(kept)))
+            for packed, found in zip(batch.column(1), batch.column(2)):
+                raw = _unpacked(packed)
+                lo, hi = (np.asarray(found.values.field(k)) for k in ("lo", "hi")) if found.is_valid else (np.zeros(0, np.int32),) * 2
+                a, b = (x.tolist() for x in covered(lo, hi, length))
+                kept = [raw[s:e] for s, e in zip([0, *b], [*a, len(raw)])]
+                out.append((len(raw), [{"start": s, "end": e} for s, e in zip(a, b)], b"".join(kept)))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], span), pa.array([x[2] for x in out], pa.binary())],
@@ -232,26 +255,32 @@ def _cut_out(length: int):
     return run
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE) -> DataFrame:
-    """(doc_id, mark, text) -> (doc_id, mark, lo, hi): ranges of starts of repeated strings."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "mark", "text")
-    alive = texts.mapInArrow(_scan(length, window, gram, piece, True), "core long").groupBy("core").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("core")
-    rows = texts.mapInArrow(_scan(length, window, gram, piece, False), f"core long, left long, right long, doc_id {id_type}, mark int, p int, lo int, hi int")
-    rows = cut(rows.join(alive, "core", "left_semi"))
-    place = F.struct("doc_id", "mark", "p", "lo", "hi")
-    classes = cut(rows.groupBy("core", "left", "right").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")))
-    same = rows.join(classes.where("n > 1").select("core", "left", "right"), ["core", "left", "right"], "left_semi").select("doc_id", "mark", "lo", "hi")
-    several = classes.groupBy("core").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("core")
-    doubts = classes.join(several, "core", "left_semi").select("one.*").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("doubts"))
-    doubts = doubts.withColumnsRenamed({"doc_id": "d", "mark": "m"})
-    # Repeated rows of one document come twice here; their starts are repeats anyway.
-    told = texts.join(doubts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("doc_id", "mark", "text", "doubts")
-    single = told.mapInArrow(_single_starts(length), f"first long, second long, doc_id {id_type}, mark int, at int")
-    single = cut(single)
-    twice = single.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "second")
-    found = single.join(twice, ["first", "second"], "left_semi").select("doc_id", "mark", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return same.unionByName(found)
+def _by_document(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    return rows.groupBy("key", "mark").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _round(texts: DataFrame, cell: int, length: int, window: int, piece: int) -> tuple[DataFrame, DataFrame]:
+    """(key, mark, packed, doubts) -> settled starts (key, mark, lo, hi), and the cells that stay in doubt (key, mark, p, lo, hi)."""
+    pair = ["first", "second"]
+    rows = texts.select("key", "mark", "packed", "doubts").mapInArrow(_cells(cell, length, window, piece), "first long, second long, key long, mark int, p int, lo int, hi int")
+    if cell == 1:
+        classes = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return rows.join(classes, pair, "left_semi").select("key", "mark", "lo", "hi"), None
+    classes = cut(rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "mark", "p", "lo", "hi")).alias("one")))
+    settled = rows.join(classes.where("n > 1"), pair, "left_semi").select("key", "mark", "lo", "hi")
+    several = classes.groupBy("first").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return settled, classes.join(several, "first", "left_semi").select("one.*")
+
+
+def _kept_by_document(df: DataFrame) -> DataFrame:
+    """A checkpoint of df that Spark still knows to be partitioned as df's plan is; an adaptive plan would not tell."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE) -> DataFrame:
@@ -259,11 +288,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     if not 1 <= window <= length - gram + 1 or length < 2 * gram or piece < length or 2 * piece + length + 2 * window > _PLACE:
         raise ValueError("needs 1 <= window <= length - gram + 1, length >= 2 * gram and length <= piece <= 2**20")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.hash(clean_text()).alias("mark"), clean_text().alias("text"))
-    found = repeated_starts(texts, length, window, gram, piece)
-    found = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("found")).withColumnsRenamed({"doc_id": "d", "mark": "m"})
-    told = texts.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "text", "found")
-    return told.mapInArrow(_cut_out(length), f"doc_id {id_type}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.xxhash64("doc_id", clean_text()).alias("key"), F.hash(clean_text()).alias("mark"), "doc_id", clean_text().alias("text"))
+    alive = texts.select("key", "mark", "text").mapInArrow(_scan(length, window, gram, piece, True), "name long").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    anchors = texts.select("key", "mark", "text").mapInArrow(_scan(length, window, gram, piece, False), "name long, key long, mark int, p int, lo int, hi int").join(alive, "name", "left_semi")
+    packed = texts.mapInArrow(_pack, f"key long, mark int, doc_id {id_type}, packed binary").repartition(parts, "key", "mark")
+    packed = _kept_by_document(packed.join(cut(_by_document(anchors, "doubts", "p", "lo", "hi")), ["key", "mark"], "left"))
+    found, asked = [], packed.where("doubts IS NOT NULL")
+    for cell in (window, *(c for c in CELLS if c < window)):
+        settled, doubts = _round(asked, cell, length, window, piece)
+        found.append(settled)
+        if doubts is not None:
+            asked = packed.drop("doubts").join(_by_document(doubts, "doubts", "p", "lo", "hi"), ["key", "mark"])
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    told = packed.select("key", "mark", "doc_id", "packed").join(_by_document(every, "found", "lo", "hi"), ["key", "mark"], "left")
+    return told.select("doc_id", "packed", "found").mapInArrow(_cut_out(length), f"doc_id {id_type}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
