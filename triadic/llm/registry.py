@@ -1,12 +1,13 @@
 """Queries of the training-data operators by name, and their SQL where SQL can express them."""
 
-from triadic.llm import exact_dedup, language_id, mixing, nearest, secrets, substring_dedup
+from triadic.llm import exact_dedup, jaccard_join, language_id, mixing, nearest, secrets, substring_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": substring_dedup.op1_suffix_array_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_nearest_neighbours": nearest.op3_nearest_neighbours,
     "op4_language_id": language_id.op4_language_id,
+    "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
