@@ -1,6 +1,6 @@
 """Queries of the training-data operators by name, and their SQL where SQL can express them."""
 
-from triadic.llm import exact_dedup, jaccard_join, language_id, mixing, nearest, secrets, substring_dedup
+from triadic.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, nearest, secrets, substring_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": substring_dedup.op1_suffix_array_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_nearest_neighbours": nearest.op3_nearest_neighbours,
     "op4_language_id": language_id.op4_language_id,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
