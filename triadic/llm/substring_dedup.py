@@ -268,7 +268,7 @@ def _round(texts: DataFrame, cell: int, length: int, window: int, piece: int) ->
         return rows.join(classes, pair, "left_semi").select("key", "mark", "lo", "hi"), None
     classes = cut(rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "mark", "p", "lo", "hi")).alias("one")))
     settled = rows.join(classes.where("n > 1"), pair, "left_semi").select("key", "mark", "lo", "hi")
-    several = classes.groupBy("first").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    several = cut(classes.groupBy("first").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("first"))
     return settled, classes.join(several, "first", "left_semi").select("one.*")
 
 
@@ -291,6 +291,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.xxhash64("doc_id", clean_text()).alias("key"), F.hash(clean_text()).alias("mark"), "doc_id", clean_text().alias("text"))
     alive = texts.select("key", "mark", "text").mapInArrow(_scan(length, window, gram, piece, True), "name long").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    # Written out, so that the join below stands between two plain exchanges and its hot names can be split.
+    alive = cut(alive)
     anchors = texts.select("key", "mark", "text").mapInArrow(_scan(length, window, gram, piece, False), "name long, key long, mark int, p int, lo int, hi int").join(alive, "name", "left_semi")
     packed = texts.mapInArrow(_pack, f"key long, mark int, doc_id {id_type}, packed binary").repartition(parts, "key", "mark")
     packed = _kept_by_document(packed.join(cut(_by_document(anchors, "doubts", "p", "lo", "hi")), ["key", "mark"], "left"))
