@@ -84,7 +84,7 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     facts = facts.select("doc_id", "text_sha256", F.struct("h", "n", F.coalesce("blocks", F.lit(-1)).alias("blocks"), F.coalesce("name", F.lit(-1)).alias("name")).alias("class"))
     facts = cut(facts)
     groups = facts.groupBy("class").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = facts.join(groups, "class")
+    out = facts.join(cut(groups), "class")  # two plain exchanges, so that a hot class can be split
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
