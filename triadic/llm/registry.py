@@ -1,6 +1,6 @@
 """Queries of the training-data operators by name, and their SQL where SQL can express them."""
 
-from triadic.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, nearest, secrets, substring_dedup
+from triadic.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, nearest, packing, sampled_pieces, secrets, substring_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": substring_dedup.op1_suffix_array_dedup,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_token_packing": packing.op9_token_packing,
+    "op10_sentencepiece": sampled_pieces.op10_sentencepiece,
 }
 ORACLES = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
