@@ -34,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """df is broadcast if it has no more than `most` rows, which is counted first; else the join is left to shuffle and to split hot keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def clean_text(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

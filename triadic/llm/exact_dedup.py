@@ -23,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import SPACES, clean_text, cut
+from triadic.llm.common import SPACES, bounded_broadcast, clean_text, cut
 
 BLOCK_CHARS = 4096
+#: More rows to drop than this are joined by shuffling.
+MOST_BROADCAST = 1_000_000
 
 
 def normalised(text):
@@ -70,30 +72,38 @@ def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFr
     return out
 
 
-def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def _groups(docs: DataFrame, block_chars: int) -> DataFrame:
+    """exact_groups with mark, a hash of the text as it stands."""
     body = normalised(clean_text())
-    facts = docs.select("doc_id", body.alias("body")).select("doc_id", F.xxhash64("body").alias("h"), F.length("body").alias("n"), F.sha2("body", 256).alias("text_sha256"))
-    facts = cut(facts)
+    facts = docs.select("doc_id", F.xxhash64("text").alias("mark"), body.alias("body"))
+    facts = cut(facts.select("doc_id", "mark", F.xxhash64("body").alias("h"), F.length("body").alias("n"), F.sha2("body", 256).alias("text_sha256")))
     shared = facts.groupBy("h", "n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "n")
     texts = docs.select("doc_id", body.alias("body")).select("doc_id", "body", F.xxhash64("body").alias("h"), F.length("body").alias("n"))
     texts = texts.join(shared, ["h", "n"], "left_semi").select(F.struct("doc_id", "h", "n").alias("key"), "body")
     identity = named_identities(texts, block_chars).groupBy("key").agg(F.max("blocks").alias("blocks"), F.max("name").alias("name"))
     identity = identity.select(F.col("key.doc_id").alias("other_id"), F.col("key.h").alias("other_h"), F.col("key.n").alias("other_n"), "blocks", "name")
     facts = facts.join(identity, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("h") == F.col("other_h")) & (F.col("n") == F.col("other_n")), "left")
-    facts = facts.select("doc_id", "text_sha256", F.struct("h", "n", F.coalesce("blocks", F.lit(-1)).alias("blocks"), F.coalesce("name", F.lit(-1)).alias("name")).alias("class"))
-    facts = cut(facts)
+    one = F.struct("h", "n", F.coalesce("blocks", F.lit(-1)).alias("blocks"), F.coalesce("name", F.lit(-1)).alias("name"))
+    facts = cut(facts.select("doc_id", "mark", "text_sha256", one.alias("class")))
     groups = facts.groupBy("class").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     out = facts.join(cut(groups), "class")  # two plain exchanges, so that a hot class can be split
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "mark")
+
+
+def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _groups(docs, block_chars).drop("mark")
 
 
 def drop_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that stay, with docs' columns; of repeated rows of one doc_id, one."""
-    stays = exact_groups(docs, block_chars).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__own", F.sha2(normalised(clean_text()), 256))
-    out = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return out.dropDuplicates(["doc_id"]).select(*docs.columns)
+    groups = cut(_groups(docs, block_chars).select("doc_id", "mark", "kept"))
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    keyed = docs.withColumn("__own", F.xxhash64("text"))
+    out = keyed.join(bounded_broadcast(gone, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left_anti").select(*docs.columns)
+    # Rows that stay share a doc_id only if they are repeated; the texts are shuffled for that only where it occurs.
+    repeated = groups.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id"]) if repeated else out
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

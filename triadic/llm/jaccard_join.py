@@ -32,12 +32,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import clean_text, cut, mix64, slices_by_bytes, utf8_buffer
+from triadic.llm.common import bounded_broadcast, clean_text, cut, mix64, slices_by_bytes, utf8_buffer
 from triadic.llm.components import connected_components
 from triadic.llm.substring_dedup import Hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS_IN_BAND, TOLERANCE, STEP_HASHES, SEED = 5, 0.8, 35, 5, 1e-9, 35, 3
 BUCKET_BLOCK, GROUP_BLOCK, PIECE = 1000, 400, 1 << 20
+#: More rows to drop than this are joined by shuffling.
+MOST_BROADCAST = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -382,8 +384,8 @@ def _checked(rehash):
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id is its group's class_id, with docs' columns."""
-    groups = near_duplicates(docs, **options).where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(groups, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    gone = cut(near_duplicates(docs, **options).where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(bounded_broadcast(gone, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triadic.llm.common import WORD, clean_text, cut
+from triadic.llm.common import WORD, bounded_broadcast, clean_text, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_REPEATS, BLOCK_DOCS, SHARDS, SEED = 1.5, 2, 256, 16, 17
 #: Blocks grow beyond block_docs where a source would have more of them than this.
 MOST_BLOCKS = 65536
+#: With more sources than this the sources' facts are joined by shuffling.
+MOST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -138,7 +140,7 @@ def mix_decisions(
     facts = cut(facts.drop("n"))
     # A document's block follows from its place in the permuted order alone; the hot source has most blocks.
     block = F.floor((F.col("at").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("n_blocks")).cast("long")
-    placed = sized.join(_bounded_broadcast(facts.select(F.col("source").alias("s"), "n_blocks")), F.col("source").eqNullSafe(F.col("s")))
+    placed = sized.join(bounded_broadcast(facts.select(F.col("source").alias("s"), "n_blocks"), MOST_SOURCES), F.col("source").eqNullSafe(F.col("s")))
     placed = placed.select("doc_id", "source", "size", "at", F.least(block, F.col("n_blocks") - 1).alias("block"))
     blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
     run = W.partitionBy("source").orderBy("block")
@@ -174,11 +176,6 @@ def mix_decisions(
     )
 
 
-def _bounded_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df is broadcast if it is known to have few rows; else the join is left to shuffle and to split hot keys."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with docs' columns, in shards and shuffled within them."""
     taken = mix_decisions(docs, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "shards", "position").where(F.size("shards") > 0)

@@ -16,8 +16,9 @@ depend on partitions, order or reruns; equal rows get equal segmentations. Decod
 mark becomes a space, byte pieces become their bytes) and gives back every text exactly, white space, control
 characters and the space mark itself included.
 
-All lattices of a stretch of text are built and sampled together in numpy, each different unit once, so memory is
-bounded by PIECE and the longest text; a unit of any length is one lattice. Null text has no pieces and
+All lattices of a stretch of text are built and sampled together in numpy, each different unit once; a worker
+keeps them for the texts that follow, until they hold KEPT characters. So memory is bounded by PIECE, KEPT and
+the longest text; a unit of any length is one lattice. Null text has no pieces and
 decodes to an empty text; in `encode` its ids are null. Rows are independent, so ties and repeated rows need
 no rule. An empty table gives an empty result.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from triadic.llm.common import mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ALPHA, ZIPF, SEED, PIECE = 0.5, 1.0, 23, 1 << 20
+ALPHA, ZIPF, SEED, PIECE, KEPT = 0.5, 1.0, 23, 1 << 19, 800_000
 #: Stands for a space in front of a unit; no character has this number, so the space mark in a text stays apart.
 MARK = 0x110000
 SPACE_MARK = "▁"
@@ -57,13 +58,21 @@ def load(path: str) -> dict:
     return {"pieces": pieces, "bytes": bytes_, "size": model.get_piece_size()}
 
 
+class Numbers(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Lattices:
     """The vocabulary as tables of hashes: each prefix of a piece, and its id and weight if it is one."""
 
     def __init__(self, model: dict, alpha: float, zipf: float):
         self.byte_ids = np.array(model["bytes"], np.int32)
         ranks = max(r for _, _, r in model["pieces"]) + 1
-        self.byte_weight = -zipf * alpha * np.log(ranks + 1.0)
+        self.byte_weight = (ranks + 1.0) ** (-zipf * alpha)
         nodes: dict[tuple, tuple[int, float]] = {}
         self.longest = 1
         for text, i, rank in model["pieces"]:
@@ -71,7 +80,7 @@ class Lattices:
             self.longest = max(self.longest, len(codes))
             for k in range(1, len(codes)):
                 nodes.setdefault(codes[:k], (-1, 0.0))
-            nodes[codes] = (i, -zipf * alpha * np.log(max(rank, 0) + 1.0))
+            nodes[codes] = (i, (max(rank, 0) + 1.0) ** (-zipf * alpha))
         hashes = np.array([self._hash(c) for c in nodes], np.uint64)
         ids, weights = np.array([v[0] for v in nodes.values()], np.int32), np.array([v[1] for v in nodes.values()], np.float32)
         if len(np.unique(hashes)) < len(hashes):
@@ -90,6 +99,13 @@ class Lattices:
             hashes, ids, weights = hashes[rest], ids[rest], weights[rest]
             shift = max(0, shift - 20) if shift else 10
         self.texts = self._piece_bytes(model)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No units are known. Of known ones: their numbers, where their characters begin and how many there are, and what build gives for each."""
+        self.units, self.known, self.chars = Numbers(), 0, 0
+        self.begin, self.length = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.shares, self.ids = np.zeros((1 << 10, self.longest), np.float32), np.zeros((1 << 10, self.longest), np.int32)
 
     @staticmethod
     def _hash(codes) -> int:
@@ -116,9 +132,8 @@ class Lattices:
         """For units one after the other: the shares (cumulative, by length of the last piece) and ids of edges that end at each character."""
         n, units = len(codes), len(length)
         begin = np.cumsum(length) - length
-        unit = np.repeat(np.arange(units), length)
         left = np.repeat(begin + length, length) - np.arange(n)  # characters from here to the unit's end
-        weight = np.full((n, self.longest), -np.inf, np.float32)
+        weight = np.zeros((n, self.longest), np.float32)
         ids = np.full((n, self.longest), -1, np.int32)
         mixed = mix64(codes.astype(np.uint64) + np.uint64(1))
         at, h = np.arange(n), np.zeros(n, np.uint64)
@@ -132,23 +147,30 @@ class Lattices:
                 lone = at[~piece]  # a character that is no piece: its bytes; its code stands for them for now
                 c = codes[lone]
                 size = 1 + (c >= 0x80) + (c >= 0x800).astype(np.int64) + (c >= 0x10000)
-                weight[lone, 0] = self.byte_weight * size
+                weight[lone, 0] = self.byte_weight**size
                 ids[lone, 0] = -2 - np.where(c == MARK, 0x20, c).astype(np.int32)
             go = known & (left[at] > k + 1)
             at, h = at[go], h[go]
         total = np.zeros(n + units)  # by node: a unit's start and the place after each of its characters
+        total[begin + np.arange(units)] = 1.0
         shares = np.empty((n, self.longest), np.float32)
         back = np.arange(1, self.longest + 1)
         order = np.argsort(-length, kind="stable")
+        falling = -length[order]
         for e in range(int(length.max()) if units else 0):
-            some = order[: np.searchsorted(-length[order], -e, side="left")]
+            some = order[: np.searchsorted(falling, -e, side="left")]
             i = begin[some] + e
             node = i + some + 1
-            a = weight[i].astype(np.float64) + total[np.maximum(node[:, None] - back, 0)]
-            top = a.max(axis=1)
-            s = np.cumsum(np.exp(a - top[:, None]), axis=1)
-            total[node] = top + np.log(s[:, -1])
-            shares[i] = s / s[:, -1:]
+            reach = min(e + 1, self.longest)
+            s = weight[i, :reach] * total[node[:, None] - back[:reach]]
+            np.cumsum(s, axis=1, out=s)
+            total[node] = s[:, -1]
+            s /= s[:, -1:]
+            shares[i, :reach] = s
+            shares[i, reach:] = 1.0
+            if e % 8 == 7:  # only ratios of neighbouring totals matter, so they are kept from vanishing
+                near = node[:, None] - np.arange(min(e + 2, self.longest + 1))
+                total[near] *= 1 / total[node][:, None]
         return begin, shares, ids
 
     def sample(self, units: np.ndarray, begin: np.ndarray, length: np.ndarray, shares: np.ndarray, ids: np.ndarray, key: np.ndarray):
@@ -160,7 +182,7 @@ class Lattices:
         while len(active):
             u = (mix64(key[active] + np.uint64(k * int(_B) % 2**64)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
             i = begin[units[active]] + last
-            back = (shares[i] <= u[:, None]).sum(axis=1)
+            back = (shares[i] <= u[:, None]).argmin(axis=1)
             steps.append(active)
             found.append(ids[i, back])
             count[active] += 1
@@ -190,15 +212,31 @@ class Lattices:
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        index: dict = {}
+        if self.chars > KEPT:
+            self._forget()
+        number = self.units.__getitem__
         units, per_text = [], []
         for text in texts:
             parts = text.split(" ")
-            first = [index.setdefault((parts[0],), len(index))] if parts[0] else []
-            own = first + [index.setdefault(p, len(index)) for p in parts[1:]]
-            units += own
-            per_text.append(len(own))
-        names = [(p[0], 0) if isinstance(p, tuple) else (p, 1) for p in index]
+            if parts[0]:
+                units.append(number((parts[0],)))
+            units.extend(map(number, parts[1:]))
+            per_text.append(len(parts) - (not parts[0]))
+        self._learn()
+        begin, length, shares, ids = self.begin, self.length, self.shares, self.ids
+        per_text = np.array(per_text, np.int64)
+        number = np.arange(len(units)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        key = mix64(np.repeat(keys, per_text) + mix64(number.astype(np.uint64)))
+        out, count = self._spell(*self.sample(np.array(units, np.int64), begin, length, shares, ids, key))
+        ends = np.cumsum(np.r_[0, count])
+        return out, np.diff(ends[np.cumsum(np.r_[0, per_text])])
+
+    def _learn(self) -> None:
+        """Builds the lattices of units that were numbered since the last call."""
+        if len(self.units) == self.known:
+            return
+        new = list(self.units)[self.known :] if self.known else list(self.units)
+        names = [(p[0], 0) if isinstance(p, tuple) else (p, 1) for p in new]
         length = np.array([len(p) + mark for p, mark in names], np.int64)
         marked = np.array([mark for _, mark in names], bool)
         begin = np.cumsum(length) - length
@@ -207,12 +245,11 @@ class Lattices:
         inner[begin[marked]] = False
         codes[inner] = np.frombuffer("".join(p for p, _ in names).encode("utf-32-le", "surrogatepass"), np.uint32)
         begin, shares, ids = self.build(codes, length)
-        per_text = np.array(per_text, np.int64)
-        number = np.arange(len(units)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        key = mix64(np.repeat(keys, per_text) + mix64(number.astype(np.uint64)))
-        out, count = self._spell(*self.sample(np.array(units, np.int64), begin, length, shares, ids, key))
-        ends = np.cumsum(np.r_[0, count])
-        return out, np.diff(ends[np.cumsum(np.r_[0, per_text])])
+        u, c = slice(self.known, len(self.units)), slice(self.chars, self.chars + len(codes))
+        self.begin, self.length = _room(self.begin, u.stop), _room(self.length, u.stop)
+        self.shares, self.ids = _room(self.shares, c.stop), _room(self.ids, c.stop)
+        self.begin[u], self.length[u], self.shares[c], self.ids[c] = begin + self.chars, length, shares, ids
+        self.known, self.chars = u.stop, c.stop
 
     def _piece_bytes(self, model: dict) -> tuple[np.ndarray, np.ndarray]:
         spelled = [b""] * model["size"]
@@ -229,6 +266,14 @@ class Lattices:
         return flat[at].tobytes()
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(x):
+        return x
+    out = np.empty((n + n // 4, *x.shape[1:]), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 @functools.lru_cache(4)
 def _lattices(path: str, alpha: float, zipf: float, shipped) -> Lattices:
     return Lattices(shipped.value, alpha, zipf)
