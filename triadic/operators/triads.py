@@ -61,7 +61,7 @@ def needed_frequencies(table: DataFrame) -> DataFrame:
 def dense_grid(spark: SparkSession, n_dft: int, table: DataFrame) -> DataFrame:
     """Every (k, l) of the axis, with its triad_idx or null, and whether it is computed."""
     lo, hi = -(n_dft // 2), (n_dft - 1) // 2
-    full = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("k"), F.explode(F.sequence(F.lit(lo), F.lit(hi))).cast("int").alias("l"))
+    full = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("k"), F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("l"))
     return full.join(table.select("k", "l", "triad_idx"), ["k", "l"], "left").withColumn("computed", F.col("triad_idx").isNotNull())
 
 

@@ -1,4 +1,6 @@
 """Every query of the bispectral engine by name, and the SQL that must agree with it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from triadic.catalog import axes, decompositions, spectra
+
+QUERIES: dict = axes.QUERIES | spectra.QUERIES | decompositions.QUERIES
+ORACLES: dict = axes.ORACLES | spectra.ORACLES | decompositions.ORACLES
