@@ -16,7 +16,7 @@ depend on partitions, order or reruns; equal rows get equal segmentations. Decod
 mark becomes a space, byte pieces become their bytes) and gives back every text exactly, white space, control
 characters and the space mark itself included.
 
-All lattices of a stretch of text are built and sampled together in numpy, each different unit once; a worker
+All lattices of a stretch of text are built and sampled together in numpy, each different unit once; a task
 keeps them for the texts that follow, until they hold KEPT characters. So memory is bounded by PIECE, KEPT and
 the longest text; a unit of any length is one lattice. Null text has no pieces and
 decodes to an empty text; in `encode` its ids are null. Rows are independent, so ties and repeated rows need
@@ -31,13 +31,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import mix64
+from triadic.llm.common import mix64, slices_by_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ALPHA, ZIPF, SEED, PIECE, KEPT = 0.5, 1.0, 23, 1 << 19, 800_000
+ALPHA, ZIPF, SEED, PIECE, KEPT = 0.5, 1.0, 23, 1 << 19, 500_000
 #: Stands for a space in front of a unit; no character has this number, so the space mark in a text stays apart.
 MARK = 0x110000
 SPACE_MARK = "▁"
+#: Bits of a slot in a table of hashes; what collides goes to a further table, by other bits.
+SLOTS = 18
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,10 +88,10 @@ class Lattices:
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two prefixes of pieces share a hash")
         self.tables = []
-        shift = 44
+        shift = 46
         while len(hashes):
-            key, at = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, np.int32)
-            slot = ((hashes >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+            key, at = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
+            slot = ((hashes >> np.uint64(shift)) & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
             _, first = np.unique(slot, return_index=True)
             key[slot[first]] = hashes[first]
             at[slot[first]] = first
@@ -97,15 +99,15 @@ class Lattices:
             rest = np.ones(len(hashes), bool)
             rest[first] = False
             hashes, ids, weights = hashes[rest], ids[rest], weights[rest]
-            shift = max(0, shift - 20) if shift else 10
+            shift = (shift - SLOTS) % 47
         self.texts = self._piece_bytes(model)
         self._forget()
 
     def _forget(self) -> None:
         """No units are known. Of known ones: their numbers, where their characters begin and how many there are, and what build gives for each."""
         self.units, self.known, self.chars = Numbers(), 0, 0
-        self.begin, self.length = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.shares, self.ids = np.zeros((1 << 10, self.longest), np.float32), np.zeros((1 << 10, self.longest), np.int32)
+        self.begin = self.length = np.zeros(0, np.int64)
+        self.shares, self.ids = np.zeros((0, self.longest), np.float32), np.zeros((0, self.longest), np.int32)
 
     @staticmethod
     def _hash(codes) -> int:
@@ -119,7 +121,7 @@ class Lattices:
         known, ids, weights = np.zeros(len(h), bool), np.full(len(h), -1, np.int32), np.zeros(len(h), np.float32)
         todo = np.arange(len(h))
         for shift, key, own, weight in self.tables:
-            slot = ((h[todo] >> shift) & np.uint64((1 << 20) - 1)).astype(np.int64)
+            slot = ((h[todo] >> shift) & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
             hit = key[slot] == h[todo]
             at = todo[hit]
             known[at], ids[at], weights[at] = True, own[slot[hit]], weight[slot[hit]]
@@ -269,7 +271,7 @@ class Lattices:
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     if n <= len(x):
         return x
-    out = np.empty((n + n // 4, *x.shape[1:]), x.dtype)
+    out = np.empty((max(n, KEPT + PIECE), *x.shape[1:]), x.dtype)  # what is not written takes no memory
     out[: len(x)] = x
     return out
 
@@ -279,17 +281,6 @@ def _lattices(path: str, alpha: float, zipf: float, shipped) -> Lattices:
     return Lattices(shipped.value, alpha, zipf)
 
 
-def _slices(texts: list[str], limit: int):
-    lo, total = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and total + len(t) > limit:
-            yield lo, i
-            lo, total = i, 0
-        total += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, zipf: float = ZIPF, seed: int = SEED, check: bool = False) -> DataFrame:
     """docs' columns but text, with n_pieces and ids (little-endian, 16 bits if all ids fit, else 32); with check, also lossless: whether they decode to the text."""
     vocabulary = load(model)
@@ -302,20 +293,30 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: floa
         import pyarrow as pa
 
         lattices = _lattices(model, alpha, zipf, shipped)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            for lo, hi in _slices([t or "" for t in texts], PIECE):
-                ids, count = lattices.encode([t or "" for t in texts[lo:hi]], keys[lo:hi])
-                ends = np.cumsum(np.r_[0, count])
-                own = [ids[a:b] if texts[lo + i] is not None else None for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
-                columns = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
-                columns += [pa.array(count), pa.array([None if x is None else x.astype(dtype).tobytes() for x in own], pa.binary())]
-                names = [*batch.schema.names[2:], "n_pieces", "ids"]
-                if check:
-                    columns.append(pa.array([x is None or lattices.decode(x) == texts[lo + i].encode() for i, x in enumerate(own)]))
-                    names.append("lossless")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for batch in batches:
+                yield from encoded(pa, lattices, batch)
+        finally:
+            lattices._forget()  # the worker lives on for other jobs, which need the memory
+            pa.default_memory_pool().release_unused()
+
+    def encoded(pa, lattices, batch):
+        import pyarrow.compute as pc
+
+        keys = batch.column(0).to_numpy().view(np.uint64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        for lo, hi in slices_by_bytes(sizes, PIECE):
+            texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+            ids, count = lattices.encode([t or "" for t in texts], keys[lo:hi])
+            ends = np.cumsum(np.r_[0, count])
+            own = [ids[a:b] if texts[i] is not None else None for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+            columns = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
+            columns += [pa.array(count), pa.array([None if x is None else x.astype(dtype).tobytes() for x in own], pa.binary())]
+            names = [*batch.schema.names[2:], "n_pieces", "ids"]
+            if check:
+                columns.append(pa.array([x is None or lattices.decode(x) == texts[i].encode() for i, x in enumerate(own)]))
+                names.append("lossless")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[2:])
     return chosen.mapInArrow(run, f"{kinds}n_pieces long, ids binary" + ", lossless boolean" * check)
