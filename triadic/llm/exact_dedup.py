@@ -1,10 +1,10 @@
 """Exact duplicates by deterministic block naming.
 
-A normalised text is cut into blocks of a fixed number of characters. The distinct blocks are sorted by
-content, and a block's integer name is its place in that order; then names are paired with their right
-neighbours and the distinct pairs are sorted and named in turn, until each document has one name. Names
-come from sorting contents, not from hashing them, so two documents have the same number of blocks and
-the same last name exactly when their texts are equal.
+A normalised text is cut into blocks of a fixed number of characters. The distinct blocks are dealt to
+buckets, each bucket is sorted by content, and a block's integer name is its bucket and its place there;
+then names are paired with their right neighbours and the distinct pairs are sorted and named in turn,
+until each document has one name. A name stands for one content, which hashes only choose the bucket of,
+so two documents have the same number of blocks and the same last name exactly when their texts are equal.
 
 Only documents that share their length and 64-bit hash with another row are named: for all others the
 pair of length and hash is an identity already, as equal texts have equal hashes. Each round of names is
@@ -37,9 +37,13 @@ def normalised(text):
 
 
 def _sorted_names(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The distinct rows of these columns with their places in sorted order (not contiguous between partitions)."""
-    ranged = df.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
-    return cut(ranged.withColumn(name, F.monotonically_increasing_id()))
+    """The distinct rows of these columns, with the number of their partition and their place in its sorted order as one integer.
+
+    A sort over all partitions would need a sample of whole blocks on the driver; the partitions of the
+    distinct rows do as well, since names need an order within each only.
+    """
+    ordered = df.select(*columns).distinct().sortWithinPartitions(*columns)
+    return cut(ordered.withColumn(name, F.monotonically_increasing_id()))
 
 
 def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -78,6 +82,7 @@ def _groups(docs: DataFrame, block_chars: int) -> DataFrame:
     facts = docs.select("doc_id", F.xxhash64("text").alias("mark"), body.alias("body"))
     facts = cut(facts.select("doc_id", "mark", F.xxhash64("body").alias("h"), F.length("body").alias("n"), F.sha2("body", 256).alias("text_sha256")))
     shared = facts.groupBy("h", "n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "n")
+    shared = cut(shared)  # the join below then has two plain exchanges, and hot hashes can be split
     texts = docs.select("doc_id", body.alias("body")).select("doc_id", "body", F.xxhash64("body").alias("h"), F.length("body").alias("n"))
     texts = texts.join(shared, ["h", "n"], "left_semi").select(F.struct("doc_id", "h", "n").alias("key"), "body")
     identity = named_identities(texts, block_chars).groupBy("key").agg(F.max("blocks").alias("blocks"), F.max("name").alias("name"))
