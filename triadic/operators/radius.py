@@ -15,6 +15,8 @@ from __future__ import annotations
 import numpy as np
 
 EPS = np.finfo(np.float64).eps
+#: From this size on a matrix is looked at for low rank.
+LARGE = 16
 
 
 def rotated(a: np.ndarray, angles: np.ndarray) -> np.ndarray:
@@ -49,9 +51,19 @@ def level_angles(a: np.ndarray, level: float) -> np.ndarray:
     r = np.block([[2 * level * eye, -a.conj().T], [eye, zero]]).astype(complex)
     s = np.block([[a, zero], [zero, eye]]).astype(complex)
     shifts = 1.3 * np.exp(2j * np.pi * (np.arange(5) + 0.3) / 5)
-    pencils = r - shifts[:, None, None] * s
-    best = int(np.argmin(np.linalg.cond(pencils)))
-    nu = np.linalg.eigvals(np.linalg.solve(pencils[best], s))
+    best, inverse, least = 0, None, np.inf
+    for i, shift in enumerate(shifts):
+        pencil = r - shift * s
+        try:
+            own = np.linalg.inv(pencil)
+        except np.linalg.LinAlgError:
+            continue
+        cond = np.linalg.norm(pencil, 1) * np.linalg.norm(own, 1)
+        if cond < least:
+            best, inverse, least = i, own, cond
+    if inverse is None:
+        return np.zeros(0)
+    nu = np.linalg.eigvals(inverse @ s)
     with np.errstate(divide="ignore", invalid="ignore"):
         x = shifts[best] + 1 / nu
     x = x[np.isfinite(x)]
@@ -71,6 +83,13 @@ def numerical_radius(a: np.ndarray, tol: float = 1e-8, n_it_max: int = 500) -> t
         z = np.zeros(n, complex)
         z[0] = 1
         return 0j, z
+    if n > LARGE:
+        # What is orthogonal to the ranges of A and A* adds nothing to the form, so a matrix of low rank is solved on their span.
+        u, d, _ = np.linalg.svd(np.hstack([small, small.conj().T]), full_matrices=False)
+        u = u[:, d > n * EPS * d[0]]
+        if u.shape[1] < n // 2:
+            _, z = numerical_radius(u.conj().T @ small @ u, tol, n_it_max)
+            return _form(a, u @ z)
     angles = np.linspace(0, 2 * np.pi, 16, endpoint=False)  # a start that few levels improve
     best, top = 0.0, -np.inf
     for _ in range(n_it_max):
@@ -86,7 +105,11 @@ def numerical_radius(a: np.ndarray, tol: float = 1e-8, n_it_max: int = 500) -> t
             break
         angles = middles[above]
     w, v = np.linalg.eigh(rotated(small, np.array([best]))[0])
-    z = v[:, np.argmax(np.abs(w))]
+    return _form(a, v[:, np.argmax(np.abs(w))])
+
+
+def _form(a: np.ndarray, z: np.ndarray) -> tuple[complex, np.ndarray]:
+    z = z / np.linalg.norm(z)
     lead = z[np.argmax(np.abs(z))]
     z = z * (np.conj(lead) / abs(lead))
     return complex(z.conj() @ a @ z), z

@@ -23,7 +23,7 @@ from triadic.operators.radius import numerical_radius
 from triadic.operators.triads import enumerate_triads, find_triad
 from triadic.plans.config import FitConfig, modes_to_keep, precision
 
-_PART = "chunk int, triad_idx long, b binary, u binary, g binary"
+_PART = "chunk int, triad_idx long, b binary, u binary, g binary, thin binary, w binary"
 _SOLVED = "triad_idx long, k int, l int, kl int, f1 double, f2 double, f3 double, region int, l_re double, l_im double, l_abs double, t double, a_re array<double>, a_im array<double>, norms array<double>"
 _MODES = "triad_idx long, comp int, p long, s int, re double, im double"
 
@@ -78,6 +78,13 @@ def legs(q: dict[int, np.ndarray], config: FitConfig, k: int, l: int, constituen
     return [x.reshape(-1, x.shape[-1]) for x in found]
 
 
+def matrices(own: list[np.ndarray], flat: np.ndarray, n: int, transfer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's share of B, of B without weights, and of the legs' Gram matrices."""
+    weighted = [flat * x for x in own]
+    u = own[0].conj().T @ own[1] / n if transfer else np.zeros(0, complex)
+    return own[0].conj().T @ weighted[1] / n, u, np.stack([x.conj().T @ y for x, y in zip(own, weighted)])
+
+
 def _partials(config: FitConfig, table: dict[str, np.ndarray], nt: int, nv: int):
     freqs = np.unique(np.r_[table["k"], table["l"], table["kl"]])
 
@@ -89,16 +96,17 @@ def _partials(config: FitConfig, table: dict[str, np.ndarray], nt: int, nv: int)
         w = np.ones((len(points), config.n_states)) if weight is None else chunk_weights(weight, points, config)
         q = chunk_spectra(series, config, freqs)
         flat, n = w.reshape(-1, 1), config.blocks(nt)
+        thin = len(flat) < n  # then the legs themselves are smaller than matrices of blocks
         rows = []
         for i, k, l in zip(table["triad_idx"].tolist(), table["k"].tolist(), table["l"].tolist()):  # noqa: E741
             own = legs(q, config, k, l, config.constituent_modes)
-            weighted = [flat * x for x in own]
-            b = own[0].conj().T @ weighted[1] / n
-            u = own[0].conj().T @ own[1] / n if config.compute_energy_transfer else np.zeros(0)
-            g = np.stack([x.conj().T @ y for x, y in zip(own, weighted)])
-            rows.append((i, b.tobytes(), u.tobytes(), g.tobytes()))
+            if thin:
+                rows.append((i, None, None, None, np.stack(own).tobytes(), flat.tobytes()))
+            else:
+                rows.append((i, *(x.tobytes() for x in matrices(own, flat, n, config.compute_energy_transfer)), None, None))
         chunk = np.full(len(rows), key[0].as_py(), np.int32)
-        return pa.table({"chunk": chunk, "triad_idx": pa.array([r[0] for r in rows], pa.int64()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "b"), (2, "u"), (3, "g"))}})
+        names = ("b", "u", "g", "thin", "w")
+        return pa.table({"chunk": chunk, "triad_idx": pa.array([r[0] for r in rows], pa.int64()), **{c: pa.array([r[k + 1] for r in rows], pa.binary()) for k, c in enumerate(names)}})
 
     return run
 
@@ -122,11 +130,19 @@ def _solve(config: FitConfig, table: dict[str, np.ndarray], n_blocks: int):
 
         i = key[0].as_py()
         parts = parts.sort_by("chunk")
-        n = n_blocks
-        add = lambda c, shape: sum((np.frombuffer(x.as_py(), complex).reshape(shape) for x in parts[c]), np.zeros(shape, complex))
-        b, g = add("b", (n, n)), add("g", (4 if config.constituent_modes else 2, n, n))
+        n, comps = n_blocks, 4 if config.constituent_modes else 2
+        b, u, g = np.zeros((n, n), complex), np.zeros((n, n), complex), np.zeros((comps, n, n), complex)
+        for part in parts.to_pylist():
+            if part["thin"] is None:
+                own = [np.frombuffer(part[c], complex) for c in ("b", "u", "g")]
+            else:
+                own = matrices(list(np.frombuffer(part["thin"], complex).reshape(comps, -1, n)), np.frombuffer(part["w"]).reshape(-1, 1), n, config.compute_energy_transfer)
+            b += own[0].reshape(n, n)
+            if config.compute_energy_transfer:
+                u += own[1].reshape(n, n)
+            g += own[2].reshape(comps, n, n)
         value, a = numerical_radius(b, config.tol, config.n_it_max)
-        transfer = float((a.conj() @ add("u", (n, n)) @ a).real) if config.compute_energy_transfer else float("nan")
+        transfer = float((a.conj() @ u @ a).real) if config.compute_energy_transfer else float("nan")
         norms = [float(np.sqrt(max((a.conj() @ x @ a).real, 0.0))) for x in g]
         row = {"triad_idx": i, **{c: table[c][i].item() for c in ("k", "l", "kl", "f1", "f2", "f3", "region")}}
         row |= {"l_re": value.real, "l_im": value.imag, "l_abs": abs(value), "t": transfer, "a_re": a.real.tolist(), "a_im": a.imag.tolist(), "norms": norms}
