@@ -28,6 +28,21 @@ def shared_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or "/tmp/triadic-checkpoints")
 
 
+#: Rows of an Arrow batch to and from Python. Texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to BATCH_ROWS, unless they are fewer already.
+
+    Plans read this setting when they run, after an operator has returned, so it stays lowered.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and goes on from there: a lost executor then costs a read, not a rerun."""
     shared_dir(df.sparkSession)

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import bounded_broadcast, clean_text, cut, mix64, slices_by_bytes, utf8_buffer
+from triadic.llm.common import bounded_broadcast, clean_text, cut, mix64, short_batches, slices_by_bytes, utf8_buffer
 from triadic.llm.components import connected_components
 from triadic.llm.substring_dedup import Hashes
 
@@ -323,6 +323,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (least doc_id of its group), set_id (least doc_id with the same set), n_links (other documents at or above the threshold)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    short_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = bands * rows_in_band
     plan = least_matches(width, STEP_HASHES, threshold, tolerance)

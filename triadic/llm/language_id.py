@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import clean_text, mix64
+from triadic.llm.common import clean_text, mix64, short_batches
 
 UNKNOWN = "und"
 BUCKETS, PER_LANGUAGE, CALIBRATION, LANGUAGES, FOLDS = 1 << 14, 1500, 0.2, 64, 5
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAG
     """None where there is nothing to learn from."""
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
+    short_batches(docs.sparkSession)
     training = docs.where(~held_out(folds) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", clean_text().alias("text"))
     counts = {r.lang: r.n for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
@@ -198,6 +199,7 @@ def predict_one(model: Model | None, text: str | None) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score for each row of docs, and the columns named in keep."""
+    short_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers: bounded by parameters
 
     def run(batches):

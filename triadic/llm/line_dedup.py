@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import clean_text, cut, mix64
+from triadic.llm.common import clean_text, cut, mix64, short_batches
 
 MIN_CHARS, MAX_EDITS, GRID, CELL, PIECE = 20, 1, 8, 16, 1 << 18
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -234,6 +234,7 @@ def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     """One row for each row of docs: doc_id, mark (hash of the text), n_lines, n_long, stays (sorted numbers of the long lines that stay, from 0), shorts are all others."""
     if max_edits not in (0, 1) or min_chars < 2 * grid:
         raise ValueError("max_edits must be 0 or 1, min_chars at least twice the grid")
+    short_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64(clean_text()).alias("mark"), clean_text().alias("text"))
     scanned = cut(

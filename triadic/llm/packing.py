@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triadic.llm.common import short_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits texts before the merges of this vocabulary, as its readme gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,6 +149,7 @@ def pack(
     window_tokens: int = WINDOW_TOKENS,
 ) -> DataFrame:
     """Matrices of packed ids (little-endian, 16 bits if all ids fit, else 32) with what belongs to their rows."""
+    short_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:  # on the driver; a vocabulary is small and goes to the tasks with the job
         file = docs.sparkSession.sparkContext.broadcast(f.read())
     top = max(int(x.split()[1]) for x in file.value.splitlines() if x)

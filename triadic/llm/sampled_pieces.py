@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import mix64, slices_by_bytes
+from triadic.llm.common import mix64, short_batches, slices_by_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, ZIPF, SEED, PIECE, KEPT = 0.5, 1.0, 23, 1 << 19, 500_000
@@ -283,6 +283,7 @@ def _lattices(path: str, alpha: float, zipf: float, shipped) -> Lattices:
 
 def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, zipf: float = ZIPF, seed: int = SEED, check: bool = False) -> DataFrame:
     """docs' columns but text, with n_pieces and ids (little-endian, 16 bits if all ids fit, else 32); with check, also lossless: whether they decode to the text."""
+    short_batches(docs.sparkSession)
     vocabulary = load(model)
     dtype = np.dtype("<u2" if vocabulary["size"] <= 1 << 16 else "<u4")
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)

@@ -27,6 +27,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from triadic.llm.common import short_batches
+
 KINDS = ("assign", "access", "hex", "guess")
 
 # The base patterns and the least length of what they find.
@@ -177,6 +179,7 @@ def joined(spans) -> str:
 def find_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, words=COMMON_WORDS) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end; end exclusive, in code points) for each row of docs."""
     table = ranks(words)
+    short_batches(docs.sparkSession)
     span = "array<struct<kind: string, start: int, end: int>>"
 
     def scan(batches):

@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import clean_text, cut, mix64, slices_by_bytes, utf8_buffer
+from triadic.llm.common import clean_text, cut, mix64, short_batches, slices_by_bytes, utf8_buffer
 
 LENGTH, WINDOW, GRAM, PIECE = 400, 200, 16, 1 << 20
 #: Offsets in a cell after the first round, whose cells have `window`.
@@ -287,6 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     """One row for each row of docs: doc_id, n_bytes, spans (removed runs of bytes, end exclusive), kept (the remaining bytes)."""
     if not 1 <= window <= length - gram + 1 or length < 2 * gram or piece < length or 2 * piece + length + 2 * window > _PLACE:
         raise ValueError("needs 1 <= window <= length - gram + 1, length >= 2 * gram and length <= piece <= 2**20")
+    short_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.xxhash64("doc_id", clean_text()).alias("key"), F.hash(clean_text()).alias("mark"), "doc_id", clean_text().alias("text"))
