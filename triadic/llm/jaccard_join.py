@@ -392,3 +392,17 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+#: Every pair by the n-grams it shares, and components by reaching; for small tables with distinct doc_ids.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS gram FROM w, range(1, 100000) r(i) WHERE i <= greatest(len(w) - 4, least(len(w), 1))),
+n AS (SELECT w.doc_id, count(gram) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+g AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (same) AS twin FROM l GROUP BY a)
+SELECT g.doc_id, class_id, least(g.doc_id, coalesce(twin, g.doc_id)) AS set_id, coalesce(n_links, 0) AS n_links, g.doc_id = class_id AS kept FROM g LEFT JOIN k ON k.doc_id = g.doc_id
+"""

@@ -268,3 +268,18 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
         (F.col("n_lines") - dropped).cast("long").alias("n_kept"),
         F.sha2(F.array_join(F.transform("stays", lambda i: i.cast("string")), ","), 256).alias("stays_sha256"),
     )
+
+
+#: Lines that share an untouched half are compared character by character; for small tables with distinct doc_ids.
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, i - 1 AS line, parts[i] AS body FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM t) WHERE length(parts[i]) >= 20),
+f AS (SELECT body, length(body) AS n, min({'d': doc_id, 'l': line}) AS pos FROM l GROUP BY body),
+k AS (SELECT pos, body, n, unnest([{'k': n // 2, 's': 'p' || left(body, n // 2)}, {'k': n - n // 2, 's': 's' || right(body, n - n // 2)},
+        {'k': (n - 1) // 2, 's': 'p' || left(body, (n - 1) // 2)}, {'k': n - 1 - (n - 1) // 2, 's': 's' || right(body, n - 1 - (n - 1) // 2)}]) AS key FROM f),
+near AS (SELECT DISTINCT a.pos FROM k a JOIN k b ON a.key = b.key AND a.pos > b.pos AND abs(a.n - b.n) <= 1
+    WHERE len(list_filter(range(0, greatest(a.n, b.n)), lambda i: left(a.body, i) = left(b.body, i) AND substr(a.body, i + 1 + (a.n >= b.n)::INT) = substr(b.body, i + 1 + (b.n >= a.n)::INT))) > 0),
+stays AS (SELECT pos.d AS doc_id, list(pos.l ORDER BY pos.l) AS stays FROM f WHERE pos NOT IN (SELECT pos FROM near) GROUP BY pos.d),
+n AS (SELECT t.doc_id, len(parts) AS n_lines, len(list_filter(parts, lambda x: length(x) >= 20)) AS n_long, coalesce(stays, []) AS stays FROM t LEFT JOIN stays ON stays.doc_id = t.doc_id)
+SELECT doc_id, n_lines, n_long - len(stays) AS n_dropped, n_lines - n_long + len(stays) AS n_kept, sha256(array_to_string(stays, ',')) AS stays_sha256 FROM n
+"""

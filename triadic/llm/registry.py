@@ -15,5 +15,8 @@ QUERIES = {
     "op10_sentencepiece": sampled_pieces.op10_sentencepiece,
 }
 ORACLES = {
+    "op1_suffix_array_dedup": substring_dedup.OP1_SQL,
+    "op5_ngram_jaccard_join": jaccard_join.OP5_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

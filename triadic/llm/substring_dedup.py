@@ -314,3 +314,18 @@ def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 400 bytes, grouped; for small tables with distinct doc_ids.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+b AS (SELECT doc_id, raw, octet_length(raw) AS n FROM d),
+p AS (SELECT doc_id, i, md5(raw[i + 1:i + 400]) AS h FROM (SELECT doc_id, raw, unnest(range(0, n - 399)) AS i FROM b WHERE n >= 400)),
+r AS (SELECT doc_id, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+e AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 400 AS new FROM r),
+g AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, run),
+o AS (SELECT s.doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM s GROUP BY s.doc_id),
+j AS (SELECT b.doc_id, raw, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_concat([0], coalesce(z, [])) AS lo, list_concat(coalesce(a, []), [n]) AS hi FROM b LEFT JOIN o ON o.doc_id = b.doc_id)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(list_reduce(list_transform(range(1, len(lo) + 1), lambda k: raw[lo[k] + 1:hi[k]]), lambda x, y: x || y)) AS kept_sha256 FROM j
+"""
