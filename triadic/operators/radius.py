@@ -113,3 +113,99 @@ def _form(a: np.ndarray, z: np.ndarray) -> tuple[complex, np.ndarray]:
     lead = z[np.argmax(np.abs(z))]
     z = z * (np.conj(lead) / abs(lead))
     return complex(z.conj() @ a @ z), z
+
+
+def _scaled_stack(a: np.ndarray) -> np.ndarray:
+    """Each matrix of a stack times a power of two, as scaled does."""
+    out = a.copy()
+    top = np.maximum(np.abs(a.real), np.abs(a.imag)).max(axis=(1, 2))
+    for _ in range(2):  # the parts first, then the norm
+        fine = (top > 0) & np.isfinite(top)
+        fraction, e = np.frexp(np.where(fine, top, 1.0))
+        e = np.where(fine, e - (fraction == 0.5), 0)[:, None, None]
+        out = np.ldexp(out.real, -e) + 1j * np.ldexp(out.imag, -e)
+        top = np.abs(out).sum(axis=1).max(axis=1)
+    return out
+
+
+def _tops(a: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """The largest eigenvalue of H of each matrix at each of its angles: (m, k)."""
+    x = np.exp(1j * angles)[:, :, None, None] * a[:, None]
+    return np.linalg.eigvalsh((x + np.conj(np.swapaxes(x, -1, -2))) / 2)[..., -1]
+
+
+def _stack_crossings(a: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """level_angles of each matrix of a stack, sorted, padded with NaN: (m, 2 n)."""
+    m, n, _ = a.shape
+    r, s = np.zeros((m, 2 * n, 2 * n), complex), np.zeros((m, 2 * n, 2 * n), complex)
+    eye = np.eye(n)
+    r[:, :n, :n], r[:, :n, n:], r[:, n:, :n] = 2 * level[:, None, None] * eye, -np.conj(np.swapaxes(a, 1, 2)), eye
+    s[:, :n, :n], s[:, n:, n:] = a, eye
+    shifts = 1.3 * np.exp(2j * np.pi * (np.arange(5) + 0.3) / 5)
+    pencils = r[:, None] - shifts[None, :, None, None] * s[:, None]
+    inverse = np.linalg.inv(pencils)
+    norm = lambda x: np.abs(x).sum(axis=-2).max(axis=-1)
+    best = np.argmin(np.nan_to_num(norm(pencils) * norm(inverse), nan=np.inf), axis=1)
+    nu = np.linalg.eigvals(inverse[np.arange(m), best] @ s)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = shifts[best][:, None] + 1 / nu
+        near = np.isfinite(x) & (np.abs(np.abs(x) - 1) <= np.sqrt(EPS) * np.maximum(1.0, norm(a))[:, None])
+    angles = np.where(near, np.mod(np.angle(np.where(near, x, 1)), 2 * np.pi), 0.0)
+    hit = near & (np.abs(_tops(a, angles) - level[:, None]) <= np.sqrt(EPS) * np.maximum(level, 1.0)[:, None])
+    return np.sort(np.where(hit, angles, np.nan), axis=1)
+
+
+def numerical_radii(a: np.ndarray, tol: float = 1e-8, n_it_max: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """numerical_radius of each matrix of a stack (m, n, n): values and vectors. Each matrix's result is the same in any stack."""
+    a = np.asarray(a, complex)
+    m, n, _ = a.shape
+    values, vectors = np.zeros(m, complex), np.zeros((m, n), complex)
+    if n > LARGE or not np.isfinite(a).all():
+        for i in range(m):
+            values[i], vectors[i] = numerical_radius(a[i], tol, n_it_max)
+        return values, vectors
+    small = _scaled_stack(a)
+    start = np.broadcast_to(np.linspace(0, 2 * np.pi, 16, endpoint=False), (m, 16))
+    tops = _tops(small, start)
+    best, top = start[np.arange(m), tops.argmax(axis=1)].copy(), tops.max(axis=1)
+    active = np.flatnonzero(np.abs(small).max(axis=(1, 2)) > 0)
+    for _ in range(n_it_max):
+        if not len(active):
+            break
+        level = (1 + tol) * top[active]
+        try:
+            crossings = _stack_crossings(small[active], level)
+        except np.linalg.LinAlgError:  # a singular pencil: these go one by one
+            for i in active:
+                values[i], vectors[i] = numerical_radius(a[i], tol, n_it_max)
+                best[i] = np.nan
+            break
+        some = ~np.isnan(crossings[:, 0])
+        active, crossings, level = active[some], crossings[some], level[some]
+        if not len(active):
+            break
+        ahead = np.c_[crossings[:, 1:], np.full(len(active), np.nan)]
+        count = (~np.isnan(crossings)).sum(axis=1)
+        ahead[np.arange(len(active)), count - 1] = crossings[:, 0] + 2 * np.pi
+        middles = (crossings + ahead) / 2
+        found = np.where(np.isnan(middles), -np.inf, _tops(small[active], np.nan_to_num(middles)))
+        at, high = found.argmax(axis=1), found.max(axis=1)
+        up = high > level
+        active = active[up]
+        best[active], top[active] = middles[up, at[up]] % (2 * np.pi), high[up]
+    done = ~np.isnan(best)
+    w, v = np.linalg.eigh(rotated_each(small[done], best[done]))
+    z = v[np.arange(len(w)), :, np.argmax(np.abs(w), axis=1)]
+    zero = np.abs(small[done]).max(axis=(1, 2)) == 0
+    z[zero] = np.eye(n)[0]
+    z = z / np.linalg.norm(z, axis=1, keepdims=True)
+    lead = z[np.arange(len(z)), np.argmax(np.abs(z), axis=1)]
+    z = z * (np.conj(lead) / np.abs(lead))[:, None]
+    vectors[done] = z
+    values[done] = np.einsum("mi,mij,mj->m", z.conj(), a[done], z)
+    return values, vectors
+
+
+def rotated_each(a: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    x = np.exp(1j * angles)[:, None, None] * a
+    return (x + np.conj(np.swapaxes(x, -1, -2))) / 2
