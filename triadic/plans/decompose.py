@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triadic.operators import spectra
-from triadic.operators.radius import numerical_radius
+from triadic.operators.radius import numerical_radii
 from triadic.operators.triads import enumerate_triads, find_triad
 from triadic.plans.config import FitConfig, modes_to_keep, precision
 
@@ -125,28 +125,51 @@ def chunk_weights(weight, points: np.ndarray, config: FitConfig) -> np.ndarray:
 
 
 def _solve(config: FitConfig, table: dict[str, np.ndarray], n_blocks: int):
-    def run(key, parts):
+    """Chunks' shares, sorted by triad and chunk -> solved triads; a triad's shares are added up as they come, and some triads are solved together."""
+    n, comps = n_blocks, 4 if config.constituent_modes else 2
+    together = max(1, (1 << 22) // (16 * n * n * (comps + 2)))
+
+    def added(batches):
+        """(triad, B, unweighted B, Gram matrices), one triad after the other."""
+        now, b, u, g = None, None, None, None
+        for batch in batches:
+            for i, *own in zip(*(batch.column(c).to_pylist() for c in ("triad_idx", "b", "u", "g", "thin", "w"))):
+                if i != now:
+                    if now is not None:
+                        yield now, b, u, g
+                    now, b, u, g = i, np.zeros((n, n), complex), np.zeros((n, n), complex), np.zeros((comps, n, n), complex)
+                if own[3] is None:
+                    share = [np.frombuffer(x, complex) for x in own[:3]]
+                else:
+                    share = matrices(list(np.frombuffer(own[3], complex).reshape(comps, -1, n)), np.frombuffer(own[4]).reshape(-1, 1), n, config.compute_energy_transfer)
+                b += share[0].reshape(n, n)
+                if config.compute_energy_transfer:
+                    u += share[1].reshape(n, n)
+                g += share[2].reshape(comps, n, n)
+        if now is not None:
+            yield now, b, u, g
+
+    def solved(some):
         import pyarrow as pa
 
-        i = key[0].as_py()
-        parts = parts.sort_by("chunk")
-        n, comps = n_blocks, 4 if config.constituent_modes else 2
-        b, u, g = np.zeros((n, n), complex), np.zeros((n, n), complex), np.zeros((comps, n, n), complex)
-        for part in parts.to_pylist():
-            if part["thin"] is None:
-                own = [np.frombuffer(part[c], complex) for c in ("b", "u", "g")]
-            else:
-                own = matrices(list(np.frombuffer(part["thin"], complex).reshape(comps, -1, n)), np.frombuffer(part["w"]).reshape(-1, 1), n, config.compute_energy_transfer)
-            b += own[0].reshape(n, n)
-            if config.compute_energy_transfer:
-                u += own[1].reshape(n, n)
-            g += own[2].reshape(comps, n, n)
-        value, a = numerical_radius(b, config.tol, config.n_it_max)
-        transfer = float((a.conj() @ u @ a).real) if config.compute_energy_transfer else float("nan")
-        norms = [float(np.sqrt(max((a.conj() @ x @ a).real, 0.0))) for x in g]
-        row = {"triad_idx": i, **{c: table[c][i].item() for c in ("k", "l", "kl", "f1", "f2", "f3", "region")}}
-        row |= {"l_re": value.real, "l_im": value.imag, "l_abs": abs(value), "t": transfer, "a_re": a.real.tolist(), "a_im": a.imag.tolist(), "norms": norms}
-        return pa.Table.from_pylist([row], schema=shape)
+        values, vectors = numerical_radii(np.stack([x[1] for x in some]), config.tol, config.n_it_max)
+        rows = []
+        for (i, _, u, g), value, a in zip(some, values, vectors):
+            transfer = float((a.conj() @ u @ a).real) if config.compute_energy_transfer else float("nan")
+            row = {"triad_idx": i, **{c: table[c][i].item() for c in ("k", "l", "kl", "f1", "f2", "f3", "region")}}
+            row |= {"l_re": value.real.item(), "l_im": value.imag.item(), "l_abs": abs(value).item(), "t": transfer, "a_re": a.real.tolist(), "a_im": a.imag.tolist()}
+            rows.append(row | {"norms": [float(np.sqrt(max((a.conj() @ x @ a).real, 0.0))) for x in g]})
+        return pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    def run(batches):
+        some = []
+        for x in added(batches):
+            some.append(x)
+            if len(some) == together:
+                yield solved(some)
+                some = []
+        if some:
+            yield solved(some)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -270,7 +293,9 @@ def fit(field: DataFrame, config: FitConfig, weights: DataFrame | None = None) -
         points = max(1, config.chunk_values // (nt * nv))
         own = weights.withColumn("chunk", (F.col("p") / F.lit(points)).cast("int"))
         parts = rows.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(run, _PART)
-    solved = parts.groupBy("triad_idx").applyInArrow(_solve(config, table, n_blocks), _SOLVED)
+    n = int(field.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: the solver is work for processors, whatever the bytes
+    ordered = parts.repartition(n, "triad_idx").sortWithinPartitions("triad_idx", "chunk")
+    solved = ordered.mapInArrow(_solve(config, table, n_blocks), _SOLVED)
     return FitResult(config, (nt, nx, nv), solved, field)
 
 
