@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from triadic.llm.common import mix64, short_batches, slices_by_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ALPHA, ZIPF, SEED, PIECE, KEPT = 0.5, 1.0, 23, 1 << 19, 500_000
+ALPHA, ZIPF, SEED, PIECE, KEPT = 0.5, 1.0, 23, 1 << 18, 700_000
 #: Stands for a space in front of a unit; no character has this number, so the space mark in a text stays apart.
 MARK = 0x110000
 SPACE_MARK = "▁"
@@ -276,7 +276,7 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def _lattices(path: str, alpha: float, zipf: float, shipped) -> Lattices:
     return Lattices(shipped.value, alpha, zipf)
 
