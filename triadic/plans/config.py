@@ -56,7 +56,7 @@ class FitConfig:
     constituent_modes: bool = False
     compute_energy_transfer: bool = True
     #: Values of a chunk of points that one task holds; it fixes the order of sums whatever the partitions.
-    chunk_values: int = 1 << 20
+    chunk_values: int = 1 << 19
     #: For products of different variables: states, and for each state its pairs (q, r, q, r, ...); None: each variable with itself.
     state_idx: tuple[int, ...] | None = None
     qr_idx: tuple[tuple[int, ...], ...] | None = None

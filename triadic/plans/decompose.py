@@ -78,11 +78,14 @@ def legs(q: dict[int, np.ndarray], config: FitConfig, k: int, l: int, constituen
     return [x.reshape(-1, x.shape[-1]) for x in found]
 
 
-def matrices(own: list[np.ndarray], flat: np.ndarray, n: int, transfer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's share of B, of B without weights, and of the legs' Gram matrices."""
-    weighted = [flat * x for x in own]
-    u = own[0].conj().T @ own[1] / n if transfer else np.zeros(0, complex)
-    return own[0].conj().T @ weighted[1] / n, u, np.stack([x.conj().T @ y for x, y in zip(own, weighted)])
+def matrices(own: list[np.ndarray], flat: np.ndarray | None, n: int, transfer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's share of B, of B without weights, and of the legs' Gram matrices. flat: weights of the rows, None for 1."""
+    side = np.concatenate(own, axis=1)
+    left = side.conj().T
+    every = (left @ (side if flat is None else flat * side)).reshape(len(own), n, len(own), n)
+    b = every[0, :, 1] / n
+    u = np.zeros(0, complex) if not transfer else b if flat is None else left[:n] @ own[1] / n
+    return b, u, np.stack([every[c, :, c] for c in range(len(own))])
 
 
 def _partials(config: FitConfig, table: dict[str, np.ndarray], nt: int, nv: int):
@@ -97,6 +100,8 @@ def _partials(config: FitConfig, table: dict[str, np.ndarray], nt: int, nv: int)
         q = chunk_spectra(series, config, freqs)
         flat, n = w.reshape(-1, 1), config.blocks(nt)
         thin = len(flat) < n  # then the legs themselves are smaller than matrices of blocks
+        if weight is None and not thin:
+            flat = None
         rows = []
         for i, k, l in zip(table["triad_idx"].tolist(), table["k"].tolist(), table["l"].tolist()):  # noqa: E741
             own = legs(q, config, k, l, config.constituent_modes)
