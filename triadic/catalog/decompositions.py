@@ -157,9 +157,27 @@ def modes_top(spark, d):
     return result.modes(ids)
 
 
-@query("interaction_map")
+#: CTE z: the maximiser of a triad's 2 x 2 form at its best angle; CTE psi: modulus of the normalised legs at each point.
+MODES_SQL = f"""{RADIUS_SQL},
+    e AS (SELECT triad_idx, arg_max({{'x': w - h2, 'gr': gr, 'gi': gi}}, w) AS v FROM v2 GROUP BY triad_idx),
+    z AS (SELECT triad_idx, b, CASE WHEN b = 0 THEN v.x ELSE v.gr END AS zr, CASE WHEN b = 0 THEN 0 ELSE -v.gi END AS zi FROM e, range(2) s(b)),
+    legs AS (SELECT 0 AS comp, * FROM total UNION ALL SELECT 1, * FROM product),
+    raw AS (SELECT triad_idx, comp, p, s, sum(re * zr - im * zi) ** 2 + sum(re * zi + im * zr) ** 2 AS power FROM legs JOIN z USING (triad_idx, b) GROUP BY triad_idx, comp, p, s),
+    psi AS (SELECT triad_idx, comp, p, s::INT AS s, sqrt(power / sum(power) OVER (PARTITION BY triad_idx, comp)) AS modulus FROM raw)"""
+
+
+@query(
+    "interaction_map",
+    f"{MODES_SQL} SELECT triad_idx, p, s, round(a.modulus * b.modulus, 4) + 0.0 AS value FROM psi a JOIN psi b USING (triad_idx, p, s) WHERE a.comp = 0 AND b.comp = 1 AND triad_idx IN {tuple(_CHOSEN)}",
+)
 def interaction_map(spark, d):
-    return estimators.interaction_map(_modes(spark, d))
+    return rounded(estimators.interaction_map(_modes(spark, d)), "value", digits=4)
+
+
+@query("mode_moduli", f"{MODES_SQL} SELECT triad_idx, comp::INT AS comp, p, s, round(modulus, 4) + 0.0 AS modulus FROM psi WHERE triad_idx IN {tuple(_CHOSEN)}")
+def mode_moduli(spark, d):
+    """Moduli of modes, which the free phase of the coefficients leaves alone."""
+    return rounded(_modes(spark, d).select("triad_idx", "comp", "p", "s", F.hypot("re", "im").alias("modulus")), "modulus", digits=4)
 
 
 @query("mode_panels")
