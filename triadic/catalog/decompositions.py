@@ -65,7 +65,7 @@ def energy_transfer(spark, d):
 
 
 def _ranked(order: str, where: str, n: int) -> str:
-    return f"{RADIUS_SQL} SELECT {_LISTED}, round(value, 4) + 0.0 AS value FROM (SELECT *, {order} AS value FROM r WHERE {where}) ORDER BY value DESC, triad_idx LIMIT {n}"
+    return f"{RADIUS_SQL} SELECT {_LISTED}, round(exact, 4) + 0.0 AS value FROM (SELECT *, {order} AS exact FROM r WHERE {where}) ORDER BY exact DESC, triad_idx LIMIT {n}"
 
 
 def _ranking(n, quantity, exclude_zero=True):
