@@ -68,3 +68,28 @@ def test_each_stage_does_its_job(spark, sf_dir, tmp_path):
 def test_run_agrees_with_itself(spark, sf_dir):
     once, twice = (Counter((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()) for _ in range(2))
     assert once == twice and len(once) > 200
+
+
+def test_columns_of_any_name_pass_through(spark, sf_dir, tmp_path):
+    names = ["score", "lang_pred", "shards", "position", "size", "h", "name", "cid", "ids", "n_pieces", "class", "mark"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *[f"doc_id * {i} AS `{n}`" for i, n in enumerate(names)])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        if name == "sentencepiece":
+            assert out.columns == [c for c in docs.columns if c not in ("text", "ids", "n_pieces")] + ["n_pieces", "ids"]
+            assert out.count() == docs.count()
+        else:
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}")
+            assert docs.where("size <> doc_id * 4").count() == 0 < docs.count()
+
+
+def test_empty_and_wordless_documents(spark, tmp_path):
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n", None, "b", 0)]
+    for k, part in enumerate((rows, [])):
+        docs = spark.createDataFrame(part, "doc_id long, text string, lang string, source string, n_chars long")
+        for _, stage in corpus_pipeline.STAGES[1:4]:
+            assert stage(spark, docs, "").columns == docs.columns
+        assert corpus_pipeline.STAGES[0][1](spark, docs, "").count() == 0
+        assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() == len(part)

@@ -198,7 +198,7 @@ def predict_one(model: Model | None, text: str | None) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score for each row of docs, and the columns named in keep."""
+    """doc_id, lang_pred and score for each row of docs, and the columns named in keep (not those three)."""
     short_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers: bounded by parameters
 
@@ -218,6 +218,22 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     return chosen.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model | None, least_score: float = 0.0) -> DataFrame:
+    """The rows of docs whose language is told with least_score at least, with docs' columns, whatever their names."""
+    short_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            told = [predict_one(shipped.value, t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in told], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs, fit(docs))

@@ -178,11 +178,11 @@ def mix_decisions(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with docs' columns, in shards and shuffled within them."""
-    taken = mix_decisions(docs, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "shards", "position").where(F.size("shards") > 0)
+    taken = mix_decisions(docs, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("shards").alias("__shards"), F.col("position").alias("__position")).where(F.size("__shards") > 0)
     taken = taken.dropDuplicates(["__id", "__size"])
     out = docs.withColumn("__own", word_count(clean_text())).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
-    out = out.withColumn("__shard", F.explode("shards"))
-    return out.sortWithinPartitions("__shard", "position").select(*docs.columns)
+    out = out.withColumn("__shard", F.explode("__shards"))
+    return out.sortWithinPartitions("__shard", "__position").select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -282,12 +282,12 @@ def _lattices(path: str, alpha: float, zipf: float, shipped) -> Lattices:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, zipf: float = ZIPF, seed: int = SEED, check: bool = False) -> DataFrame:
-    """docs' columns but text, with n_pieces and ids (little-endian, 16 bits if all ids fit, else 32); with check, also lossless: whether they decode to the text."""
+    """docs' columns but text (and any of these names), with n_pieces and ids (little-endian, 16 bits if all ids fit, else 32); with check, also lossless: whether they decode to the text."""
     short_batches(docs.sparkSession)
     vocabulary = load(model)
     dtype = np.dtype("<u2" if vocabulary["size"] <= 1 << 16 else "<u4")
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "n_pieces", "ids", "lossless")]
     chosen = docs.select(F.xxhash64(F.lit(seed), F.col(key)).alias("__key"), F.col("text").alias("__text"), *others)
 
     def run(batches):
@@ -328,7 +328,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     vocabulary = load(model)
     dtype = np.dtype("<u2" if vocabulary["size"] <= 1 << 16 else "<u4")
     shipped = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    others = [c for c in encoded.columns if c != "ids"]
+    others = [c for c in encoded.columns if c not in ("ids", "text")]
 
     def run(batches):
         import pyarrow as pa
