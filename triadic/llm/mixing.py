@@ -3,8 +3,8 @@
 Each source's documents are permuted by a hash of seed and doc_id, and the permuted order is cut into
 blocks of about `block_docs` documents. A source whose target is t times its size runs through all its
 blocks floor(t) times and then draws, once more, the first blocks of its permuted order up to its target
-(in the last block, the first documents); so draws are disjoint within a pass and no document comes more
-often than `max_repeats` times.
+(in the last block, documents that fit into what is left); so draws are disjoint within a pass and no
+document comes more often than `max_repeats` times.
 
 The blocks so drawn go to `shards` output shards by a multivariate-hypergeometric splitting tree. A node
 holds each source's exact number of blocks. It draws how many of them go to its left half without
@@ -164,10 +164,7 @@ def mix_decisions(
     decided = blocks.join(placed_draws.withColumnsRenamed({"source": "s", "block": "b"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     decided = decided.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "passes", "extra", "room", "dealt")
     rows = placed.join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    inside = W.partitionBy("source", "block").orderBy("at", "doc_id", "size")
-    partial = rows.where("extra = 0").withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    # The document across the target is taken where that brings the source nearer to it.
-    partial = partial.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("room")).cast("int")).drop("upto")
+    partial = _filled(rows.where("extra = 0"))
     rest = rows.where("extra <> 0").withColumn("more", (F.col("extra") == 1).cast("int"))
     out = rest.unionByName(partial).withColumn("repeats", (F.col("passes") + F.col("more")).cast("int"))
     out = out.withColumn("shards", F.expr("transform(filter(coalesce(dealt, array()), d -> d.pass < repeats), d -> d.shard)"))
@@ -176,6 +173,27 @@ def mix_decisions(
     )
 
 
+def _filled(rows: DataFrame, rounds: int = 4) -> DataFrame:
+    """Which documents of a source's last block are taken (more): what fits into room, in permuted order.
+
+    A round takes, of the documents that are not longer than what is left, the first ones that fit together;
+    the next round goes on with what is left then. In the end the shortest of the others is taken if that brings
+    the sum nearer to room. A block is small, and all rounds share its one shuffle.
+    """
+    block = W.partitionBy("source", "block")
+    run = block.orderBy("at", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumns({"more": F.lit(0), "left": F.col("room").cast("double"), "serial": F.row_number().over(block.orderBy("at", "doc_id", "size"))})
+    for _ in range(rounds):
+        fits = F.when((F.col("more") == 0) & (F.col("size") <= F.col("left")), F.col("size"))
+        out = out.withColumn("fits", fits).withColumn("upto", F.sum("fits").over(run))
+        out = out.withColumn("new", (F.col("fits").isNotNull() & (F.col("upto") <= F.col("left"))).cast("int"))
+        out = out.withColumn("left", F.col("left") - F.sum(F.col("new") * F.col("size")).over(block)).withColumn("more", F.col("more") + F.col("new"))
+    shortest = F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.struct("size", "serial"))).over(block)
+    last = (F.col("more") == 0) & (F.struct("size", "serial") == F.col("shortest")) & (F.col("size") < 2 * F.col("left"))
+    out = out.withColumn("shortest", shortest).withColumn("more", F.when(F.coalesce(last, F.lit(False)), 1).otherwise(F.col("more")))
+    return out.drop("left", "serial", "fits", "upto", "new", "shortest")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with docs' columns, in shards and shuffled within them."""
     taken = mix_decisions(docs, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("shards").alias("__shards"), F.col("position").alias("__position")).where(F.size("__shards") > 0)
