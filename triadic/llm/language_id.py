@@ -111,8 +111,32 @@ def _sample(training: DataFrame, counts: dict[str, int], per_language: int, buck
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.float32()))], ["lang", "place", "at", "what"])
 
     chosen = training.select("lang", F.xxhash64(F.lit(seed + 1), "doc_id").alias("place"), "text").where(place < share)
-    rows = chosen.mapInArrow(featured, "lang string, place long, at array<int>, what array<float>").toArrow()
-    return rows.sort_by([("place", "ascending"), ("lang", "ascending")])
+    return chosen.mapInArrow(featured, "lang string, place long, at array<int>, what array<float>").toArrow()
+
+
+class Examples:
+    """Sampled documents in order of their hash, as (columns with the bias, unit vector of TF-IDF with 1); made when asked for, so that the sample is held once."""
+
+    def __init__(self, rows, idf: np.ndarray):
+        import pyarrow.compute as pc
+
+        self.order = pc.sort_indices(rows, sort_keys=[("place", "ascending"), ("lang", "ascending")]).to_numpy()
+        self.langs = rows["lang"].to_pylist()
+        at, what = rows["at"].combine_chunks(), rows["what"].combine_chunks()
+        self.ends, self.at, self.what, self.idf = at.offsets.to_numpy(), at.values.to_numpy(), what.values.to_numpy(), idf
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.ends[self.order[i]], self.ends[self.order[i] + 1]
+        at = self.at[a:b]
+        x = self.what[a:b] * self.idf[at]
+        norm = np.sqrt((x * x).sum())
+        return np.r_[at, len(self.idf)], np.r_[x / norm if norm else x, 1.0]
+
+    def lang(self, i: int) -> str:
+        return self.langs[self.order[i]]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -121,7 +145,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def ftrl(examples, targets: np.ndarray, buckets: int, classes: int, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS):
-    """FTRL-proximal with elastic net for multinomial logistic regression; examples are (columns, values). The last column is the bias, which no penalty holds."""
+    """FTRL-proximal with elastic net for multinomial logistic regression; examples are (columns, values), in a list or given by a call for each epoch. The last column is the bias, which no penalty holds."""
     z, n = np.zeros((buckets + 1, classes)), np.zeros((buckets + 1, classes))
 
     def weights(at):
@@ -132,7 +156,7 @@ def ftrl(examples, targets: np.ndarray, buckets: int, classes: int, alpha=ALPHA,
 
     eye = np.eye(classes)
     for _ in range(epochs):
-        for (at, x), y in zip(examples, targets):
+        for (at, x), y in zip(examples() if callable(examples) else examples, targets):
             w = weights(at)
             g = np.outer(x, softmax(x @ w) - eye[y])
             before = n[at]
@@ -160,6 +184,8 @@ def best_temperature(logits: np.ndarray, targets: np.ndarray) -> float:
 
 def fit(docs: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAGE, calibration: float = CALIBRATION, languages: int = LANGUAGES, folds: int = FOLDS, seed: int = SEED) -> Model | None:
     """None where there is nothing to learn from."""
+    import pyarrow as pa
+
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
     short_batches(docs.sparkSession)
@@ -170,18 +196,15 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAG
     names = sorted(counts)
     df, n = _document_frequencies(training, buckets)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    rows = _sample(training.where(F.col("lang").isin(names)), counts, per_language, buckets, seed)
-    examples, targets = [], []
-    for lang, at, what in zip(rows["lang"].to_pylist(), rows["at"], rows["what"]):
-        at, x = np.asarray(at.values), np.asarray(what.values, dtype=np.float64)
-        x = x * idf[at]
-        norm = np.sqrt((x * x).sum())
-        examples.append((np.r_[at, buckets], np.r_[x / norm if norm else x, 1.0]))
-        targets.append(names.index(lang))
-    targets = np.array(targets, np.int64)
-    aside = int(len(examples) * calibration) if len(examples) >= 10 else 0
-    w = ftrl(examples[aside:], targets[aside:], buckets, len(names)) if len(examples) else np.zeros((buckets + 1, len(names)))
-    logits = np.array([x @ w[at] for at, x in examples[:aside]]).reshape(-1, len(names))
+    examples = Examples(_sample(training.where(F.col("lang").isin(names)), counts, per_language, buckets, seed), idf)
+    n = len(examples)
+    targets = np.array([names.index(examples.lang(i)) for i in range(n)], np.int64)
+    aside = int(n * calibration) if n >= 10 else 0
+    fitted = range(aside, n)
+    w = ftrl(lambda: (examples[i] for i in fitted), targets[aside:], buckets, len(names)) if n else np.zeros((buckets + 1, len(names)))
+    logits = np.array([x @ w[at] for at, x in (examples[i] for i in range(aside))]).reshape(-1, len(names))
+    del examples
+    pa.default_memory_pool().release_unused()
     return Model(names, w[:-1] * idf[:, None], idf, w[-1], best_temperature(logits, targets[:aside]))
 
 
