@@ -44,6 +44,15 @@ def test_naming_tells_apart_what_a_hash_would_not(spark):
             assert (got[i] == got[j]) == (a == b)
 
 
+def test_rows_without_or_with_repeated_ids_stay_if_texts_differ(spark):
+    rows = [(None, "a", "s"), (None, "b", "s"), (None, "b", "s"), (None, "c  c", "s"), (None, "c c", "s"), (None, None, "s"), (None, "d", "s"), (5, "d", "s")]
+    rows += [(7, "e", "s"), (7, "f", "s"), (7, "f", "s"), (8, "f", "s"), (9, "g", "s")]
+    kept = exact_dedup.drop_copies(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    got = sorted(((r.doc_id, " ".join((r.text or "").split())) for r in kept.collect()), key=str)
+    assert got == sorted([(None, "a"), (None, "b"), (None, "c c"), (None, ""), (5, "d"), (7, "e"), (7, "f"), (9, "g")], key=str)
+
+
 def test_exact_groups_of_nothing(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
 

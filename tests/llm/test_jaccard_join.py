@@ -92,6 +92,20 @@ def test_keep_one_and_nothing(spark):
     assert run(spark, []) == [] and run(spark, [(1, None)]) == [(1, 1, 1, 0)]
 
 
+def test_keep_one_without_and_with_repeated_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(1000)}" for _ in range(80)) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(None, a), (1, near(a)), (None, b), (None, near(b)), (None, c), (None, None), (None, "")]
+    rows += [(7, d), (7, e), (3, near(d)), (8, near(e)), (9, "one two")]
+    df = spark.createDataFrame([(i, t, "s", 0, 1) for i, t in rows], DOCS).repartition(3)
+    kept = [(r.doc_id, r.text) for r in jj.keep_one(df).collect()]
+    alone = [(1, near(a)), (None, c), (None, None), (None, ""), (3, near(d)), (7, e), (9, "one two")]
+    of_b = [r for r in kept if r in ((None, b), (None, near(b)))]
+    assert len(of_b) == 1
+    assert sorted(map(str, kept)) == sorted(map(str, alone + of_b))
+
+
 def test_pruning_plan_keeps_pairs_at_the_threshold():
     plan = jj.least_matches(175, 35, 0.8, 1e-9)
     assert [k for k, _ in plan] == [35, 70, 105, 140, 175]

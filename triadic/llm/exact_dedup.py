@@ -14,7 +14,8 @@ equi-join whose hot keys adaptive execution splits.
 
 Rows with null text count as the empty text. A null doc_id is compared as any value is and sorts last.
 Repeated rows are further members of their group; those that carry the smallest doc_id all stay in
-`exact_groups`, and `drop_copies` keeps one of them. An empty table gives an empty result. Columns of the
+`exact_groups`, and `drop_copies` keeps one of them; rows that share a doc_id, or have none, and differ
+in text are no copies and stay. An empty table gives an empty result. Columns of the
 input other than doc_id and text are not read.
 """
 
@@ -101,14 +102,16 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that stay, with docs' columns; of repeated rows of one doc_id, one."""
-    groups = cut(_groups(docs, block_chars).select("doc_id", "mark", "kept"))
+    """The rows of docs that stay, with docs' columns; of rows that share doc_id and text, one."""
+    groups = cut(_groups(docs, block_chars).select("doc_id", "mark", "kept", "text_sha256"))
     gone = groups.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
     keyed = docs.withColumn("__own", F.xxhash64("text"))
     out = keyed.join(bounded_broadcast(gone, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left_anti").select(*docs.columns)
-    # Rows that stay share a doc_id only if they are repeated; the texts are shuffled for that only where it occurs.
-    repeated = groups.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    # Rows that stay share doc_id and text only if they are repeated; the texts are shuffled for that only where it occurs.
+    repeated = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return out
+    return out.withColumn("__sha", F.sha2(normalised(clean_text()), 256)).dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

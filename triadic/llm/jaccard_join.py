@@ -180,7 +180,7 @@ def _sketches(shingle: int, bands: int, rows: int, seed: int):
         salt = multipliers(bands, seed + 1)
         spread = multipliers(rows, seed + 2)
         for batch in batches:
-            raw, bounds = utf8_buffer(batch.column(1))
+            raw, bounds = utf8_buffer(batch.column(2))
             for a, b in slices_by_bytes(np.diff(bounds), PIECE):
                 sets = shingle_hashes(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], shingle)
                 k1, k2, size, keys, sigs = [], [], [], [], []
@@ -197,8 +197,8 @@ def _sketches(shingle: int, bands: int, rows: int, seed: int):
                         sigs.append(b"")
                 long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), long(k1), long(k2), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    ["doc_id", "k1", "k2", "n", "buckets", "sig"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), long(k1), long(k2), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    ["doc_id", "mark", "k1", "k2", "n", "buckets", "sig"],
                 )
 
     return run
@@ -322,14 +322,22 @@ def near_duplicates(
     seed: int = SEED,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (least doc_id of its group), set_id (least doc_id with the same set), n_links (other documents at or above the threshold)."""
+    found = _near(docs, shingle, threshold, bands, rows_in_band, tolerance, bucket_block, group_block, seed)
+    return found.select("doc_id", "class_id", "set_id", "n_links")
+
+
+def _near(docs: DataFrame, shingle: int, threshold: float, bands: int, rows_in_band: int, tolerance: float, bucket_block: int, group_block: int, seed: int) -> DataFrame:
+    """near_duplicates with mark, a hash of the text, and stays: whether the row's doc_id and text are the first of its group."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     short_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = bands * rows_in_band
     plan = least_matches(width, STEP_HASHES, threshold, tolerance)
-    texts = docs.select("doc_id", clean_text().alias("text"))
-    facts = cut(texts.mapInArrow(_sketches(shingle, bands, rows_in_band, seed), f"doc_id {id_type}, k1 long, k2 long, n int, buckets array<long>, sig binary"))
-    classes = facts.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+    texts = docs.select("doc_id", F.xxhash64(clean_text()).alias("mark"), clean_text().alias("text"))
+    facts = cut(texts.mapInArrow(_sketches(shingle, bands, rows_in_band, seed), f"doc_id {id_type}, mark long, k1 long, k2 long, n int, buckets array<long>, sig binary"))
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))  # a null doc_id comes last
+    classes = facts.where("n > 0").groupBy("k1", "k2").agg(least_row.alias("least"), F.count(F.lit(1)).alias("copies"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+    classes = classes.select("k1", "k2", F.col("least.doc_id").alias("set_id"), F.col("least.mark").alias("set_mark"), "copies", "buckets", "sig")
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     rows = classes.select("cid", F.explode("buckets").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -342,10 +350,9 @@ def near_duplicates(
     groups = connected_components(edges)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     wanted = groups.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), "size")
-    wanted = wanted.join(classes.select("cid", "k1", "k2", "set_id", "copies"), "cid")
-    # One text speaks for its class; a repeated doc_id may bring others, which their sets give away.
-    own = facts.select("doc_id", "k1", "k2")
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("set_id"))).select("cid", "comp", "size", "copies", "k1", "k2", "text")
+    wanted = wanted.join(classes.select("cid", "k1", "k2", "set_id", "set_mark", "copies"), "cid")
+    # One text speaks for its class; another of its doc_id and hash would be given away by its set.
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("mark") == F.col("set_mark"))).select("cid", "comp", "size", "copies", "k1", "k2", "text")
     hashed = texts.mapInArrow(_checked(_rehash(shingle)), "cid long, comp long, size long, copies long, k1 long, k2 long, hashes binary").dropDuplicates(["cid"])
     block, pairs = _blocks("size", group_block, "cid")
     units = hashed.select("comp", F.explode(pairs).alias("pair"), block.alias("block"), "cid", "copies", "hashes").select("comp", "pair.i", "pair.j", "block", "cid", "copies", "hashes")
@@ -353,13 +360,15 @@ def near_duplicates(
     verified = cut(units.mapInArrow(_verify(threshold), "cid long, links long, root long"))
     final = connected_components(verified.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = classes.select("cid", "k1", "k2", "set_id", "copies").join(links, "cid", "left").join(final.withColumnRenamed("node", "cid"), "cid", "left")
+    known = classes.select("cid", "k1", "k2", "set_id", "set_mark", "copies").join(links, "cid", "left").join(final.withColumnRenamed("node", "cid"), "cid", "left")
     known = known.withColumn("component", F.coalesce("component", "cid"))
-    least = known.groupBy("component").agg(F.min("set_id").alias("class_id"))
-    known = known.join(least, "component").select("k1", "k2", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    first = F.min(F.struct(F.col("set_id").isNull().alias("none"), "set_id", "set_mark"))
+    least = known.groupBy("component").agg(first.alias("first")).select("component", F.col("first.set_id").alias("class_id"), F.col("first.set_mark").alias("class_mark"))
+    known = known.join(least, "component").select("k1", "k2", "set_id", "class_id", "class_mark", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = cut(known)
-    some = facts.where("n > 0").select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "set_id", "n_links")
-    none = facts.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"))
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
+    some = facts.where("n > 0").select("doc_id", "mark", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "mark", "class_id", "set_id", "n_links", stays.alias("stays"))
+    none = facts.where("n = 0").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
     return some.unionByName(none)
 
 
@@ -383,10 +392,23 @@ def _checked(rehash):
     return run
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is its group's class_id, with docs' columns."""
-    gone = cut(near_duplicates(docs, **options).where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(bounded_broadcast(gone, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+def keep_one(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows_in_band: int = ROWS_IN_BAND,
+    tolerance: float = TOLERANCE,
+    bucket_block: int = BUCKET_BLOCK,
+    group_block: int = GROUP_BLOCK,
+    seed: int = SEED,
+) -> DataFrame:
+    """The rows of docs with the first doc_id (null last) and text of their group, with docs' columns; a doc_id's other texts stand for themselves."""
+    found = _near(docs, shingle, threshold, bands, rows_in_band, tolerance, bucket_block, group_block, seed)
+    gone = cut(found.where("NOT stays").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct())
+    keyed = docs.withColumn("__own", F.xxhash64(clean_text()))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark"))
+    return keyed.join(bounded_broadcast(gone, MOST_BROADCAST), same, "left_anti").select(*docs.columns)
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
