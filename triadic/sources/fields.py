@@ -41,9 +41,9 @@ def events(spark: SparkSession, sf_dir: str, every: str = "hour", measures=("sum
     return zero_filled(rows, nt, len(EVENT_TYPES), [known[m] / F.lit(scale) for m in measures])
 
 
-def embeddings(spark: SparkSession, sf_dir: str, nt: int = 500) -> DataFrame:
-    """The first nt vectors as samples in time, their 64 dimensions as points of an 8 x 8 grid."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < nt)
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as samples in time, their 64 dimensions as points of an 8 x 8 grid."""
+    rows = table(spark, sf_dir, "embeddings")
     return rows.select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("p", "value")).select("t", F.col("p").cast("long").alias("p"), F.lit(0).alias("v"), F.col("value").cast("double").alias("value"))
 
 
