@@ -246,7 +246,7 @@ def classical_bispectrum(spark, d):
 
 
 def _embedding_grid(spark, d):
-    f = embedding_signal(spark, d).where("t < 40")
+    f = embedding_signal(spark, d)
     return f.select("t", F.floor(F.col("p") / 8).cast("int").alias("iy"), (F.col("p") % 8).cast("int").alias("ix"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
 
 
@@ -265,4 +265,4 @@ def symmetric_fraction(spark, d):
     SELECT t, round(64 * 0.5 / arg_max(m, power), 6) AS wavelength FROM w GROUP BY t""",
 )
 def streamwise_wavelength(spark, d):
-    return rounded(estimators.streamwise_wavelength(_embedding_grid(spark, d), 0.5, 64, ["t"]), "wavelength", digits=6)
+    return rounded(estimators.streamwise_wavelength(_embedding_grid(spark, d), 0.5, 4096, ["t"]), "wavelength", digits=6)

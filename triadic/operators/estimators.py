@@ -42,13 +42,29 @@ def symmetric_fraction(grid_field: DataFrame, ny: int, keys: list[str]) -> DataF
 
 def streamwise_wavelength(grid_field: DataFrame, dx: float, n_pad: int, keys: list[str]) -> DataFrame:
     """(keys, iy, ix, re, im) -> wavelength of the strongest wavenumber of the zero-padded transform along ix, power summed over iy, mean excluded."""
-    freqs = grid_field.withColumn("m", F.explode(F.sequence(F.lit(-(n_pad // 2)), F.lit((n_pad - 1) // 2)))).where("m <> 0")
-    a = F.lit(2.0) * F.pi() * F.pmod(F.col("m") * F.col("ix"), F.lit(n_pad)) / F.lit(float(n_pad))
-    sums = freqs.groupBy(*keys, "iy", "m").agg(F.sum(F.col("re") * F.cos(a) + F.col("im") * F.sin(a)).alias("sr"), F.sum(F.col("im") * F.cos(a) - F.col("re") * F.sin(a)).alias("si"))
-    power = sums.groupBy(*keys, "m").agg(F.sum(F.col("sr") ** 2 + F.col("si") ** 2).alias("power"))
-    # Real fields have equal power at m and -m; the modulus of m is what counts, so round-off in ties does not.
-    best = power.groupBy(*keys, F.abs("m").alias("m")).agg(F.max("power").alias("power")).groupBy(*keys).agg(F.max_by("m", F.struct("power", -F.col("m"))).alias("m"))
-    return best.select(*keys, (F.lit(float(n_pad * dx)) / F.col("m")).alias("wavelength"))
+    cells = grid_field.groupBy(*keys).agg(F.collect_list(F.struct(F.col("iy").cast("long"), F.col("ix").cast("long"), F.col("re").cast("double"), F.col("im").cast("double"))).alias("__cells"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields[:-1])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            listed = batch.column(batch.num_columns - 1)
+            iy, ix, re, im = (x.to_numpy(zero_copy_only=False) for x in listed.flatten().flatten())
+            ends = np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))
+            best = []
+            for lo, hi in zip(np.r_[0, ends[:-1]], ends):
+                rows, row = np.unique(iy[lo:hi], return_inverse=True)
+                line = np.zeros((len(rows), n_pad), complex)
+                np.add.at(line, (row, ix[lo:hi] % n_pad), re[lo:hi] + 1j * im[lo:hi])
+                power = (np.abs(np.fft.fft(line, axis=1)) ** 2).sum(axis=0)
+                # Real fields have equal power at m and -m; the modulus of m is what counts, so round-off in ties does not.
+                m = np.arange(1, n_pad // 2 + 1)
+                best.append(m[np.maximum(power[m], power[-m]).argmax()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_pad * dx / np.array(best, float))], [*batch.schema.names[:-1], "wavelength"])
+
+    return cells.mapInArrow(run, f"{kinds}, wavelength double")
 
 
 def bispectrum_map(bispectrum: DataFrame, log: bool = True) -> DataFrame:
