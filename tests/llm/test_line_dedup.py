@@ -60,6 +60,20 @@ def test_against_brute_force(spark, seed, edits):
     assert run(spark, rows, max_edits=edits) == brute(rows, 20, edits)
 
 
+@pytest.mark.parametrize("seed,edits,min_chars", [(4, 1, 1), (5, 0, 1), (6, 1, 5)])
+def test_short_lines_against_brute_force(spark, seed, edits, min_chars):
+    rows = corpus(seed, low=1, high=24) + corpus(seed + 10, n=20, letters="ab", low=13, high=19)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)] + [(500, "a\nb\n\nab"), (501, "a\n\n"), (None, "a" * 15), (502, "a" * 16), (503, "a" * 17 + "\n" + "a" * 18)]
+    assert run(spark, rows, min_chars=min_chars, max_edits=edits) == brute(rows, min_chars, edits)
+
+
+def test_short_repeats_go_where_asked(spark):
+    rows = [(1, "Les.\nx"), (2, "Les.\nAnd ornd."), (3, "And ornd.\n\nEnd here")]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], DOCS)
+    out = ld.drop_repeated_lines(df, min_chars=1, max_edits=0)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "Les.\nx"), (2, "And ornd."), (3, "\nEnd here")]
+
+
 def test_runs_of_one_letter_and_long_lines(spark):
     rows = [(i, "a" * n) for i, n in enumerate([19, 20, 21, 22, 24, 25, 40, 41, 300, 301, 303])]
     rows += [(50, "ab" * 400), (51, "ab" * 400 + "a"), (52, "b" + "ab" * 400), (53, "ab" * 200 + "x" + "ab" * 200), (54, "ab" * 200 + "y" + "ab" * 200)]

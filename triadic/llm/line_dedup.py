@@ -15,6 +15,9 @@ many rows as characters, so two cheaper rounds come first, and both lose nothing
 * fine: the other half is cut into cells of 16 characters; only cells without which two different lines are
   equal give variants, one for each character of the cell.
 
+Lines of up to 16 characters have no half that tells them apart, so with a smaller `min_chars` the distinct
+ones skip both rounds and give a variant for each character.
+
 Then equal variants meet in aggregates that keep the earliest line of each key, and each (line, earliest
 line) pair found is verified by edit distance on the lines themselves.
 
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from triadic.llm.common import clean_text, cut, mix64, short_batches
 
 MIN_CHARS, MAX_EDITS, GRID, CELL, PIECE = 20, 1, 8, 16, 1 << 18
+#: The side of lines that give all their variants.
+PLAIN = 4
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = pow(0x9E3779B97F4A7C15, -1, 2**64)
 
@@ -113,10 +118,12 @@ def _line_batch(pa, batch, texts, min_chars, grid):
         a, b = _grid(m, grid)
         keys.append(sums.names(begin, begin + a) + mix64(a.astype(np.uint64) * np.uint64(2)))
         keys.append(sums.names(end - b, end) + mix64(b.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
-    # The keys of n - 1 are left out where they are those of n.
-    kept = np.column_stack([np.ones(len(n), bool), np.ones(len(n), bool), keys[2] != keys[0], keys[3] != keys[1]])
+    # The keys of n - 1 are left out where they are those of n; pairs whose shorter line is below two cells of the grid are compared without.
+    same, shorter = n >= 2 * grid, n > 2 * grid
+    kept = np.column_stack([same, same, shorter & (keys[2] != keys[0]), shorter & (keys[3] != keys[1]), ~shorter])
+    keys.append(h1)
     flat = np.column_stack(keys)[kept] if len(n) else np.zeros(0, np.uint64)
-    side = np.broadcast_to(np.array([1, 2, 1, 2], np.int8), kept.shape)[kept] if len(n) else np.zeros(0, np.int8)
+    side = np.broadcast_to(np.array([1, 2, 1, 2, PLAIN], np.int8), kept.shape)[kept] if len(n) else np.zeros(0, np.int8)
     ends = np.r_[0, np.cumsum(kept.sum(1))].astype(np.int32) if len(n) else np.zeros(1, np.int32)
     key = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat.view(np.int64)), pa.array(side)], ["key", "side"]))
     line = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), key], ["line", "h1", "h2", "keys"])
@@ -153,7 +160,7 @@ def _cell_keys(cell: int, grid: int):
             out = [[], [], [], []]
             for lid, sides, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 sums, n = CharHashes(body), len(body)
-                for m in (n, n - 1):
+                for m in range(n, max(n - 2, 2 * grid - 1), -1):
                     starts = np.arange(0, m + 1, cell)
                     a, b = _grid(np.array([m]), grid)
                     wanted = np.zeros(len(starts), bool)
@@ -176,17 +183,20 @@ def _cell_keys(cell: int, grid: int):
 
 
 def _variants(cell: int):
-    """(lid, body, cells) -> variants: lid, role (0 substitution, 1 the longer line, 2 the shorter line itself), key."""
+    """(lid, body, cells, sides) -> variants: lid, role (0 substitution, 1 the longer line, 2 the shorter line itself), key."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = [[], [], []]
-            for lid, body, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for lid, body, cells, sides in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 sums, n = CharHashes(body), len(body)
                 for longer in (False, True):
-                    at = [np.arange(c["start"], min(c["start"] + cell + longer, n)) for c in cells if (c["m"] == n - 1) == longer]
+                    if sides & PLAIN:
+                        at = [np.arange(n)]
+                    else:
+                        at = [np.arange(c["start"], min(c["start"] + cell + longer, n)) for c in cells if (c["m"] == n - 1) == longer]
                     if not at:
                         continue
                     i = np.unique(np.concatenate(at))
@@ -206,12 +216,16 @@ def _variants(cell: int):
     return run
 
 
-def _one_edit_apart(first: DataFrame, texts: DataFrame, lines: DataFrame, cell: int, grid: int) -> DataFrame:
-    """Places (doc_id, mark, line) of first occurrences that are one edit from an earlier line."""
+def _one_edit_apart(first: DataFrame, texts: DataFrame, lines: DataFrame, cell: int, grid: int, plain: bool) -> DataFrame:
+    """Places (doc_id, mark, line) of first occurrences that are one edit from an earlier line; plain: there may be lines without halves."""
     id_type = texts.schema["doc_id"].dataType.simpleString()
     keyed = lines.select("at", "h1", "h2", F.explode("keys").alias("k")).select("at", "h1", "h2", "k.key", "k.side")
-    several = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    doubtful = keyed.join(several, "key", "left_semi").groupBy("h1", "h2").agg(F.min("at").alias("at"), F.bit_or("side").alias("sides"))
+    halves = keyed.where(F.col("side") != PLAIN) if plain else keyed
+    several = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    going = halves.join(several, "key", "left_semi")
+    if plain:
+        going = going.unionByName(keyed.where(F.col("side") == PLAIN).select(*going.columns))
+    doubtful = going.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.bit_or("side").alias("sides"))
     wanted = doubtful.select("at.doc_id", "at.mark", F.struct("at.line", "sides").alias("w")).groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted")).withColumnsRenamed({"doc_id": "d", "mark": "m"})
     fetched = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("doc_id", "mark", "wanted", "text")
     bodies = fetched.mapInArrow(_fetch, f"doc_id {id_type}, mark long, line int, sides byte, body string").dropDuplicates(["doc_id", "mark", "line"])
@@ -219,8 +233,10 @@ def _one_edit_apart(first: DataFrame, texts: DataFrame, lines: DataFrame, cell:
     cells = bodies.select("lid", "sides", "body").mapInArrow(_cell_keys(cell, grid), "lid long, start int, m int, key long")
     both = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     asked = cells.join(both, "key", "left_semi").groupBy("lid").agg(F.collect_list(F.struct("start", "m")).alias("cells"))
-    variants = bodies.select("lid", "body", "at").join(asked, "lid")
-    variants = variants.select("lid", "body", "cells").mapInArrow(_variants(cell), "lid long, role byte, key long")
+    variants = bodies.select("lid", "body", "sides").join(asked, "lid", "left" if plain else "inner")
+    if plain:
+        variants = variants.where(F.col("cells").isNotNull() | (F.col("sides") >= PLAIN))
+    variants = variants.select("lid", "body", "cells", "sides").mapInArrow(_variants(cell), "lid long, role byte, key long")
     placed = cut(variants.join(bodies.select("lid", "at"), "lid").select("key", "role", F.struct("at", "lid").alias("who")))
     # The earliest line of a key, apart for substitutions, longer and shorter lines; an insertion looks at the other side.
     least = placed.groupBy("key", "role").agg(F.min("who").alias("earliest"))
@@ -232,8 +248,8 @@ def _one_edit_apart(first: DataFrame, texts: DataFrame, lines: DataFrame, cell:
 
 def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, cell: int = CELL, grid: int = GRID) -> DataFrame:
     """One row for each row of docs: doc_id, mark (hash of the text), n_lines, n_long, stays (sorted numbers of the long lines that stay, from 0), shorts are all others."""
-    if max_edits not in (0, 1) or min_chars < 2 * grid:
-        raise ValueError("max_edits must be 0 or 1, min_chars at least twice the grid")
+    if max_edits not in (0, 1) or min_chars < 1:
+        raise ValueError("max_edits must be 0 or 1, min_chars at least 1")
     short_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64(clean_text()).alias("mark"), clean_text().alias("text"))
@@ -243,7 +259,7 @@ def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     lines = scanned.select("doc_id", "mark", F.explode("lines").alias("l")).select(F.struct("doc_id", "mark", "l.line").alias("at"), "l.h1", "l.h2", "l.keys")
     first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.doc_id", "at.mark", "at.line")
     if max_edits:
-        near = _one_edit_apart(first, texts, lines, cell, grid).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("line").alias("l"))
+        near = _one_edit_apart(first, texts, lines, cell, grid, min_chars <= 2 * grid).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("line").alias("l"))
         first = first.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("line") == F.col("l")), "left_anti")
     stays = first.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.array_sort(F.collect_list("line")).alias("stays"))
     out = scanned.select("doc_id", "mark", "n_lines", F.size("lines").alias("n_long")).join(stays, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
