@@ -107,6 +107,26 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert set(shards) == set(range(8))
 
 
+@pytest.mark.parametrize("shards", [2, 8])
+def test_partitions_of_the_mix_are_shards(spark, shards):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), f"s{i % 3}") for i in range(3000)]
+    df = frame(spark, rows)
+    want, place = [defaultdict(int) for _ in range(shards)], {}
+    for r in mixing.mix_decisions(df, block_docs=64, shards=shards).collect():
+        place[r.doc_id] = r.position
+        for s in r.shards:
+            want[s][r.doc_id] += 1
+    out = mixing.mixed(df, block_docs=64, shards=shards)
+    parts = max(1, 4 // shards)
+    assert out.rdd.getNumPartitions() == shards * parts
+    got, order = [defaultdict(int) for _ in range(shards)], defaultdict(list)
+    for r in out.withColumn("at", F.spark_partition_id()).collect():
+        got[r["at"] // parts][r.doc_id] += 1
+        order[r["at"]].append(place[r.doc_id])
+    assert got == want and len(order) == shards * parts
+    assert all(x == sorted(x) for x in order.values())
+
+
 def test_tree_keeps_quotas_and_halves(spark):
     quotas = {"a": 1000, "b": 10, "c": 0, None: 333}
     got = mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "source string, quota long"), 8).collect()

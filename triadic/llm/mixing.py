@@ -194,13 +194,20 @@ def _filled(rows: DataFrame, rounds: int = 4) -> DataFrame:
     return out.drop("left", "serial", "fits", "upto", "new", "shortest")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken, with docs' columns, in shards and shuffled within them."""
-    taken = mix_decisions(docs, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("shards").alias("__shards"), F.col("position").alias("__position")).where(F.size("__shards") > 0)
+def mixed(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
+    """The documents that the mix takes, each as often as it is taken, with docs' columns, in shards and shuffled within them.
+
+    A partition holds rows of one shard only, and a shard has the same number of partitions, one after another.
+    """
+    taken = mix_decisions(docs, shards=shards, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("shards").alias("__shards"), F.col("position").alias("__position")).where(F.size("__shards") > 0)
     taken = taken.dropDuplicates(["__id", "__size"])
     out = docs.withColumn("__own", word_count(clean_text())).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
     out = out.withColumn("__shard", F.explode("__shards"))
-    return out.sortWithinPartitions("__shard", "__position").select(*docs.columns)
+    parts = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    # Rows of one doc_id, as those without, have one position; their texts deal them.
+    part = F.pmod(F.xxhash64("__position", "text"), F.lit(parts)).cast("int")
+    out = out.repartitionById(shards * parts, F.col("__shard") * F.lit(parts) + part)
+    return out.sortWithinPartitions("__position").select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
