@@ -43,6 +43,19 @@ def test_held_out_documents_teach_nothing(spark):
     assert a.languages == b.languages and np.array_equal(a.weights, b.weights) and a.temperature == b.temperature
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(7)
+    langs = [f"l{k:02}" for k in range(70)]
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüéßñ") for _ in range(6)) for _ in range(4)] for x in langs}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(12)), x, "s", 0.0) for i, x in enumerate(langs * 8 + langs[:60] * 4)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    model = lid.fit(df, buckets=1 << 12)
+    assert model.languages == langs
+    got = {r.doc_id: r.lang_pred for r in lid.predict(df, model).collect()}
+    rare = [r for r in rows if r[2] in langs[60:]]
+    assert np.mean([got[r[0]] == r[2] for r in rare]) > 0.9
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None, "s", 0.0)], DOCS)
     assert lid.fit(df) is None

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from triadic.llm.common import clean_text, mix64, short_batches
 
 UNKNOWN = "und"
-BUCKETS, PER_LANGUAGE, CALIBRATION, LANGUAGES, FOLDS = 1 << 14, 1500, 0.2, 64, 5
+BUCKETS, PER_LANGUAGE, CALIBRATION, FOLDS = 1 << 14, 1500, 0.2, 5
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 0.5, 1.0, 1e-4, 1e-5, 4, 11
 #: Texts are hashed in pieces of so many characters, which bounds memory for texts of any length.
 PIECE = 1 << 20
@@ -182,7 +182,7 @@ def best_temperature(logits: np.ndarray, targets: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(docs: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAGE, calibration: float = CALIBRATION, languages: int = LANGUAGES, folds: int = FOLDS, seed: int = SEED) -> Model | None:
+def fit(docs: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAGE, calibration: float = CALIBRATION, folds: int = FOLDS, seed: int = SEED) -> Model | None:
     """None where there is nothing to learn from."""
     import pyarrow as pa
 
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAG
         raise ValueError("buckets must be a power of two")
     short_batches(docs.sparkSession)
     training = docs.where(~held_out(folds) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", clean_text().alias("text"))
-    counts = {r.lang: r.n for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r.lang: r.n for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     names = sorted(counts)
@@ -223,7 +223,7 @@ def predict_one(model: Model | None, text: str | None) -> tuple[str, float]:
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score for each row of docs, and the columns named in keep (not those three)."""
     short_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers: bounded by parameters
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
     def run(batches):
         import pyarrow as pa
