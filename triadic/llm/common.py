@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
@@ -20,12 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in spark.checkpoint.dir; only an unset one (as in tests) is set here."""
+    """Uses the folder that the cluster names in spark.checkpoint.dir. Where it names none, a temporary one is set in local mode; a cluster is refused, as its machines share no such folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or "/tmp/triadic-checkpoints")
+    if not named and not context._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="triadic-checkpoints-"))
 
 
 #: Rows of an Arrow batch to and from Python. Texts are long, and a batch is held whole on both sides.
@@ -49,9 +53,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, most: int) -> DataFrame:
-    """df is broadcast if it has no more than `most` rows, which is counted first; else the join is left to shuffle and to split hot keys."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: What is broadcast holds no more bytes than this, as counted from its values.
+MOST_BYTES = 32 << 20
+
+
+def bounded_broadcast(df: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """df is broadcast if its values take no more than `most_bytes`, which is summed first; else the join is left to shuffle and to split hot keys."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        plain = f.dataType.simpleString() in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+        width = width + (F.lit(16) if plain else F.lit(16) + F.coalesce(F.octet_length(F.col(quoted(f.name)).cast("string")), F.lit(0)))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes else df
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs' rows as one column `row`, beside the columns given: names of docs cannot clash with those of an operator. Give rows back by select("row.*")."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
 def clean_text(name: str = "text"):

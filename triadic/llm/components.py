@@ -1,4 +1,4 @@
-"""Connected components of a graph in DataFrames: least labels spread over edges, with pointer jumping."""
+"""Connected components of a graph in DataFrames: least labels spread over edges, with hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from triadic.llm.common import cut
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of integers, in any order, repeated or not -> (node, component): the least node that it reaches.
 
-    Each round takes the least label among a node and its neighbours, then the label's own label, so a
-    component of diameter d takes about log d rounds where labels are spread well, and d at worst. A round's
-    labels are written to the shared folder. Nodes with very many edges only meet in partial
-    aggregates and in equi-joins. No node or edge is sent to the driver; it sees the number of changes.
+    In a round each node is offered the least label among its neighbours'; so is the node that its label names,
+    which hooks whole trees to each other, and then each label becomes the label of its label. Rounds
+    go on until no label changes: about the logarithm of a component's size, chains included. A
+    round's labels are written to the shared folder. Nodes with very many edges, and labels that very many nodes
+    have, only meet in partial aggregates and in equi-joins. No node or edge is sent to the driver; it sees
+    whether there are changes.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut(both)
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component"))
     labels = cut(labels)
-    for _ in range(rounds):
+    while True:
         offered = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("offer"))
-        nearer = labels.join(offered, "node").select("node", F.least("component", "offer").alias("mid"), F.col("component").alias("was"))
-        jumped = nearer.join(labels.select(F.col("node").alias("mid"), F.col("component").alias("far")), "mid", "left")
+        nearer = labels.join(offered, "node").select("node", "component", F.least("component", "offer").alias("mid"))
+        hooked = nearer.select("node", "mid", F.col("component").alias("was")).unionByName(nearer.where("mid < component").select(F.col("component").alias("node"), "mid", F.lit(None).cast("long").alias("was")))
+        hooked = hooked.groupBy("node").agg(F.min("mid").alias("mid"), F.max("was").alias("was"))
+        jumped = hooked.join(labels.select(F.col("node").alias("mid"), F.col("component").alias("far")), "mid", "left")
         jumped = cut(jumped.select("node", F.least("mid", F.coalesce("far", "mid")).alias("component"), "was"))
         changed = jumped.where("component <> was").limit(1).count()
         labels = jumped.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")

@@ -24,11 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import SPACES, bounded_broadcast, clean_text, cut
+from triadic.llm.common import SPACES, bounded_broadcast, clean_text, cut, rows_of
 
 BLOCK_CHARS = 4096
-#: More rows to drop than this are joined by shuffling.
-MOST_BROADCAST = 1_000_000
 
 
 def normalised(text):
@@ -104,14 +102,14 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 def drop_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that stay, with docs' columns; of rows that share doc_id and text, one."""
     groups = cut(_groups(docs, block_chars).select("doc_id", "mark", "kept", "text_sha256"))
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    keyed = docs.withColumn("__own", F.xxhash64("text"))
-    out = keyed.join(bounded_broadcast(gone, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left_anti").select(*docs.columns)
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & F.col("mark").eqNullSafe(F.col("gone_mark"))
+    out = rows_of(docs, id=F.col("doc_id"), mark=F.xxhash64("text")).join(bounded_broadcast(gone), same, "left_anti")
     # Rows that stay share doc_id and text only if they are repeated; the texts are shuffled for that only where it occurs.
     repeated = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return out
-    return out.withColumn("__sha", F.sha2(normalised(clean_text()), 256)).dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    if repeated:
+        out = out.withColumn("sha", F.sha2(normalised(F.coalesce("row.text", F.lit(""))), 256)).dropDuplicates(["id", "sha"])
+    return out.select("row.*")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
