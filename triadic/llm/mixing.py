@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame and SQL functions only.
 
-Each source's documents are permuted by a hash of seed and doc_id, and the permuted order is cut into
+Each source's documents are permuted by a hash of seed, doc_id and text, and the permuted order is cut into
 blocks of about `block_docs` documents. A source whose target is t times its size runs through all its
 blocks floor(t) times and then draws, once more, the first blocks of its permuted order up to its target
 (in the last block, documents that fit into what is left); so draws are disjoint within a pass and no
@@ -16,12 +16,14 @@ to the shards by those quotas, and a hash orders the documents within a shard.
 
 What is gathered for each source: one row with its totals, and an array of sources in each of at most
 2 * shards tree nodes. Documents meet their block's decision by an equi-join on (source, block), whose
-keys are about block_docs documents each, so a hot source is spread over all its blocks.
-
-Null text has size 0; a null source is a source of its own, ordered last. Repeated rows are documents of
-their own with equal hashes, so ties are taken or left together only inside the last block, by doc_id and
-then in any order of equal rows. A table without words takes nothing; an empty table gives an empty
-result. Columns named like the internal ones are not touched, as only doc_id, text and source are read.
+keys are about block_docs documents each, so a hot source is spread over all its blocks; where all blocks'
+decisions are few bytes they are broadcast and the documents stay where they are.
+
+Null text has size 0; a null source is a source of its own, ordered last. Rows with a null or a repeated
+doc_id are documents of their own, dealt by their texts. Rows that are repeated with their text have equal places
+and so one block; in a source's last block they are taken one by one, in any order, as they are alike.
+A text of any length is one document with its whole size. A table without words takes nothing; an empty table
+gives an empty result. Other columns, of any name, are carried along and not read.
 """
 
 from __future__ import annotations
@@ -30,14 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triadic.llm.common import WORD, bounded_broadcast, clean_text, cut
+from triadic.llm.common import WORD, bounded_broadcast, clean_text, cut, rows_of
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_REPEATS, BLOCK_DOCS, SHARDS, SEED = 1.5, 2, 256, 16, 17
-#: Blocks grow beyond block_docs where a source would have more of them than this.
-MOST_BLOCKS = 65536
-#: With more sources than this the sources' facts are joined by shuffling.
-MOST_SOURCES = 100_000
+#: Blocks that are summed up together before running sums are taken; it changes no result.
+STRETCH = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -120,33 +120,36 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
     return node.select((F.col("node") - shards).cast("int").alias("shard"), F.explode("urn").alias("s")).select("shard", "s.source", F.col("s.n").alias("quota"))
 
 
-def mix_decisions(
-    docs: DataFrame,
-    weights=WEIGHTS,
-    share: float = SHARE,
-    max_repeats: int = MAX_REPEATS,
-    block_docs: int = BLOCK_DOCS,
-    shards: int = SHARDS,
-    seed: int = SEED,
-) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken, repeats, shards (of each draw) and position (order in a shard)."""
-    sized = docs.select("doc_id", "source", word_count(clean_text()).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("at"))
-    sized = cut(sized)
+def _placed(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (with source and at) with block, which follows from the place in the permuted order alone; the hot source has most blocks."""
+    block = F.floor((F.col("at").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("n_blocks")).cast("long")
+    named = bounded_broadcast(facts.select(F.col("source").alias("s"), "n_blocks"))
+    return rows.join(named, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.least(block, F.col("n_blocks") - 1)).drop("s", "n_blocks")
+
+
+def _running(blocks: DataFrame) -> DataFrame:
+    """blocks (source, block, words) with upto (words up to and with the block), rank and n_blocks, by sums over stretches of blocks first, so that no task holds all blocks of a source."""
+    staged = blocks.withColumn("stretch", F.floor(F.col("block") / F.lit(STRETCH)))
+    sums = staged.groupBy("source", "stretch").agg(F.sum("words").alias("own"), F.count(F.lit(1)).alias("own_n"))
+    before = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumns({"base": F.coalesce(F.sum("own").over(before), F.lit(0)), "base_n": F.coalesce(F.sum("own_n").over(before), F.lit(0)), "n_blocks": F.sum("own_n").over(W.partitionBy("source"))})
+    sums = sums.select(F.col("source").alias("s"), F.col("stretch").alias("st"), "base", "base_n", "n_blocks")
+    run = W.partitionBy("source", "stretch").orderBy("block")
+    out = staged.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("st")))
+    out = out.withColumn("upto", F.col("base") + F.sum("words").over(run)).withColumn("rank", F.col("base_n") + F.row_number().over(run) - 1)
+    return out.drop("stretch", "s", "st", "base", "base_n")
+
+
+def _decided(sized: DataFrame, weights, share: float, max_repeats: int, block_docs: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """From a checkpoint of (source, size, at): sources (with n_blocks), and what is decided for each block: (s, b, source_size, target, passes, extra, room, dealt)."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    totals = totals.withColumn("n_blocks", F.least(F.ceil(F.col("n") / F.lit(block_docs)), F.lit(MOST_BLOCKS)).cast("long"))
+    totals = totals.withColumn("n_blocks", F.ceil(F.col("n") / F.lit(block_docs)).cast("long"))
     facts = source_targets(totals, weights, share, max_repeats)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0)).cast("long")
     facts = facts.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     facts = cut(facts.drop("n"))
-    # A document's block follows from its place in the permuted order alone; the hot source has most blocks.
-    block = F.floor((F.col("at").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("n_blocks")).cast("long")
-    placed = sized.join(bounded_broadcast(facts.select(F.col("source").alias("s"), "n_blocks"), MOST_SOURCES), F.col("source").eqNullSafe(F.col("s")))
-    placed = placed.select("doc_id", "source", "size", "at", F.least(block, F.col("n_blocks") - 1).alias("block"))
-    blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    run = W.partitionBy("source").orderBy("block")
-    blocks = blocks.join(facts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    blocks = blocks.withColumn("upto", F.sum("words").over(run)).withColumn("rank", F.row_number().over(run).cast("long") - 1)
-    blocks = blocks.withColumn("n_blocks", F.count(F.lit(1)).over(W.partitionBy("source")))
+    blocks = _running(_placed(sized, facts).groupBy("source", "block").agg(F.sum("size").alias("words")))
+    blocks = blocks.join(facts.drop("n_blocks").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     before = F.col("upto") - F.col("words")
     state = F.when(F.col("rest") < 0.5, F.lit(-1)).when(F.col("upto") <= F.col("rest"), F.lit(1)).when(before < F.col("rest"), F.lit(0)).otherwise(F.lit(-1))
     blocks = cut(blocks.withColumns({"extra": state, "room": F.col("rest") - before}))
@@ -162,15 +165,37 @@ def mix_decisions(
     dealt = tree.select(F.col("source").alias("s"), "shard", F.explode(F.expr("sequence(hi - quota, hi - 1)")).alias("t"))
     placed_draws = draws.join(dealt, draws.source.eqNullSafe(dealt.s) & (F.col("turn") == F.col("t"))).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
     decided = blocks.join(placed_draws.withColumnsRenamed({"source": "s", "block": "b"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    decided = decided.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "passes", "extra", "room", "dealt")
-    rows = placed.join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    partial = _filled(rows.where("extra = 0"))
-    rest = rows.where("extra <> 0").withColumn("more", (F.col("extra") == 1).cast("int"))
+    return facts, decided.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "passes", "extra", "room", "dealt")
+
+
+def _at(seed: int) -> Column:
+    """A document's place in the permuted order: rows of one doc_id, or of none, have their texts' places."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _taken(rows: DataFrame, facts: DataFrame, decided: DataFrame, seed: int) -> DataFrame:
+    """rows (row, doc_id, source, size, at) with repeats, shards and position; what is in row is carried along."""
+    met = _placed(rows, facts).join(bounded_broadcast(decided), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    partial = _filled(met.where("extra = 0"))
+    rest = met.where("extra <> 0").withColumn("more", (F.col("extra") == 1).cast("int"))
     out = rest.unionByName(partial).withColumn("repeats", (F.col("passes") + F.col("more")).cast("int"))
     out = out.withColumn("shards", F.expr("transform(filter(coalesce(dealt, array()), d -> d.pass < repeats), d -> d.shard)"))
-    return out.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "shards", F.xxhash64(F.lit(seed + 1), "doc_id").alias("position")
-    )
+    return out.withColumn("position", F.xxhash64(F.lit(seed + 1), "at"))
+
+
+def mix_decisions(
+    docs: DataFrame,
+    weights=WEIGHTS,
+    share: float = SHARE,
+    max_repeats: int = MAX_REPEATS,
+    block_docs: int = BLOCK_DOCS,
+    shards: int = SHARDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source_size, target, taken, repeats, shards (of each draw) and position (order in a shard)."""
+    rows = cut(docs.select("doc_id", "source", word_count(clean_text()).alias("size"), _at(seed).alias("at")))
+    out = _taken(rows, *_decided(rows, weights, share, max_repeats, block_docs, shards, seed), seed)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "shards", "position")
 
 
 def _filled(rows: DataFrame, rounds: int = 4) -> DataFrame:
@@ -194,20 +219,29 @@ def _filled(rows: DataFrame, rounds: int = 4) -> DataFrame:
     return out.drop("left", "serial", "fits", "upto", "new", "shortest")
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    weights=WEIGHTS,
+    share: float = SHARE,
+    max_repeats: int = MAX_REPEATS,
+    block_docs: int = BLOCK_DOCS,
+    shards: int = SHARDS,
+    seed: int = SEED,
+) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with docs' columns, in shards and shuffled within them.
 
     A partition holds rows of one shard only, and a shard has the same number of partitions, one after another.
+    Each row is decided on by itself, by its block, so rows that share doc_id, size or even text are not taken for each other.
     """
-    taken = mix_decisions(docs, shards=shards, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("shards").alias("__shards"), F.col("position").alias("__position")).where(F.size("__shards") > 0)
-    taken = taken.dropDuplicates(["__id", "__size"])
-    out = docs.withColumn("__own", word_count(clean_text())).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
-    out = out.withColumn("__shard", F.explode("__shards"))
+    size = word_count(clean_text())
+    sized = cut(docs.select("source", size.alias("size"), _at(seed).alias("at")))
+    facts, decided = _decided(sized, weights, share, max_repeats, block_docs, shards, seed)
+    rows = rows_of(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=size, at=_at(seed))
+    out = _taken(rows, facts, decided, seed).select("row", "position", F.explode("shards").alias("shard"))
     parts = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    # Rows of one doc_id, as those without, have one position; their texts deal them.
-    part = F.pmod(F.xxhash64("__position", "text"), F.lit(parts)).cast("int")
-    out = out.repartitionById(shards * parts, F.col("__shard") * F.lit(parts) + part)
-    return out.sortWithinPartitions("__position").select(*docs.columns)
+    part = F.pmod("position", F.lit(parts)).cast("int")
+    out = out.repartitionById(shards * parts, F.col("shard") * F.lit(parts) + part)
+    return out.sortWithinPartitions("position").select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
