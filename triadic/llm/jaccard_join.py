@@ -32,14 +32,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import bounded_broadcast, clean_text, cut, mix64, short_batches, slices_by_bytes, utf8_buffer
+from triadic.llm.common import bounded_broadcast, clean_text, cut, mix64, rows_of, short_batches, slices_by_bytes, utf8_buffer
 from triadic.llm.components import connected_components
 from triadic.llm.substring_dedup import Hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS_IN_BAND, TOLERANCE, STEP_HASHES, SEED = 5, 0.8, 35, 5, 1e-9, 35, 3
-BUCKET_BLOCK, GROUP_BLOCK, PIECE = 1000, 400, 1 << 20
-#: More rows to drop than this are joined by shuffling.
-MOST_BROADCAST = 1_000_000
+BUCKET_BLOCK, GROUP_BLOCK, LEAST_BLOCK, GROUP_BYTES, PIECE = 1000, 200, 16, 16 << 20, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -303,13 +301,19 @@ def _rehash(shingle: int):
     return run
 
 
-def _blocks(n: str, block: int, of: str):
-    """Columns of the member's block and of the pairs of blocks in which it takes part, for a group of n members."""
-    parts = F.ceil(F.col(n) / F.lit(block)).cast("int")
+def _blocks(parts, of: str):
+    """Columns of the member's block and of the pairs of blocks in which it takes part, for a group cut into `parts` blocks."""
     own = F.pmod(F.xxhash64(of), parts.cast("long")).cast("int")
     return own, F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
 
 
+def _dealt(df: DataFrame, group: str, parts: int) -> DataFrame:
+    """df with the pairs (i, j) of a group's blocks in turn on one partition after another, so that a large group's pairs are spread evenly; sorted by pair."""
+    turn = F.floor(F.col("j").cast("long") * (F.col("j") + 1) / F.lit(2)) + F.col("i")
+    at = F.pmod(F.pmod(F.xxhash64(group), F.lit(parts)) + turn, F.lit(parts)).cast("int")
+    return df.repartitionById(parts, at).sortWithinPartitions(group, "i", "j", "cid")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -319,14 +323,15 @@ def near_duplicates(
     tolerance: float = TOLERANCE,
     bucket_block: int = BUCKET_BLOCK,
     group_block: int = GROUP_BLOCK,
+    group_bytes: int = GROUP_BYTES,
     seed: int = SEED,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (least doc_id of its group), set_id (least doc_id with the same set), n_links (other documents at or above the threshold)."""
-    found = _near(docs, shingle, threshold, bands, rows_in_band, tolerance, bucket_block, group_block, seed)
+    found = _near(docs, shingle, threshold, bands, rows_in_band, tolerance, bucket_block, group_block, group_bytes, seed)
     return found.select("doc_id", "class_id", "set_id", "n_links")
 
 
-def _near(docs: DataFrame, shingle: int, threshold: float, bands: int, rows_in_band: int, tolerance: float, bucket_block: int, group_block: int, seed: int) -> DataFrame:
+def _near(docs: DataFrame, shingle: int, threshold: float, bands: int, rows_in_band: int, tolerance: float, bucket_block: int, group_block: int, group_bytes: int, seed: int) -> DataFrame:
     """near_duplicates with mark, a hash of the text, and stays: whether the row's doc_id and text are the first of its group."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     short_batches(docs.sparkSession)
@@ -336,28 +341,35 @@ def _near(docs: DataFrame, shingle: int, threshold: float, bands: int, rows_in_b
     texts = docs.select("doc_id", F.xxhash64(clean_text()).alias("mark"), clean_text().alias("text"))
     facts = cut(texts.mapInArrow(_sketches(shingle, bands, rows_in_band, seed), f"doc_id {id_type}, mark long, k1 long, k2 long, n int, buckets array<long>, sig binary"))
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))  # a null doc_id comes last
-    classes = facts.where("n > 0").groupBy("k1", "k2").agg(least_row.alias("least"), F.count(F.lit(1)).alias("copies"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
-    classes = classes.select("k1", "k2", F.col("least.doc_id").alias("set_id"), F.col("least.mark").alias("set_mark"), "copies", "buckets", "sig")
+    classes = facts.where("n > 0").groupBy("k1", "k2").agg(least_row.alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+    classes = classes.select("k1", "k2", "n", F.col("least.doc_id").alias("set_id"), F.col("least.mark").alias("set_mark"), "copies", "buckets", "sig")
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     rows = classes.select("cid", F.explode("buckets").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = rows.join(full, "bucket").groupBy("cid").agg(F.collect_list(F.struct("bucket", "size")).alias("shared"))
     shared = shared.join(classes.select("cid", "sig"), "cid").select("cid", "sig", F.explode("shared").alias("s")).select("cid", "sig", "s.bucket", "s.size")
-    _, pairs = _blocks("size", bucket_block, "cid")
+    _, pairs = _blocks(F.ceil(F.col("size") / F.lit(bucket_block)).cast("int"), "cid")
     dealt = shared.select("bucket", F.explode(pairs).alias("pair"), "cid", "sig").select("bucket", "pair.i", "pair.j", "cid", "sig")
-    dealt = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
-    edges = cut(dealt.mapInArrow(_compare_buckets(width, plan), "a long, b long").distinct())
+    edges = cut(_dealt(dealt, "bucket", parts).mapInArrow(_compare_buckets(width, plan), "a long, b long").distinct())
     groups = connected_components(edges)
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    wanted = groups.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), "size")
-    wanted = wanted.join(classes.select("cid", "k1", "k2", "set_id", "set_mark", "copies"), "cid")
-    # One text speaks for its class; another of its doc_id and hash would be given away by its set.
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("mark") == F.col("set_mark"))).select("cid", "comp", "size", "copies", "k1", "k2", "text")
-    hashed = texts.mapInArrow(_checked(_rehash(shingle)), "cid long, comp long, size long, copies long, k1 long, k2 long, hashes binary").dropDuplicates(["cid"])
-    block, pairs = _blocks("size", group_block, "cid")
+    members = groups.withColumnsRenamed({"node": "cid", "component": "comp"}).join(classes.select("cid", "k1", "k2", "n", "set_id", "set_mark", "copies"), "cid")
+    members = cut(members)
+    # A block has at most group_block sets on average, fewer where pairs of blocks would not go round all partitions, and about group_bytes of hashes unless one set alone has more.
+    sizes = cut(members.groupBy("comp").agg(F.count(F.lit(1)).alias("sets"), (F.sum(F.col("n").cast("long")) * F.lit(8)).alias("bytes")))
+    pairs_of_sets = sizes.agg(F.sum(F.col("sets").cast("double") * F.col("sets"))).first()[0] or 0.0
+    block_sets = min(group_block, max(LEAST_BLOCK, int((pairs_of_sets / (2 * parts)) ** 0.5)))
+    cuts = F.greatest(F.ceil(F.col("sets") / F.lit(block_sets)), F.ceil(F.col("bytes") / F.lit(group_bytes)))
+    sizes = sizes.select("comp", F.least(F.col("sets"), cuts).cast("int").alias("cuts"))
+    wanted = members.join(sizes, "comp").drop("n")
+    # One text speaks for its class; another of its doc_id and hash would be given away by its set. Rows that are repeated whole are looked at once.
+    speaking = texts
+    if facts.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
+        speaking = texts.join(wanted.select(F.col("set_id").alias("doc_id_"), F.col("set_mark").alias("mark_")).distinct(), F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("mark") == F.col("mark_")), "left_semi").dropDuplicates(["doc_id", "mark"])
+    spoken = speaking.join(wanted, F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("mark") == F.col("set_mark"))).select("cid", "comp", "cuts", "copies", "k1", "k2", "text")
+    hashed = spoken.mapInArrow(_checked(_rehash(shingle)), "cid long, comp long, cuts int, copies long, k1 long, k2 long, hashes binary")
+    block, pairs = _blocks(F.col("cuts"), "cid")
     units = hashed.select("comp", F.explode(pairs).alias("pair"), block.alias("block"), "cid", "copies", "hashes").select("comp", "pair.i", "pair.j", "block", "cid", "copies", "hashes")
-    units = units.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cid")
-    verified = cut(units.mapInArrow(_verify(threshold), "cid long, links long, root long"))
+    verified = cut(_dealt(units, "comp", parts).mapInArrow(_verify(threshold), "cid long, links long, root long"))
     final = connected_components(verified.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.select("cid", "k1", "k2", "set_id", "set_mark", "copies").join(links, "cid", "left").join(final.withColumnRenamed("node", "cid"), "cid", "left")
@@ -401,14 +413,14 @@ def keep_one(
     tolerance: float = TOLERANCE,
     bucket_block: int = BUCKET_BLOCK,
     group_block: int = GROUP_BLOCK,
+    group_bytes: int = GROUP_BYTES,
     seed: int = SEED,
 ) -> DataFrame:
     """The rows of docs with the first doc_id (null last) and text of their group, with docs' columns; a doc_id's other texts stand for themselves."""
-    found = _near(docs, shingle, threshold, bands, rows_in_band, tolerance, bucket_block, group_block, seed)
-    gone = cut(found.where("NOT stays").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct())
-    keyed = docs.withColumn("__own", F.xxhash64(clean_text()))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark"))
-    return keyed.join(bounded_broadcast(gone, MOST_BROADCAST), same, "left_anti").select(*docs.columns)
+    found = _near(docs, shingle, threshold, bands, rows_in_band, tolerance, bucket_block, group_block, group_bytes, seed)
+    gone = cut(found.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct())
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
+    return rows_of(docs, id=F.col("doc_id"), mark=F.xxhash64(clean_text())).join(bounded_broadcast(gone), same, "left_anti").select("row.*")
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
