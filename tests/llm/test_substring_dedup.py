@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from triadic.llm import substring_dedup as sd
 
@@ -69,6 +70,19 @@ def test_long_texts_are_hashed_in_pieces(spark):
     assert run(spark, rows, length=48, window=20, gram=8, piece=300) == brute(rows, 48)
 
 
+def test_rows_repeated_many_times(spark):
+    rng = random.Random(7)
+    word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    p, q = word(600), word(3000)
+    rows = [(1, word(200) + p[:450] + word(100)), (2, word(900)), (3, q[500:1000] + word(50)), (None, word(500)), (4, word(30) + p[100:])]
+    rows += [(None, p)] * 40 + [(7, "short")] * 30 + [(None, None)] * 20 + [(8, q)] * 25 + [(9, q)] + [(None, word(450))]
+    assert run(spark, rows) == brute(rows, 400)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    many = spark.range(10_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(q).alias("text"))
+    got = sd.remove_repeats(many).groupBy("n_bytes", F.size("spans").alias("n"), F.octet_length("kept").alias("left")).count().collect()
+    assert [tuple(r) for r in got] == [(3000, 1, 0, 10_000)] and spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
 def test_covered_runs():
     a, b = sd.covered(np.array([50, 0, 3]), np.array([50, 1, 4]), 10)
     assert a.tolist() == [0, 50] and b.tolist() == [14, 60]

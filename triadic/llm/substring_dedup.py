@@ -19,8 +19,9 @@ a row stands for a cell of neighbouring positions, and cells shrink as h grows:
   Classes go on only where another class shares their middle bytes. At g = 1 there is nothing before or after,
   the pair is that of the string's halves, and the threshold is reached.
 
-Ranks are 64-bit polynomial names of bytes instead of dense ranks, grouping by pairs stands for sorting
-them, and each decision to remove rests on a pair, 128 bits.
+Ranks are 64-bit polynomial names of bytes instead of dense ranks, and grouping by pairs stands for sorting
+them. Two strings count as equal if both names of their pair are: strings that differ in both parts are told
+apart by 128 bits, strings that differ in one part by the 64 bits of that part, among those that share the other.
 
 Data moves as follows. Anchors' first names are counted, and anchors whose name is not unique go to their
 documents, once, together with the texts (packed by zstd), into a checkpoint in the shared folder that is
@@ -29,8 +30,9 @@ the texts are not shuffled again. Common passages and large groups of copies add
 aggregates, and joins on names are equi-joins whose hot keys adaptive execution can split.
 
 Texts are UTF-8 bytes, null is empty, and matches never cross documents. Documents are known by a hash of
-doc_id (which may be null) and text and a second one of the text; repeated rows are further occurrences, so
-they are removed entirely if they are long enough, and each gets its row. Texts are hashed in pieces of
+doc_id (which may be null) and text and a second one of the text. Repeated rows (equal in both) are further
+occurrences, so each gets its row, with nothing left if it is long enough; two of them take part in the rounds,
+however many there are, as a third would tell nothing new. Texts are hashed in pieces of
 bounded size. Input columns other than doc_id and text are not read. An empty table gives an empty result.
 """
 
@@ -40,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import clean_text, cut, mix64, short_batches, slices_by_bytes, utf8_buffer
+from triadic.llm.common import bounded_broadcast, clean_text, cut, mix64, shared_dir, short_batches, slices_by_bytes, utf8_buffer
 
 LENGTH, WINDOW, GRAM, PIECE = 400, 200, 16, 1 << 20
 #: Offsets in a cell after the first round, whose cells have `window`.
@@ -240,7 +242,7 @@ def _cut_out(length: int):
 
         for batch in batches:
             out = []
-            for packed, found in zip(batch.column(1), batch.column(2)):
+            for packed, found in zip(batch.column(3), batch.column(4)):
                 raw = _unpacked(packed)
                 lo, hi = (np.asarray(found.values.field(k)) for k in ("lo", "hi")) if found.is_valid else (np.zeros(0, np.int32),) * 2
                 a, b = (x.tolist() for x in covered(lo, hi, length))
@@ -248,8 +250,8 @@ def _cut_out(length: int):
                 out.append((len(raw), [{"start": s, "end": e} for s, e in zip(a, b)], b"".join(kept)))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], span), pa.array([x[2] for x in out], pa.binary())],
-                ["doc_id", "n_bytes", "spans", "kept"],
+                [*batch.columns[:3], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], span), pa.array([x[2] for x in out], pa.binary())],
+                ["key", "mark", "doc_id", "n_bytes", "spans", "kept"],
             )
 
     return run
@@ -273,24 +275,19 @@ def _round(texts: DataFrame, cell: int, length: int, window: int, piece: int) ->
 
 
 def _kept_by_document(df: DataFrame) -> DataFrame:
-    """A checkpoint of df that Spark still knows to be partitioned as df's plan is; an adaptive plan would not tell."""
-    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return cut(df)
-    finally:
-        conf.set(name, before)
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, spans (removed runs of bytes, end exclusive), kept (the remaining bytes)."""
-    if not 1 <= window <= length - gram + 1 or length < 2 * gram or piece < length or 2 * piece + length + 2 * window > _PLACE:
-        raise ValueError("needs 1 <= window <= length - gram + 1, length >= 2 * gram and length <= piece <= 2**20")
-    short_batches(docs.sparkSession)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.xxhash64("doc_id", clean_text()).alias("key"), F.hash(clean_text()).alias("mark"), "doc_id", clean_text().alias("text"))
+    """A checkpoint of df that Spark still knows to be partitioned as df's plan is; an adaptive plan would not tell. It is planned in a session of its own, so the caller's settings stay as they are."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    plain = spark._jsparkSession.cloneSession()
+    plain.conf().set("spark.sql.adaptive.enabled", "false")
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
+    written = dataset.ofRows(plain, df._jdf.queryExecution().logical()).checkpoint(True)
+    return DataFrame(dataset.ofRows(spark._jsparkSession, written.queryExecution().logical()), spark)
+
+
+def _removed(texts: DataFrame, length: int, window: int, gram: int, piece: int, id_type: str) -> DataFrame:
+    """(key, mark, doc_id, text) -> a row for each row, in which at most two rows share key and mark."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     alive = texts.select("key", "mark", "text").mapInArrow(_scan(length, window, gram, piece, True), "name long").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     # Written out, so that the join below stands between two plain exchanges and its hot names can be split.
     alive = cut(alive)
@@ -307,7 +304,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     for more in found[1:]:
         every = every.unionByName(more)
     told = packed.select("key", "mark", "doc_id", "packed").join(_by_document(every, "found", "lo", "hi"), ["key", "mark"], "left")
-    return told.select("doc_id", "packed", "found").mapInArrow(_cut_out(length), f"doc_id {id_type}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return told.select("key", "mark", "doc_id", "packed", "found").mapInArrow(_cut_out(length), f"key long, mark int, doc_id {id_type}, n_bytes long, {_SPANS}, kept binary")
+
+
+_SPANS = "spans array<struct<start: long, end: long>>"
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, spans (removed runs of bytes, end exclusive), kept (the remaining bytes)."""
+    if not 1 <= window <= length - gram + 1 or length < 2 * gram or piece < length or 2 * piece + length + 2 * window > _PLACE:
+        raise ValueError("needs 1 <= window <= length - gram + 1, length >= 2 * gram and length <= piece <= 2**20")
+    short_batches(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.xxhash64("doc_id", clean_text()).alias("key"), F.hash(clean_text()).alias("mark"), "doc_id", clean_text().alias("text"))
+    columns = ["doc_id", "n_bytes", "spans", "kept"]
+    repeated = cut(texts.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "mark"))
+    if not repeated.limit(1).count():
+        return _removed(texts, length, window, gram, piece, id_type).select(columns)
+    pair = ["key", "mark"]
+    few = bounded_broadcast(repeated)
+    same = texts.join(few, pair, "left_semi")
+    one = same.where(F.octet_length("text") >= length).dropDuplicates(pair)
+    worked = texts.join(few, pair, "left_anti").unionByName(one.withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2)))).drop("twice"))
+    others = _removed(worked, length, window, gram, piece, id_type).join(few, pair, "left_anti").select(columns)
+    # A row that is repeated goes whole, or is too short to lose anything.
+    n, raw = F.octet_length("text").cast("long"), F.encode("text", "UTF-8")
+    span = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))
+    whole = F.octet_length("text") >= length
+    told = same.select("doc_id", n.alias("n_bytes"), F.when(whole, span).otherwise(F.array().cast(_SPANS.partition(" ")[2].replace(": ", ":"))).alias("spans"), F.when(whole, F.lit(b"")).otherwise(raw).alias("kept"))
+    return others.unionByName(told)
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
