@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 from collections import defaultdict
 
@@ -235,33 +237,66 @@ def test_guess_costs_order():
     assert cost("zkvxq") == pytest.approx(brute)
 
 
+def segment_costs(value, i, j):
+    """What a segment [i, j) of value may cost, rule by rule."""
+    p, low = value[i:j], value[i:j].lower()
+    out = [sum(secrets._char_cost(c) for c in p)]
+    plain = "".join(secrets.SWAPS.get(c, c) for c in low)
+    for word, swapped in ((low, 0), (plain, 1)):
+        if len(p) > 2 and word in secrets.RANKS:
+            out.append(math.log10(secrets.RANKS[word] * 2 ** (swapped + (p != low)) + 1))
+            break
+    m = secrets.DATE.match(value, i)
+    if m and m.end() == j and len(p) >= 4:
+        years = re.findall(r"(?:19|20)\d\d", p)
+        years = max(20, abs(int(years[0]) - 2000)) if years else 100
+        out.append(math.log10(years * (366 if len(p) > 4 else 1)))
+    steps = [secrets.ADJACENT.get(a, {}).get(b) for a, b in zip(low, low[1:])]
+    if len(p) > 2 and None not in steps:
+        out.append(math.log10(47 * len(p)) + (1 + sum(a != b for a, b in zip(steps, steps[1:]))) * math.log10(4))
+    for unit in range(1, 5):
+        if len(p) > 2 and len(p) % unit == 0 and len(p) > unit and p == p[:unit] * (len(p) // unit):
+            out.append(sum(secrets._char_cost(c) for c in p[:unit]) + math.log10(len(p) // unit))
+    return min(out)
+
+
 def naive_cost(value):
-    """Every segmentation of a short value into words and brute-force spans."""
-    import itertools
-    import math
-
-    best = math.inf
-    for cuts in itertools.product([0, 1], repeat=len(value) - 1):
-        parts, at = [], 0
-        for k, c in enumerate(cuts, 1):
-            if c:
-                parts.append(value[at:k])
-                at = k
-        parts.append(value[at:])
-        total = 0.0
-        for p in parts:
-            options = [sum(secrets._char_cost(c) for c in p)]
-            if p in secrets.RANKS:
-                options.append(math.log10(secrets.RANKS[p] + 1))
-            total += min(options)
-        best = min(best, total + math.lgamma(len(parts) + 1) / math.log(10))
-    return best
-
-
-@pytest.mark.parametrize("value", ["kzlove", "zlovexdog", "catvw", "vqpjzk"])
-def test_guess_cost_is_the_cheapest_segmentation(value):
-    assert secrets.guess_cost(value) == pytest.approx(naive_cost(value), abs=0.31)
-
-
-def test_query_shape(spark):
-    assert secrets.digest(None) == hashlib.sha256(b"").hexdigest()
+    """The least cost for each number of segments, over every cut."""
+    n = len(value)
+    least = [[math.inf] * (n + 1) for _ in range(n + 1)]
+    least[0][0] = 0.0
+    for j in range(1, n + 1):
+        for i in range(j):
+            own = segment_costs(value, i, j)
+            for k in range(i + 1):
+                least[j][k + 1] = min(least[j][k + 1], least[i][k] + own)
+    return min(c + math.lgamma(k + 1) / math.log(10) for k, c in enumerate(least[n]))
+
+
+def values(seed, n=60):
+    rng = random.Random(seed)
+    parts = ["love", "Dragon", "p@ssw0rd", "2019", "31-12-1999", "qwerty", "asdf", "zxcvb", "aaaaaaa", "abab", "xyzxyzxyz", "123", "11111", "kx", "Q", "!", "3", "mnbgt", "a1b2a1b2a1b2"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(n)] + ["a" * 60, "ab" * 40, "aaaaabaaaaa", "qwertyuiop" * 3, "lovelovelove" * 3]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_guess_cost_is_the_cheapest_segmentation(seed):
+    for value in ["kzlove", "zlovexdog", "catvw", "vqpjzk", *values(seed)]:
+        want = naive_cost(value)
+        assert secrets.guess_cost(value) == pytest.approx(want, abs=1e-9), value
+        assert secrets.guess_cost(value, None, 9.0) == pytest.approx(min(want, 9.0), abs=1e-9), value
+
+
+def test_repeats_and_walks_of_any_length():
+    repeat = lambda n: secrets.guess_cost("a" * n)
+    assert all(repeat(n) == pytest.approx(math.log10(26 * n)) for n in (60, 640, 5000, 20_000))
+    row = "qwertyuiop"
+    walk = "".join(row[abs(i % 18 - 9)] for i in range(3000))
+    assert secrets.guess_cost(walk, {}, 1000.0) < 0.9 * 1000 and secrets.guess_cost(row, {}) < 4
+    assert secrets.guess_cost("".join(random.Random(1).choices("kzqxjvwy", k=200_000)), None, 9.0) == 9.0
+
+
+def test_prose_is_no_secret(spark):
+    texts = ["the secret was something", "password: " + "x" * 5000, "password is " + "ha" * 300, "token: k8!Qz#77vLp0", "the password is dragonfly"]
+    got = {r.doc_id: r for r in secrets.find_secrets(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [sum(s.kind == "guess" for s in got[i].spans) for i in range(5)] == [0, 0, 0, 1, 0]
