@@ -37,7 +37,7 @@ from triadic.llm.components import connected_components
 from triadic.llm.substring_dedup import Hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS_IN_BAND, TOLERANCE, STEP_HASHES, SEED = 5, 0.8, 35, 5, 1e-9, 35, 3
-BUCKET_BLOCK, GROUP_BLOCK, LEAST_BLOCK, GROUP_BYTES, PIECE = 1000, 200, 16, 16 << 20, 1 << 20
+BUCKET_BLOCK, GROUP_BLOCK, LEAST_BLOCK, GROUP_BYTES, PIECE = 500, 200, 16, 16 << 20, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
