@@ -1,8 +1,10 @@
 """Removal of repeated lines by a deletion-neighbourhood join, up to one edit.
 
-Lines are what newlines separate. A line of at least `min_chars` characters is dropped if an earlier line of
-that length at least, of the same or another document, is within `max_edits` (0 or 1) insertions, deletions or
-substitutions of one character; shorter lines stay. Earlier means by doc_id (null first), then by line number.
+Lines are what newlines separate. A line of at least `min_chars` characters is dropped if an earlier line, of the same
+or another document, is equal; one of at least `edit_chars` characters also if an earlier line of that length at
+least is within `max_edits` (0 or 1) insertions, deletions or substitutions of one character. By default that is
+every line but empty ones, which only part paragraphs, and one edit from 20 characters on, as in a shorter line
+an edit often makes another word. Earlier means by doc_id (null first), then by line number.
 The rule looks at the input, not at what is left, so order of work does not matter.
 
 Equal lines are found by a pair of 64-bit names. For one edit, a line with one character deleted is a key:
@@ -15,7 +17,7 @@ many rows as characters, so two cheaper rounds come first, and both lose nothing
 * fine: the other half is cut into cells of 16 characters; only cells without which two different lines are
   equal give variants, one for each character of the cell.
 
-Lines of up to 16 characters have no half that tells them apart, so with a smaller `min_chars` the distinct
+Lines of up to 16 characters have no half that tells them apart, so with a smaller `edit_chars` the distinct
 ones skip both rounds and give a variant for each character.
 
 Then equal variants meet in aggregates that keep the earliest line of each key, and each (line, earliest
@@ -25,7 +27,8 @@ Each line's names travel, not the line; the texts are shuffled once, to fetch th
 leaves. Very common lines, halves and variants add up in partial aggregates, and joins on keys are
 equi-joins whose hot keys adaptive execution can split.
 
-Null text is one empty line. Repeated rows of a document (same doc_id, same text) are the same document
+Texts are hashed in stretches of whole lines, so memory is bounded by the longest line (some 60 bytes for each of its
+characters). Null text is one empty line. Repeated rows of a document (same doc_id, same text) are the same document
 and get the same decisions. Other columns are not read. An empty table gives an empty result.
 """
 
@@ -35,9 +38,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import clean_text, cut, mix64, short_batches
+from triadic.llm.common import clean_text, cut, mix64, quoted, rows_of, short_batches
 
-MIN_CHARS, MAX_EDITS, GRID, CELL, PIECE = 20, 1, 8, 16, 1 << 18
+MIN_CHARS, EDIT_CHARS, MAX_EDITS, GRID, CELL, PIECE = 1, 20, 1, 8, 16, 1 << 18
 #: The side of lines that give all their variants.
 PLAIN = 4
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +82,7 @@ def _grid(m: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
     return a, (m - a) // grid * grid
 
 
-def _lines(min_chars: int, grid: int):
+def _lines(min_chars: int, edit_chars: int, grid: int, piece: int = PIECE):
     """(doc_id, mark, text) -> doc_id, mark, number of lines, and for each long line its number, two names and the coarse keys."""
 
     def run(batches):
@@ -90,16 +93,47 @@ def _lines(min_chars: int, grid: int):
             lo = 0
             while lo < len(texts):
                 hi, size = lo + 1, len(texts[lo])
-                while hi < len(texts) and size + len(texts[hi]) < PIECE:
+                while hi < len(texts) and size + len(texts[hi]) < piece:
                     size += len(texts[hi]) + 1
                     hi += 1
-                yield _line_batch(pa, batch.slice(lo, hi - lo), texts[lo:hi], min_chars, grid)
+                yield _line_batch(pa, batch.slice(lo, hi - lo), texts[lo:hi], min_chars, edit_chars, grid, piece)
                 lo = hi
 
     return run
 
 
-def _line_batch(pa, batch, texts, min_chars, grid):
+def _stretches(text: str, piece: int):
+    """text in stretches of whole lines of about `piece` characters, one line at least; their newlines between them are left out."""
+    at = 0
+    while len(text) - at > piece:
+        end = text.rfind("\n", at, at + piece)
+        end = text.find("\n", at + piece) if end < 0 else end
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def _line_batch(pa, batch, texts, min_chars, edit_chars, grid, piece):
+    if len(texts) == 1 and len(texts[0]) > piece:
+        found, count = [], 0
+        for part in _stretches(texts[0], piece):
+            n, doc, number, *rest = _named_lines([part], min_chars, edit_chars, grid)
+            found.append((doc, number + count, *rest))
+            count += int(n[0])
+        counts, (doc, number, h1, h2, flat, side, sizes) = np.array([count]), (np.concatenate(x) for x in zip(*found))
+    else:
+        counts, doc, number, h1, h2, flat, side, sizes = _named_lines(texts, min_chars, edit_chars, grid)
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    key = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat.view(np.int64)), pa.array(side)], ["key", "side"]))
+    line = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), key], ["line", "h1", "h2", "keys"])
+    per_doc = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(texts)))].astype(np.int32)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(per_doc, line)], ["doc_id", "mark", "n_lines", "lines"])
+
+
+def _named_lines(texts, min_chars, edit_chars, grid):
+    """Lines of each text; of the lines of min_chars or more: text, number, two names; and the coarse keys of all, their sides, and how many each line has."""
     sums = CharHashes("\n".join(texts) + "\n")
     end = np.flatnonzero(sums.newline)
     begin = np.r_[0, end[:-1] + 1]
@@ -119,16 +153,12 @@ def _line_batch(pa, batch, texts, min_chars, grid):
         keys.append(sums.names(begin, begin + a) + mix64(a.astype(np.uint64) * np.uint64(2)))
         keys.append(sums.names(end - b, end) + mix64(b.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
     # The keys of n - 1 are left out where they are those of n; pairs whose shorter line is below two cells of the grid are compared without.
-    same, shorter = n >= 2 * grid, n > 2 * grid
-    kept = np.column_stack([same, same, shorter & (keys[2] != keys[0]), shorter & (keys[3] != keys[1]), ~shorter])
+    edited, same, shorter = n >= edit_chars, n >= 2 * grid, n > 2 * grid
+    kept = np.column_stack([same, same, shorter & (keys[2] != keys[0]), shorter & (keys[3] != keys[1]), ~shorter]) & edited[:, None]
     keys.append(h1)
     flat = np.column_stack(keys)[kept] if len(n) else np.zeros(0, np.uint64)
     side = np.broadcast_to(np.array([1, 2, 1, 2, PLAIN], np.int8), kept.shape)[kept] if len(n) else np.zeros(0, np.int8)
-    ends = np.r_[0, np.cumsum(kept.sum(1))].astype(np.int32) if len(n) else np.zeros(1, np.int32)
-    key = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat.view(np.int64)), pa.array(side)], ["key", "side"]))
-    line = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), key], ["line", "h1", "h2", "keys"])
-    per_doc = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(texts)))].astype(np.int32)
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(per_doc, line)], ["doc_id", "mark", "n_lines", "lines"])
+    return count, doc, number, h1, h2, flat, side, kept.sum(1) if len(n) else np.zeros(0, np.int64)
 
 
 def _fetch(batches):
@@ -246,20 +276,21 @@ def _one_edit_apart(first: DataFrame, texts: DataFrame, lines: DataFrame, cell:
     return pairs.where(F.levenshtein("body", "earlier", 1) == 1).select("at.doc_id", "at.mark", "at.line").distinct()
 
 
-def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, cell: int = CELL, grid: int = GRID) -> DataFrame:
-    """One row for each row of docs: doc_id, mark (hash of the text), n_lines, n_long, stays (sorted numbers of the long lines that stay, from 0), shorts are all others."""
+def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, cell: int = CELL, grid: int = GRID, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """One row for each row of docs: doc_id, mark (hash of the text), n_lines, n_long (lines of min_chars or more), stays (sorted numbers of those that stay, from 0); all other lines stay."""
     if max_edits not in (0, 1) or min_chars < 1:
         raise ValueError("max_edits must be 0 or 1, min_chars at least 1")
+    edit_chars = max(min_chars, edit_chars)
     short_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64(clean_text()).alias("mark"), clean_text().alias("text"))
     scanned = cut(
-        texts.mapInArrow(_lines(min_chars, grid), f"doc_id {id_type}, mark long, n_lines int, lines array<struct<line: int, h1: long, h2: long, keys: array<struct<key: long, side: byte>>>>")
+        texts.mapInArrow(_lines(min_chars, edit_chars, grid), f"doc_id {id_type}, mark long, n_lines int, lines array<struct<line: int, h1: long, h2: long, keys: array<struct<key: long, side: byte>>>>")
     )
     lines = scanned.select("doc_id", "mark", F.explode("lines").alias("l")).select(F.struct("doc_id", "mark", "l.line").alias("at"), "l.h1", "l.h2", "l.keys")
     first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.doc_id", "at.mark", "at.line")
     if max_edits:
-        near = _one_edit_apart(first, texts, lines, cell, grid, min_chars <= 2 * grid).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("line").alias("l"))
+        near = _one_edit_apart(first, texts, lines, cell, grid, edit_chars <= 2 * grid).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("line").alias("l"))
         first = first.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("line") == F.col("l")), "left_anti")
     stays = first.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.array_sort(F.collect_list("line")).alias("stays"))
     out = scanned.select("doc_id", "mark", "n_lines", F.size("lines").alias("n_long")).join(stays, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
@@ -268,10 +299,11 @@ def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, **options) -> DataFrame:
     """docs with the lines that stay as text (null stays null), in docs' columns."""
-    stays = line_decisions(docs, min_chars, **options).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("stays").alias("__stays")).dropDuplicates(["__id", "__mark"])
-    joined = docs.withColumn("__own", F.xxhash64(clean_text())).join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")))
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: (F.length(line) < min_chars) | F.array_contains(F.col("__stays"), i))
-    return joined.withColumn("text", F.array_join(kept, "\n")).select(*docs.columns)
+    stays = line_decisions(docs, min_chars, **options).select(F.col("doc_id").alias("stay_id"), F.col("mark").alias("stay_mark"), "stays").dropDuplicates(["stay_id", "stay_mark"])
+    joined = rows_of(docs, id=F.col("doc_id"), mark=F.xxhash64(clean_text())).join(stays, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("mark") == F.col("stay_mark")))
+    kept = F.filter(F.split("row.text", "\n", -1), lambda line, i: (F.length(line) < min_chars) | F.array_contains(F.col("stays"), i))
+    joined = joined.withColumn("text", F.array_join(kept, "\n"))
+    return joined.select(*[F.col("text") if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -289,13 +321,13 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 #: Lines that share an untouched half are compared character by character; for small tables with distinct doc_ids.
 OP6_SQL = r"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-l AS (SELECT doc_id, i - 1 AS line, parts[i] AS body FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM t) WHERE length(parts[i]) >= 20),
+l AS (SELECT doc_id, i - 1 AS line, parts[i] AS body FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM t) WHERE length(parts[i]) >= 1),
 f AS (SELECT body, length(body) AS n, min({'d': doc_id, 'l': line}) AS pos FROM l GROUP BY body),
 k AS (SELECT pos, body, n, unnest([{'k': n // 2, 's': 'p' || left(body, n // 2)}, {'k': n - n // 2, 's': 's' || right(body, n - n // 2)},
-        {'k': (n - 1) // 2, 's': 'p' || left(body, (n - 1) // 2)}, {'k': n - 1 - (n - 1) // 2, 's': 's' || right(body, n - 1 - (n - 1) // 2)}]) AS key FROM f),
+        {'k': (n - 1) // 2, 's': 'p' || left(body, (n - 1) // 2)}, {'k': n - 1 - (n - 1) // 2, 's': 's' || right(body, n - 1 - (n - 1) // 2)}]) AS key FROM f WHERE n >= 20),
 near AS (SELECT DISTINCT a.pos FROM k a JOIN k b ON a.key = b.key AND a.pos > b.pos AND abs(a.n - b.n) <= 1
     WHERE len(list_filter(range(0, greatest(a.n, b.n)), lambda i: left(a.body, i) = left(b.body, i) AND substr(a.body, i + 1 + (a.n >= b.n)::INT) = substr(b.body, i + 1 + (b.n >= a.n)::INT))) > 0),
 stays AS (SELECT pos.d AS doc_id, list(pos.l ORDER BY pos.l) AS stays FROM f WHERE pos NOT IN (SELECT pos FROM near) GROUP BY pos.d),
-n AS (SELECT t.doc_id, len(parts) AS n_lines, len(list_filter(parts, lambda x: length(x) >= 20)) AS n_long, coalesce(stays, []) AS stays FROM t LEFT JOIN stays ON stays.doc_id = t.doc_id)
+n AS (SELECT t.doc_id, len(parts) AS n_lines, len(list_filter(parts, lambda x: length(x) >= 1)) AS n_long, coalesce(stays, []) AS stays FROM t LEFT JOIN stays ON stays.doc_id = t.doc_id)
 SELECT doc_id, n_lines, n_long - len(stays) AS n_dropped, n_lines - n_long + len(stays) AS n_kept, sha256(array_to_string(stays, ',')) AS stays_sha256 FROM n
 """
