@@ -10,14 +10,17 @@ A matrix comes with, for each row: the cumulative segment lengths (from 0; what
 padding), and the columns at which positions start again at 0 (each segment's start); and with each segment's
 doc_id, part and place in the document, from which `unpack` restores the token ids.
 
-Documents are packed where they are read, in windows of about `window_tokens` tokens, so nothing is
-shuffled, a task's memory is bounded by a window and the longest document, and a lost task is redone from its
-input alone. The result depends on how the input is split into partitions, but not on chance; the share of
-padding is that of the last rows of windows.
+Which documents share rows follows from the documents alone, not from files or partitions: a hash of doc_id and
+text deals them to buckets of about `bucket_chars` characters, which go to tasks whole and in order of (bucket,
+doc_id, hash of the text), and a bucket is packed in windows of about `window_tokens` tokens. A task's memory is
+bounded by a window and the longest document. Padding is what is left free in the last rows of windows and
+buckets. With bucket_chars = None documents are packed where they are read, without a shuffle; the result
+then depends on how the input is split.
 
 A null text counts as empty: its segment is the end token alone (without end token, empty documents give
-no segment). Ties go by doc_id (null last), then by the order of rows. Repeated rows are documents of
-their own. Other columns are not read. An empty table gives an empty result.
+no segment). Ties go by doc_id (null last), then by text. Repeated rows are documents of
+their own; those equal in doc_id and text share a bucket, in one window after the other. A document of any
+length is split losslessly, held as ids once. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from triadic.llm.common import short_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits texts before the merges of this vocabulary, as its readme gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CAPACITY, END, PAD, MATRIX_ROWS, WINDOW_TOKENS = 2048, 50256, 50256, 64, 1 << 21
+CAPACITY, END, PAD, MATRIX_ROWS, WINDOW_TOKENS, BUCKET_CHARS = 2048, 50256, 50256, 64, 1 << 21, 1 << 24
 
 SCHEMA = (
     "n_rows int, capacity int, ids binary, cu_seqlens array<array<int>>, resets array<array<int>>,"
@@ -117,9 +120,8 @@ def split_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pack_window(docs: list[tuple], capacity: int, pad: int, matrix_rows: int, dtype):
-    """docs: (doc_id, mark, ids) -> rows of SCHEMA."""
-    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i))
-    pieces = [(n, d, part, a) for d in order for part, (a, n) in enumerate(split_pieces(len(docs[d][2]), capacity))]
+    """docs: (doc_id, mark, ids), in the order that ties keep -> rows of SCHEMA."""
+    pieces = [(n, d, part, a) for d in range(len(docs)) for part, (a, n) in enumerate(split_pieces(len(docs[d][2]), capacity))]
     pieces.sort(key=lambda p: -p[0])
     rows, _ = best_fit_decreasing([p[0] for p in pieces], capacity)
     for r in range(0, len(rows), matrix_rows):
@@ -147,6 +149,7 @@ def pack(
     pad: int = PAD,
     matrix_rows: int = MATRIX_ROWS,
     window_tokens: int = WINDOW_TOKENS,
+    bucket_chars: int | None = BUCKET_CHARS,
 ) -> DataFrame:
     """Matrices of packed ids (little-endian, 16 bits if all ids fit, else 32) with what belongs to their rows."""
     short_batches(docs.sparkSession)
@@ -161,15 +164,22 @@ def pack(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         encode = encoder(file.value, pattern)
-        held, total = [], 0
+        held, total, now = [], 0, None
 
         def flush():
+            if bucket_chars is None:
+                order = sorted(range(len(held)), key=lambda i: (held[i][0] is None, () if held[i][0] is None else (held[i][0],), i))
+                held[:] = [held[i] for i in order]
             for row in _pack_window(held, capacity, pad, matrix_rows, dtype):
                 yield pa.RecordBatch.from_pylist([row], schema=shape)
 
         shape = to_arrow_schema(schema)
         for batch in batches:
-            for doc_id, mark, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for doc_id, mark, text, bucket in zip(*batch.columns):
+                bucket = bucket.as_py()
+                if bucket != now:
+                    yield from flush()
+                    held, total, now = [], 0, bucket
                 ids = encode.encode_to_numpy(text.as_py() or "", disallowed_special=())
                 if end is not None:
                     ids = np.r_[ids, np.uint32(end)]
@@ -183,7 +193,14 @@ def pack(
         yield from flush()
 
     schema = docs.sparkSession.createDataFrame([], SCHEMA.format(id=id_type)).schema
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text").mapInArrow(run, schema)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    if bucket_chars is None:
+        return rows.withColumn("bucket", F.lit(0).cast("long")).mapInArrow(run, schema)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(max(1, -(-chars // bucket_chars)))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "mark").mapInArrow(run, schema)
 
 
 def unpack(packed: DataFrame) -> DataFrame:
