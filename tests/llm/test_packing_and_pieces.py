@@ -42,7 +42,7 @@ def test_best_fit_decreasing(seed):
     assert sorted(left) == plain_best_fit(lengths, capacity)
 
 
-@pytest.mark.parametrize("options", [{}, {"capacity": 50, "matrix_rows": 3, "window_tokens": 400}, {"capacity": 50, "end": None}])
+@pytest.mark.parametrize("options", [{}, {"capacity": 50, "matrix_rows": 3, "window_tokens": 400, "bucket_chars": 5000}, {"capacity": 50, "end": None}, {"capacity": 50, "window_tokens": 400, "bucket_chars": None}])
 def test_packing_round_trip(spark, options):
     rows = list(enumerate(TEXTS)) + [(None, "no id"), (50, TEXTS[0])]
     packed = packing.pack(frame(spark, rows).repartition(2), **options)
@@ -68,6 +68,21 @@ def test_packing_round_trip(spark, options):
     assert all(bytes([b]) in ranks for b in range(256))  # every text can be written
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    rows = [(i // 2 if i % 5 else None, " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 200)))) for i in range(300)] + [(7, "same text")] * 5
+    options = {"capacity": 64, "matrix_rows": 4, "window_tokens": 5000, "bucket_chars": 20_000}
+    shape = lambda df: sorted((bytes(r.ids), str(r.segments)) for r in packing.pack(df, **options).collect())
+    assert shape(frame(spark, rows).repartition(1)) == shape(frame(spark, rows[::-1]).repartition(7))
+
+
+def test_ids_of_text_may_be_empty(spark):
+    rows = [("", "one"), (None, "two"), ("b", "three"), ("", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for options in ({}, {"bucket_chars": None}):
+        assert sorted((r.doc_id for r in packing.unpack(packing.pack(df, **options)).collect()), key=str) == ["", "", None, "b"]
+
+
 def test_nothing_packed(spark):
     assert packing.pack(frame(spark, [])).count() == 0
     assert packing.unpack(packing.pack(frame(spark, []))).count() == 0
@@ -131,6 +146,23 @@ def test_long_units(model):
     assert [lattices.decode(out[a:b]).decode() for a, b in zip(ends[:-1], ends[1:])] == texts
 
 
-def test_query_columns(spark):
-    df = frame(spark, list(enumerate(TEXTS)))
-    assert df.select(F.count("*")).first()[0] == len(TEXTS)
+def test_stretches_and_portions_change_nothing(model):
+    rng = random.Random(9)
+    unit = lambda k: "".join(rng.choice(["a", "the", "ing", "é", "▁", "😀", "x", "日", "str"]) for _ in range(k))
+    texts = [unit(3000), " " + unit(500) + " ab  c " + unit(900), unit(40) + " x", "", " ", "".join(unit(3) + " " for _ in range(600))]
+    keys = mix64(np.arange(len(texts), dtype=np.uint64))
+    whole, count = sampled_pieces.Lattices(model, 0.5, 1.0).encode(texts, keys)
+    for stretch in (64, 200):
+        out, n = sampled_pieces.Lattices(model, 0.5, 1.0).encode(texts, keys, stretch=stretch)
+        assert (out == whole).all() and (n == count).all()
+    ends = np.cumsum(np.r_[0, count])
+    for text, key, a, b in zip(texts, keys, ends[:-1], ends[1:]):
+        if text:
+            assert (sampled_pieces.Lattices(model, 0.5, 1.0).encode_long(text, key, 100) == whole[a:b]).all()
+
+
+def test_columns_of_any_name(spark):
+    df = frame(spark, [(1, "a b"), (2, None)]).selectExpr("*", "doc_id AS `a.b`", "doc_id AS `__key`", "doc_id AS `x y`")
+    out = sampled_pieces.encode(df)
+    assert out.columns == ["doc_id", "mark", "a.b", "__key", "x y", "n_pieces", "ids"] and out.where("`a.b` = doc_id AND __key = doc_id").count() == 2
+    assert sorted((r.doc_id, r.text) for r in sampled_pieces.decode(out).collect()) == [(1, "a b"), (2, None)]

@@ -71,7 +71,7 @@ def test_run_agrees_with_itself(spark, sf_dir):
 
 
 def test_columns_of_any_name_pass_through(spark, sf_dir, tmp_path):
-    names = ["score", "lang_pred", "shards", "position", "size", "h", "name", "cid", "ids", "n_pieces", "class", "mark"]
+    names = ["score", "lang_pred", "shards", "position", "size", "h", "name", "cid", "ids", "n_pieces", "class", "mark", "a.b", "__own", "__id", "__size", "__shard", "row", "id", "at", "x y", "gone_id"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *[f"doc_id * {i} AS `{n}`" for i, n in enumerate(names)])
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, sf_dir)
@@ -85,6 +85,31 @@ def test_columns_of_any_name_pass_through(spark, sf_dir, tmp_path):
             assert docs.where("size <> doc_id * 4").count() == 0 < docs.count()
 
 
+def test_no_different_text_is_lost(spark, tmp_path):
+    """Rows without doc_id, and rows that share one, are told apart by their texts in every stage."""
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("the and of ing tion her with over under about".split()) + rng.choice("abcdefgh") for _ in range(30))
+    rows = [(None, text(), "en", "s0", 0) for _ in range(300)] + [(i // 3, text(), "en", f"s{i % 2}", 0) for i in range(300)]
+    rows += [(None, rows[0][1], "en", "s0", 0)] * 20 + [(1, rows[400][1], "en", "s1", 0), (5, rows[7][1], "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    texts = {r[1] for r in rows}
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, "")
+        assert {r.text for r in docs.collect()} == texts
+    assert docs.count() == len(texts)
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(r.text.split())
+    out = corpus_pipeline.STAGES[3][1](spark, docs, "")
+    taken, often = Counter(), Counter()
+    for r in out.collect():
+        taken[r.source] += len(r.text.split())
+        often[(r.doc_id, r.text)] += 1
+    assert max(often.values()) <= 2
+    for s, t in targets(sizes).items():
+        assert abs(taken[s] - t) <= 30
+
+
 def test_empty_and_wordless_documents(spark, tmp_path):
     rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n", None, "b", 0)]
     for k, part in enumerate((rows, [])):

@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,6 +72,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """df.mapInArrow, by place: columns go in and out under plain names, as PySpark cannot look up names with dots there."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    shape = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return plain.mapInArrow(run, shape).toDF(*schema.names)
+
+
 def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
     """docs' rows as one column `row`, beside the columns given: names of docs cannot clash with those of an operator. Give rows back by select("row.*")."""
     return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])

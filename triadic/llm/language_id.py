@@ -8,8 +8,8 @@ documents that the weights were not trained on.
 
 Training reads only the text and the non-null language of documents whose crc32(doc_id) mod 5 is not 0.
 The classifier is fitted on a bounded sample of them: about `per_language` documents of each language (the
-bound; those whose hashed doc_id falls below the language's share), `calibration` of them set aside for
-the temperature. At most `languages` languages are learned, the most frequent. Prediction reads the text alone,
+bound; those whose hashed doc_id and text fall below the language's share), `calibration` of them set aside for
+the temperature. Every language that occurs is learned. Prediction reads the text alone,
 all of it.
 
 A text that is null or has no letter gets `und` with score 0; so does every text when there is nothing to
@@ -25,8 +25,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from triadic.llm.common import clean_text, mix64, short_batches
+from triadic.llm.common import clean_text, map_arrow, mix64, quoted, short_batches
 
 UNKNOWN = "und"
 BUCKETS, PER_LANGUAGE, CALIBRATION, FOLDS = 1 << 14, 1500, 0.2, 5
@@ -55,8 +56,8 @@ def term_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
         h = c * np.uint64(0x9E3779B97F4A7C15)
         two = h[:-1] * np.uint64(0xBF58476D1CE4E5B9) + h[1:]
         three = two[:-1] * np.uint64(0x94D049BB133111EB) + h[2:]
-        for k, g in enumerate((h, two, three)):
-            counts += np.bincount((mix64(g[:own] + np.uint64(k)) >> shift).astype(np.int64), minlength=buckets)
+        grams = np.concatenate([g[:own] + np.uint64(k) for k, g in enumerate((h, two, three))])
+        counts += np.bincount((mix64(grams) >> shift).astype(np.int64), minlength=buckets)
     return counts
 
 
@@ -95,7 +96,7 @@ def _document_frequencies(training: DataFrame, buckets: int) -> tuple[np.ndarray
 
 def _sample(training: DataFrame, counts: dict[str, int], per_language: int, buckets: int, seed: int):
     """(language number, hash, buckets, counts) of the sampled documents; features are made on the executors."""
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col("lang"))
 
     def featured(batches):
@@ -236,9 +237,9 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
                 [*batch.schema.names[1:], "lang_pred", "score"],
             )
 
-    chosen = docs.select(F.col("text").alias("__scored"), "doc_id", *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    chosen = docs.select("text", "doc_id", *[F.col(quoted(c)) for c in keep])
+    more = StructType.fromDDL("lang_pred string, score double").fields
+    return map_arrow(chosen, run, StructType([*chosen.schema.fields[1:], *more]))
 
 
 def recognised(docs: DataFrame, model: Model | None, least_score: float = 0.0) -> DataFrame:
@@ -254,7 +255,7 @@ def recognised(docs: DataFrame, model: Model | None, least_score: float = 0.0) -
             told = [predict_one(shipped.value, t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in told], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

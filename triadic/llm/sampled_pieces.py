@@ -17,8 +17,10 @@ mark becomes a space, byte pieces become their bytes) and gives back every text
 characters and the space mark itself included.
 
 All lattices of a stretch of text are built and sampled together in numpy, each different unit once; a task
-keeps them for the texts that follow, until they hold KEPT characters. So memory is bounded by PIECE, KEPT and
-the longest text; a unit of any length is one lattice. Null text has no pieces and
+keeps them for the texts that follow, until they hold KEPT characters. A text longer than PIECE is encoded in portions
+cut before spaces; a unit longer than STRETCH (a multiple of 8) keeps the forward totals between stretches, and each
+stretch of its lattice is built again when the draws reach it, with the same result. So memory is bounded by PIECE, KEPT
+and the longest text's own characters and ids. Null text has no pieces and
 decodes to an empty text; in `encode` its ids are null. Rows are independent, so ties and repeated rows need
 no rule. An empty table gives an empty result.
 """
@@ -26,15 +28,17 @@ no rule. An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from triadic.llm.common import mix64, short_batches, slices_by_bytes
+from triadic.llm.common import map_arrow, mix64, quoted, short_batches, slices_by_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ALPHA, ZIPF, SEED, PIECE, KEPT = 0.5, 1.0, 23, 1 << 18, 700_000
+ALPHA, ZIPF, SEED, PIECE, KEPT, STRETCH = 0.5, 1.0, 23, 1 << 18, 700_000, 1 << 15
 #: Stands for a space in front of a unit; no character has this number, so the space mark in a text stays apart.
 MARK = 0x110000
 SPACE_MARK = "▁"
@@ -130,11 +134,9 @@ class Lattices:
                 break
         return known, ids, weights
 
-    def build(self, codes: np.ndarray, length: np.ndarray):
-        """For units one after the other: the shares (cumulative, by length of the last piece) and ids of edges that end at each character."""
-        n, units = len(codes), len(length)
-        begin = np.cumsum(length) - length
-        left = np.repeat(begin + length, length) - np.arange(n)  # characters from here to the unit's end
+    def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and ids of the pieces that end at each character, by length. left: characters from each one to the end of what a piece may cover."""
+        n = len(codes)
         weight = np.zeros((n, self.longest), np.float32)
         ids = np.full((n, self.longest), -1, np.int32)
         mixed = mix64(codes.astype(np.uint64) + np.uint64(1))
@@ -153,6 +155,13 @@ class Lattices:
                 ids[lone, 0] = -2 - np.where(c == MARK, 0x20, c).astype(np.int32)
             go = known & (left[at] > k + 1)
             at, h = at[go], h[go]
+        return weight, ids
+
+    def build(self, codes: np.ndarray, length: np.ndarray):
+        """For units one after the other: the shares (cumulative, by length of the last piece) and ids of edges that end at each character."""
+        n, units = len(codes), len(length)
+        begin = np.cumsum(length) - length
+        weight, ids = self.edges(codes, np.repeat(begin + length, length) - np.arange(n))
         total = np.zeros(n + units)  # by node: a unit's start and the place after each of its characters
         total[begin + np.arange(units)] = 1.0
         shares = np.empty((n, self.longest), np.float32)
@@ -198,6 +207,41 @@ class Lattices:
             out[after[a] - 1 - k] = f
         return out, count
 
+    def _stretch(self, codes: np.ndarray, a: int, b: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares and ids of the edges that end at characters a to b of one unit, and the totals of the last nodes, given those of the nodes before a."""
+        first, reach = max(0, a - self.longest + 1), self.longest
+        weight, ids = self.edges(codes[first:b], b - np.arange(first, b))
+        weight, ids = weight[a - first :], ids[a - first :]
+        total = np.r_[before, np.zeros(b - a)]
+        shares = np.empty((b - a, reach), np.float32)
+        for e in range(b - a):
+            s = weight[e] * total[e : e + reach][::-1]
+            np.cumsum(s, out=s)
+            total[e + reach] = s[-1]
+            shares[e] = s / s[-1]
+            if (a + e) % 8 == 7:
+                total[e : e + reach + 1] *= 1 / total[e + reach]
+        return shares, ids, total[b - a :]
+
+    def sample_long(self, codes: np.ndarray, key: int, stretch: int) -> np.ndarray:
+        """What build and sample give for one unit, holding one stretch of its lattice: forward with the totals between stretches kept, then backward with each stretch built again."""
+        edges = [*range(0, len(codes), stretch), len(codes)]
+        before = np.zeros(self.longest)
+        before[-1] = 1.0
+        totals = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            totals.append(before)
+            before = self._stretch(codes, a, b, before)[2]
+        out, last, k = array("i"), len(codes) - 1, 0
+        for a, b, before in zip(edges[-2::-1], edges[:0:-1], totals[::-1]):
+            shares, ids, _ = self._stretch(codes, a, b, before)
+            while last >= a:
+                u = (mix64(np.array([key], np.uint64) + np.uint64(k * int(_B) % 2**64)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+                back = int((shares[last - a] <= u).argmin())
+                out.append(ids[last - a, back])
+                last, k = last - back - 1, k + 1
+        return np.array(out, np.int32)[::-1]
+
     def _spell(self, out: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Puts byte pieces in the place of characters that are no pieces."""
         lone = out <= -2
@@ -208,31 +252,73 @@ class Lattices:
         owner = np.repeat(np.arange(len(count)), count)
         new = np.repeat(out, size)
         at = np.cumsum(size) - size
-        for i in np.flatnonzero(lone).tolist():
-            new[at[i] : at[i] + size[i]] = self.byte_ids[list(chr(c[i]).encode("utf-8", "surrogatepass"))]
+        for n, lead in enumerate((0, 0xC0, 0xE0, 0xF0), 1):  # the bytes of UTF-8
+            these = lone & (size == n)
+            for b in range(n):
+                bits = c[these] >> (6 * (n - 1 - b))
+                new[at[these] + b] = self.byte_ids[lead | bits if b == 0 else 0x80 | bits & 0x3F]
         return new, np.bincount(owner, weights=size, minlength=len(count)).astype(np.int64)
 
-    def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and how many each has."""
+    def encode(self, texts: list[str], keys: np.ndarray, before: list[int] | None = None, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has. before: units of the same text that went before each."""
         if self.chars > KEPT:
             self._forget()
         number = self.units.__getitem__
-        units, per_text = [], []
+        units, per_text, long = [], [], {}
         for text in texts:
             parts = text.split(" ")
-            if parts[0]:
-                units.append(number((parts[0],)))
-            units.extend(map(number, parts[1:]))
+            own = [(parts[0],), *parts[1:]] if parts[0] else parts[1:]
+            if len(text) > stretch:
+                for i, p in enumerate(own):
+                    if len(p if isinstance(p, str) else p[0]) > stretch:
+                        long[sum(per_text) + i] = p
+                own = [p for i, p in enumerate(own) if sum(per_text) + i not in long]
+            units.extend(map(number, own))
             per_text.append(len(parts) - (not parts[0]))
         self._learn()
         begin, length, shares, ids = self.begin, self.length, self.shares, self.ids
         per_text = np.array(per_text, np.int64)
-        number = np.arange(len(units)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        number = np.arange(int(per_text.sum())) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        if before is not None:
+            number = number + np.repeat(np.array(before, np.int64), per_text)
         key = mix64(np.repeat(keys, per_text) + mix64(number.astype(np.uint64)))
-        out, count = self._spell(*self.sample(np.array(units, np.int64), begin, length, shares, ids, key))
+        usual = np.ones(len(key), bool)
+        usual[list(long)] = False
+        out, own = self._spell(*self.sample(np.array(units, np.int64), begin, length, shares, ids, key[usual]))
+        count = np.zeros(len(key), np.int64)
+        count[usual] = own
+        if long:
+            found = {}
+            for o, p in long.items():
+                mark = isinstance(p, str)
+                codes = np.r_[[MARK] * mark, np.frombuffer((p if mark else p[0]).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+                got = self.sample_long(codes, int(key[o]), stretch)
+                found[o], n = self._spell(got, np.array([len(got)]))
+                count[o] = n[0]
+            ends = np.cumsum(np.r_[0, count])
+            whole, rest = np.empty(int(ends[-1]), np.int32), np.ones(int(ends[-1]), bool)
+            for o, got in found.items():
+                whole[ends[o] : ends[o + 1]] = got
+                rest[ends[o] : ends[o + 1]] = False
+            whole[rest] = out
+            out = whole
         ends = np.cumsum(np.r_[0, count])
         return out, np.diff(ends[np.cumsum(np.r_[0, per_text])])
 
+    def encode_long(self, text: str, key, portion: int) -> np.ndarray:
+        """encode for one text, in portions that are cut before a space."""
+        out, at, before = [], 0, 0
+        while at < len(text):
+            end = len(text)
+            if end - at > portion:
+                end = text.rfind(" ", at + 1, at + portion)
+                end = text.find(" ", at + portion) if end < 0 else end
+                end = len(text) if end < 0 else end
+            part = text[at:end]
+            out.append(self.encode([part], np.array([key], np.uint64), [before])[0])
+            at, before = end, before + part.count(" ") + (part[0] != " ")
+        return np.concatenate(out)
+
     def _learn(self) -> None:
         """Builds the lattices of units that were numbered since the last call."""
         if len(self.units) == self.known:
@@ -288,7 +374,7 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: floa
     dtype = np.dtype("<u2" if vocabulary["size"] <= 1 << 16 else "<u4")
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
     others = [c for c in docs.columns if c not in ("text", "n_pieces", "ids", "lossless")]
-    chosen = docs.select(F.xxhash64(F.lit(seed), F.col(key)).alias("__key"), F.col("text").alias("__text"), *others)
+    chosen = docs.select(F.xxhash64(F.lit(seed), F.col(quoted(key))), F.col("text"), *[F.col(quoted(c)) for c in others])
 
     def run(batches):
         import pyarrow as pa
@@ -308,7 +394,11 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: floa
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         for lo, hi in slices_by_bytes(sizes, PIECE):
             texts = batch.column(1).slice(lo, hi - lo).to_pylist()
-            ids, count = lattices.encode([t or "" for t in texts], keys[lo:hi])
+            if hi - lo == 1 and sizes[lo] > PIECE:
+                ids = lattices.encode_long(texts[0], keys[lo], PIECE)
+                count = np.array([len(ids)])
+            else:
+                ids, count = lattices.encode([t or "" for t in texts], keys[lo:hi])
             ends = np.cumsum(np.r_[0, count])
             own = [ids[a:b] if texts[i] is not None else None for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
             columns = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
@@ -319,8 +409,8 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: floa
                 names.append("lossless")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[2:])
-    return chosen.mapInArrow(run, f"{kinds}n_pieces long, ids binary" + ", lossless boolean" * check)
+    more = StructType.fromDDL("n_pieces long, ids binary" + ", lossless boolean" * check).fields
+    return map_arrow(chosen, run, StructType([*chosen.schema.fields[2:], *more]))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -338,8 +428,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if x is None else lattices.decode(np.frombuffer(x, dtype).astype(np.int64)).decode() for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*batch.schema.names[1:], "text"])
 
-    kinds = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in others)
-    return encoded.select("ids", *others).mapInArrow(run, f"{kinds}text string")
+    chosen = encoded.select("ids", *[F.col(quoted(c)) for c in others])
+    return map_arrow(chosen, run, StructType([*chosen.schema.fields[1:], StructField("text", StringType())]))
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
