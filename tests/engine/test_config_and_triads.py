@@ -39,7 +39,7 @@ def test_derived_settings():
 
 def test_size_guard():
     c = FitConfig(n_dft=16, time_step=1.0, store_modes=True, max_modes_gb=0.001)
-    with pytest.raises(MemoryError):
+    with pytest.raises(ValueError, match="max_modes_gb"):
         c.check_size(1000, 1000)
     assert FitConfig(n_dft=16, time_step=1.0, store_modes=True, max_modes_gb=None).check_size(1000, 1000) > 0.02
 

@@ -56,7 +56,7 @@ def test_fit_against_the_definitions(spark, config, nv):
     want = plain(q, np.repeat(W[:, None], states, 1), config)
     got = rows_of(result)
     assert len(got) == len(want) == 24
-    modes = {(r.triad_idx, r.comp, r.p, r.s): r.re + 1j * r.im for r in result.modes([3, 20]).collect()}
+    modes = {(r.triad_idx, r.comp, r.p, r.s): r.re + 1j * r.im for r in result.modes_of([3, 20]).collect()}
     for r, (radius, transfer, psi) in zip(got, want):
         assert r.l_abs == pytest.approx(radius, rel=1e-8)
         if r.k and r.l:
@@ -232,7 +232,7 @@ def test_weights_rules(spark):
 
 def test_panels_and_levels(spark):
     result = fit(arrays.from_array(spark, DATA[..., :1], 1, 1), FitConfig(n_dft=16, time_step=0.5, max_freq_idx=2, constituent_modes=True))
-    panels = estimators.mode_panels(result.modes(1), 6, [0])
+    panels = estimators.mode_panels(result.modes_of(1), 6, [0])
     assert {r.row for r in panels.collect()} == {-1, 0, 1, 2, 3}
     levels = estimators.contour_levels(panels).collect()
     assert len(levels) == 257 and levels[0].level == -levels[-1].level and levels[128].level == 0

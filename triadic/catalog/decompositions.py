@@ -107,7 +107,7 @@ _CHOSEN = [0, 5, 20, 30]
 
 
 def _modes(spark, d, config=DAY, ids=_CHOSEN):
-    return day_fit(spark, d, config).modes(ids)
+    return day_fit(spark, d, config).modes_of(ids)
 
 
 def _one_norms(ids, comps: int) -> str:
@@ -154,7 +154,7 @@ def modes_top(spark, d):
     """Modes of the strongest tenth of triads."""
     result = day_fit(spark, d)
     ids = [r.triad_idx for r in selected_for_saving(result.bispectrum, 0.1).collect()]
-    return result.modes(ids)
+    return result.modes_of(ids)
 
 
 #: CTE z: the maximiser of a triad's 2 x 2 form at its best angle; CTE psi: modulus of the normalised legs at each point.

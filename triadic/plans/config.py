@@ -56,7 +56,7 @@ class FitConfig:
     constituent_modes: bool = False
     compute_energy_transfer: bool = True
     #: Values of a chunk of points that one task holds; it fixes the order of sums whatever the partitions.
-    chunk_values: int = 1 << 19
+    chunk_values: int = 1 << 21
     #: For products of different variables: states, and for each state its pairs (q, r, q, r, ...); None: each variable with itself.
     state_idx: tuple[int, ...] | None = None
     qr_idx: tuple[tuple[int, ...], ...] | None = None
@@ -127,10 +127,18 @@ class FitConfig:
     def folder(self, nt: int) -> str:
         return f"nfft{self.n_dft}_novlp{self.n_overlap}_nblks{self.blocks(nt)}"
 
-    def check_size(self, n_triads: int, nx: int) -> float:
-        """GB of all modes; refused above max_modes_gb if they are to be kept in memory."""
+    def points(self, nt: int, nv: int) -> int:
+        """Points of a chunk: one at least."""
+        return max(1, self.chunk_values // (nt * nv))
+
+    def modes_gb(self, n_triads: int, nx: int, dtype: str | None = None) -> float:
+        """GB of the modes of so many triads."""
         comps = 4 if self.constituent_modes else 2
-        size = n_triads * comps * nx * self.n_states * (16 if self.dtype == "double" else 8) * GB
-        if self.store_modes and self.max_modes_gb is not None and size > self.max_modes_gb:
-            raise MemoryError(f"modes of {n_triads} triads take {size:.1f} GB, more than max_modes_gb = {self.max_modes_gb}")
+        return n_triads * comps * nx * self.n_states * (16 if (dtype or self.dtype) == "double" else 8) * GB
+
+    def check_size(self, n_triads: int, nx: int, saved: int = 0) -> float:
+        """GB of the modes that are kept in memory (all, with store_modes) or saved (of so many triads), whichever are more; refused above max_modes_gb."""
+        size = max(self.modes_gb(n_triads, nx) if self.store_modes else 0.0, self.modes_gb(saved, nx, self.save_dtype))
+        if self.max_modes_gb is not None and size > self.max_modes_gb:
+            raise ValueError(f"the modes to keep take {size:.1f} GB, more than max_modes_gb = {self.max_modes_gb}; None lifts the limit")
         return size
