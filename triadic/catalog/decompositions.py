@@ -153,8 +153,7 @@ def reconstruct_modes(spark, d):
 def modes_top(spark, d):
     """Modes of the strongest tenth of triads."""
     result = day_fit(spark, d)
-    ids = [r.triad_idx for r in selected_for_saving(result.bispectrum, 0.1).collect()]
-    return result.modes_of(ids)
+    return result.modes_of(selected_for_saving(result.bispectrum, 0.1))
 
 
 #: CTE z: the maximiser of a triad's 2 x 2 form at its best angle; CTE psi: modulus of the normalised legs at each point.
@@ -195,12 +194,12 @@ _SPECTRUM = ("triad_idx", "k", "l", "region", "l_abs", "t")
 
 @query("mode_bispectrum")
 def mode_bispectrum(spark, d):
-    return fit(C.hourly(spark, d), HOUR, C.point_weights(spark)).bispectrum.select(*_SPECTRUM)
+    return fit(C.hourly(spark, d), HOUR, C.point_weights(spark, d)).bispectrum.select(*_SPECTRUM)
 
 
 @query("cross_mode_bispectrum")
 def cross_mode_bispectrum(spark, d):
-    return fit(C.hourly3(spark, d), CROSS, C.point_weights(spark)).bispectrum.select(*_SPECTRUM)
+    return fit(C.hourly3(spark, d), CROSS, C.point_weights(spark, d)).bispectrum.select(*_SPECTRUM)
 
 
 @query("cross_fit_reduces_to_standard", f"SELECT triad_idx, true AS same FROM ({triads_sql(48, 1.0, (1, 2), 8)})")
@@ -247,7 +246,7 @@ def surrogate_triad(spark, d):
     return top_triads(fit(C.wave_triad(spark, d), WAVES).bispectrum, 1).select("triad_idx", "k", "l", "kl")
 
 
-@query("surrogate_spectrum", f"WITH {C.dft_sql(C.WAVES, (0, 6, 26, 32), 128, 128, 10)} SELECT f::INT AS f, b::INT AS b, round(sum(re * re + im * im), 6) + 0.0 AS power FROM q GROUP BY f, b")
+@query("surrogate_spectrum", f"WITH {C.dft_sql(C.WAVES, (0, 6, 26, 32), 128, 128)} SELECT f::INT AS f, b::INT AS b, round(sum(re * re + im * im), 6) + 0.0 AS power FROM q GROUP BY f, b")
 def surrogate_spectrum(spark, d):
     from triadic.operators import spectra as S
 

@@ -29,29 +29,27 @@ EVENT_SCALE, PRICE_SCALE = 1000.0, 100000.0
 
 # ---- fields in SQL -------------------------------------------------------------------------------------------------
 
-_TYPES = "(VALUES ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4)) y(name, p)"
-_FLAGS = "(VALUES ('AF', 0), ('AO', 1), ('NF', 2), ('NO', 3), ('RF', 4), ('RO', 5)) y(name, p)"
-_PRIORITIES = "(VALUES ('1-URGENT', 0), ('2-HIGH', 1), ('3-MEDIUM', 2), ('4-NOT SPECIFIED', 3), ('5-LOW', 4)) y(name, p)"
+def _gridded_sql(rows: str, measures: list[str]) -> str:
+    """rows: a query of (tick, name, ...); measures: aggregates of them. Times and points are those of the table."""
+    values = " UNION ALL ".join(f"SELECT t, p, {v} AS v, coalesce(m{v}, 0)::DOUBLE AS value FROM s" for v in range(len(measures)))
+    return f"""WITH e AS (SELECT * FROM ({rows}) WHERE tick IS NOT NULL), o AS (SELECT min(tick) AS lo, max(tick) AS hi FROM e),
+        y AS (SELECT name, row_number() OVER (ORDER BY name NULLS LAST) - 1 AS p FROM (SELECT DISTINCT name FROM e)),
+        c AS (SELECT unnest(range(hi - lo + 1)) AS t, lo FROM o),
+        s AS (SELECT c.t, y.p, {", ".join(f"{m} AS m{i}" for i, m in enumerate(measures))} FROM c CROSS JOIN y LEFT JOIN e ON e.tick = c.t + c.lo AND e.name IS NOT DISTINCT FROM y.name GROUP BY c.t, y.p)
+        SELECT t, p, v, value FROM ({values})"""
 
 
-def _events_sql(every: str, nt: int, measures: tuple[str, ...], scale: float = 1.0) -> str:
-    step = {"hour": "3600", "day": "86400"}[every]
+def _events_sql(every: str, measures: tuple[str, ...], scale: float = 1.0) -> str:
     known = {"count": "count(e.value)", "sum": "sum(e.value)", "max": "max(e.value)"}
-    values = " UNION ALL ".join(f"SELECT t, p, {v} AS v, coalesce(m{v}, 0)::DOUBLE / {scale} AS value FROM s" for v in range(len(measures)))
-    return f"""WITH c AS (SELECT t, p::BIGINT AS p, name FROM range({nt}) r(t), {_TYPES}),
-        e AS (SELECT floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / {step})::BIGINT AS t, event_type, value FROM events),
-        s AS (SELECT c.t, c.p, {", ".join(f"{known[m]} AS m{i}" for i, m in enumerate(measures))} FROM c LEFT JOIN e ON e.t = c.t AND e.event_type = c.name GROUP BY c.t, c.p)
-        SELECT t, p, v, value FROM ({values})"""
+    step = {"hour": 3600, "day": 86400}[every]
+    return _gridded_sql(f"SELECT floor(epoch(ts) / {step})::BIGINT AS tick, event_type AS name, value FROM events", [f"{known[m]}::DOUBLE / {scale}" for m in measures])
 
 
-HOURLY, DAILY = _events_sql("hour", 720, ("sum",), EVENT_SCALE), _events_sql("day", 30, ("sum",), EVENT_SCALE)
-HOURLY3 = _events_sql("hour", 720, ("count", "sum", "max"), EVENT_SCALE)
-EMBEDDINGS = "SELECT vec_id AS t, (i - 1)::BIGINT AS p, 0 AS v, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) r(i) WHERE vec_id < 500"
-LINEITEM = f"""WITH c AS (SELECT t, p::BIGINT AS p, name FROM range(2499) r(t), {_FLAGS}),
-    s AS (SELECT c.t, c.p, sum(l_quantity) AS m0, sum(l_extendedprice) AS m1 FROM c LEFT JOIN lineitem ON floor((epoch(l_shipdate) - epoch(TIMESTAMP '1995-01-02')) / 86400) = c.t AND l_returnflag || l_linestatus = c.name GROUP BY c.t, c.p)
-    SELECT t, p, 0 AS v, coalesce(m0, 0)::DOUBLE / 100 AS value FROM s UNION ALL SELECT t, p, 1, coalesce(m1, 0)::DOUBLE / {PRICE_SCALE} FROM s"""
-ORDERS = f"""WITH c AS (SELECT t, p::BIGINT AS p, name FROM range(2405) r(t), {_PRIORITIES})
-    SELECT c.t, c.p, 0 AS v, coalesce(sum(o_totalprice), 0)::DOUBLE / {PRICE_SCALE} AS value FROM c LEFT JOIN orders ON floor((epoch(o_orderdate) - epoch(TIMESTAMP '1995-01-01')) / 86400) = c.t AND o_orderpriority = c.name GROUP BY c.t, c.p"""
+HOURLY, DAILY = _events_sql("hour", ("sum",), EVENT_SCALE), _events_sql("day", ("sum",), EVENT_SCALE)
+HOURLY3 = _events_sql("hour", ("count", "sum", "max"), EVENT_SCALE)
+EMBEDDINGS = "SELECT t, (i - 1)::BIGINT AS p, 0 AS v, e[i]::DOUBLE AS value FROM (SELECT vec_id AS t, embedding AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"
+LINEITEM = _gridded_sql("SELECT floor(epoch(l_shipdate) / 86400)::BIGINT AS tick, l_returnflag || l_linestatus AS name, l_quantity, l_extendedprice FROM lineitem", ["sum(l_quantity) / 100", f"sum(l_extendedprice) / {PRICE_SCALE}"])
+ORDERS = _gridded_sql("SELECT floor(epoch(o_orderdate) / 86400)::BIGINT AS tick, o_orderpriority AS name, o_totalprice FROM orders", [f"sum(o_totalprice) / {PRICE_SCALE}"])
 WAVE_F, WAVE_K = (0.046875, 0.203125, 0.25), (3.2, 1.35, 0.2)
 WAVES = "SELECT t, p::BIGINT AS p, 0 AS v, " + " + ".join(f"cos({k} * (p * 2 * pi() / 100) - 2 * pi() * {f} * t)" for f, k in zip(WAVE_F, WAVE_K)) + " AS value FROM range(1280) a(t), range(100) b(p)"
 
@@ -98,53 +96,58 @@ def long_time_mean(spark, d):
 
 # ---- blocks and spectra --------------------------------------------------------------------------------------------
 
-HOUR = {"n_dft": 48, "step": 36, "n_blocks": 19}  # a quarter of overlap
+HOUR = {"n_dft": 48, "step": 36}  # a quarter of overlap
 BOUND = 4
-DAY = {"n_dft": 16, "step": 14, "n_blocks": 2}
+DAY = {"n_dft": 16, "step": 14}
 
 
 @query(
     "blocks_membership",
-    """SELECT b::INT AS b, count(*) AS n, min(t) AS first_t, max(t) AS last_t, min(t - b * 36)::INT AS first_n, max(t - b * 36)::INT AS last_n
-    FROM range(720) r(t), range(19) s(b) WHERE t >= b * 36 AND t < b * 36 + 48 GROUP BY b""",
+    f"""WITH f AS ({HOURLY}), nb AS (SELECT (max(t) + 1 - 12) // 36 AS nb FROM f), s AS (SELECT unnest(range(nb)) AS b FROM nb)
+    SELECT p, b::INT AS b, count(*) AS n, min(t) AS first_t, max(t) AS last_t, min(t - b * 36)::INT AS first_n, max(t - b * 36)::INT AS last_n
+    FROM f, s WHERE t >= b * 36 AND t < b * 36 + 48 GROUP BY p, b""",
 )
 def blocks_membership(spark, d):
-    one = hourly(spark, d).where("p = 0")
-    cut = S.blocks_of(one, HOUR["n_dft"], HOUR["step"], HOUR["n_blocks"])
-    return cut.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min("n").alias("first_n"), F.max("n").alias("last_n"))
+    field = hourly(spark, d)
+    cut = S.blocks_of(field, **HOUR, n_blocks=S.number_of_blocks(field, **HOUR))
+    return cut.groupBy("p", "b").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min("n").alias("first_n"), F.max("n").alias("last_n"))
 
 
-def blocks_sql(field: str, n_dft: int, step: int, n_blocks: int, taper: str = HAMMING, periodic: bool = False) -> str:
+def blocks_sql(field: str, n_dft: int, step: int, taper: str = HAMMING, periodic: bool = False) -> str:
     w = taper.format(d=n_dft if periodic else n_dft - 1)
-    return f"""f AS ({field}), mean AS (SELECT p, v, avg(value) AS mean FROM f GROUP BY p, v),
+    return f"""f AS ({field}), nb AS (SELECT (max(t) + 1 - {n_dft - step}) // {step} AS nb FROM f), bs AS (SELECT unnest(range(nb)) AS b FROM nb), mean AS (SELECT p, v, avg(value) AS mean FROM f GROUP BY p, v),
         win AS (SELECT n, {w} AS w FROM range({n_dft}) r(n)),
-        y AS (SELECT b, n, p, v, (value - mean) * w AS y FROM range({n_blocks}) r(b) JOIN win ON true JOIN f ON f.t = b * {step} + n JOIN mean USING (p, v))"""
+        y AS (SELECT b, n, p, v, (value - mean) * w AS y FROM bs JOIN win ON true JOIN f ON f.t = b * {step} + n JOIN mean USING (p, v))"""
 
 
-def dft_sql(field: str, freqs, n_dft: int, step: int, n_blocks: int, taper: str = HAMMING, periodic: bool = False) -> str:
+def dft_sql(field: str, freqs, n_dft: int, step: int, taper: str = HAMMING, periodic: bool = False) -> str:
     """CTEs up to q(f, p, v, b, re, im)."""
     angle = f"2 * pi() * ((f * n) % {n_dft}) / {n_dft}"
-    return f"""{blocks_sql(field, n_dft, step, n_blocks, taper, periodic)},
+    return f"""{blocks_sql(field, n_dft, step, taper, periodic)},
         q AS (SELECT f, p, v, b, sum(y * cos({angle})) * g / {n_dft} AS re, -sum(y * sin({angle})) * g / {n_dft} AS im
               FROM y, unnest([{", ".join(map(str, freqs))}]) u(f), (SELECT 1 / avg(w) AS g FROM win) GROUP BY f, p, v, b, g)"""
 
 
 @query("blocks_windowed", f"WITH {blocks_sql(DAILY, **DAY)} SELECT b::INT AS b, n::INT AS n, p, v, round(y, 6) + 0.0 AS y FROM y")
 def blocks_windowed(spark, d):
-    out = S.windowed_blocks(daily(spark, d), DAY["n_dft"], DAY["step"], DAY["n_blocks"])
+    field = daily(spark, d)
+    out = S.windowed_blocks(field, **DAY, n_blocks=S.number_of_blocks(field, **DAY))
     return rounded(out.select("b", F.col("n").cast("int").alias("n"), "p", "v", "y"), "y", digits=6)
 
 
 FREQS = list(range(-BOUND, 2 * BOUND + 1))
 
 
-def hourly_qhat(spark, d, field=hourly):
-    return S.realizations(field(spark, d), HOUR["n_dft"], HOUR["step"], HOUR["n_blocks"], FREQS)
+def hourly_qhat(spark, d, build=hourly):
+    """Spectra of the field's blocks, and how many blocks there are."""
+    field = build(spark, d)
+    n = S.number_of_blocks(field, **HOUR)
+    return S.realizations(field, HOUR["n_dft"], HOUR["step"], n, FREQS), n
 
 
 @query("dft_realizations", f"WITH {dft_sql(HOURLY, FREQS, **HOUR)} SELECT f::INT AS f, p, v, b::INT AS b, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM q")
 def dft_realizations(spark, d):
-    return rounded(hourly_qhat(spark, d), "re", "im", digits=6)
+    return rounded(hourly_qhat(spark, d)[0], "re", "im", digits=6)
 
 
 # ---- bispectral matrices -------------------------------------------------------------------------------------------
@@ -159,9 +162,9 @@ WEIGHT = "1 + p / 4.0"  # by point
 _PAIR = "x.re * y.re - x.im * y.im AS re, x.re * y.im + x.im * y.re AS im"
 
 
-def _matrix_sql(legs: str, n_blocks: int, weight: str = "1") -> str:
-    return f"""{legs} SELECT triad_idx, i::INT AS i, j::INT AS j, round(sum((a.re * b.re + a.im * b.im) * ({weight})) / {n_blocks}, 6) + 0.0 AS re, round(sum((a.re * b.im - a.im * b.re) * ({weight})) / {n_blocks}, 6) + 0.0 AS im
-        FROM (SELECT triad_idx, p, s, b AS i, re, im FROM total) a JOIN (SELECT triad_idx, p, s, b AS j, re, im FROM product) b USING (triad_idx, p, s) GROUP BY triad_idx, i, j"""
+def _matrix_sql(legs: str, weight: str = "1") -> str:
+    return f"""{legs} SELECT triad_idx, i::INT AS i, j::INT AS j, round(sum((a.re * b.re + a.im * b.im) * ({weight})) / any_value(nb), 6) + 0.0 AS re, round(sum((a.re * b.im - a.im * b.re) * ({weight})) / any_value(nb), 6) + 0.0 AS im
+        FROM (SELECT triad_idx, p, s, b AS i, re, im FROM total) a JOIN (SELECT triad_idx, p, s, b AS j, re, im FROM product) b USING (triad_idx, p, s), nb GROUP BY triad_idx, i, j"""
 
 
 def standard_legs_sql(field: str, triads: str = TRIADS, freqs=None, shape=None) -> str:
@@ -179,40 +182,41 @@ def cross_legs_sql(field: str, terms: list[tuple]) -> str:
 
 
 def _matrix(spark, d, field=hourly, terms=None, weights=None):
-    q = hourly_qhat(spark, d, field)
+    q, n = hourly_qhat(spark, d, field)
     table = None if terms is None else spark.createDataFrame(terms, "state int, s_v int, term int, q_v int, r_v int")
     total, product = S.triad_legs(q, b_triads(spark), table)
-    return rounded(S.bispectral_matrix(total, product, HOUR["n_blocks"], weights), "re", "im", digits=6)
+    return rounded(S.bispectral_matrix(total, product, n, weights), "re", "im", digits=6)
 
 
-def point_weights(spark):
-    return spark.range(5).select(F.col("id").alias("p"), (F.lit(1.0) + F.col("id") / F.lit(4.0)).alias("w"))
+def point_weights(spark, d):
+    points = fields.table(spark, d, "events").select("event_type").distinct().count()
+    return spark.range(points).select(F.col("id").alias("p"), (F.lit(1.0) + F.col("id") / F.lit(4.0)).alias("w"))
 
 
-@query("bispectral_matrix", _matrix_sql(standard_legs_sql(HOURLY), HOUR["n_blocks"]))
+@query("bispectral_matrix", _matrix_sql(standard_legs_sql(HOURLY)))
 def bispectral_matrix(spark, d):
     return _matrix(spark, d)
 
 
-@query("bispectral_matrix_weighted", _matrix_sql(standard_legs_sql(HOURLY), HOUR["n_blocks"], WEIGHT))
+@query("bispectral_matrix_weighted", _matrix_sql(standard_legs_sql(HOURLY), WEIGHT))
 def bispectral_matrix_weighted(spark, d):
-    return _matrix(spark, d, weights=point_weights(spark))
+    return _matrix(spark, d, weights=point_weights(spark, d))
 
 
 ONE_TERM, TWO_TERMS, SAME = [(0, 0, 0, 1, 2)], [(0, 0, 0, 1, 2), (0, 0, 1, 0, 1), (1, 1, 0, 0, 2)], [(0, 0, 0, 0, 0)]
 
 
-@query("cross_bispectral_matrix", _matrix_sql(cross_legs_sql(HOURLY3, ONE_TERM), HOUR["n_blocks"], WEIGHT))
+@query("cross_bispectral_matrix", _matrix_sql(cross_legs_sql(HOURLY3, ONE_TERM), WEIGHT))
 def cross_bispectral_matrix(spark, d):
-    return _matrix(spark, d, hourly3, ONE_TERM, point_weights(spark))
+    return _matrix(spark, d, hourly3, ONE_TERM, point_weights(spark, d))
 
 
-@query("cross_two_terms", _matrix_sql(cross_legs_sql(HOURLY3, TWO_TERMS), HOUR["n_blocks"]))
+@query("cross_two_terms", _matrix_sql(cross_legs_sql(HOURLY3, TWO_TERMS)))
 def cross_two_terms(spark, d):
     return _matrix(spark, d, hourly3, TWO_TERMS)
 
 
-@query("cross_reduces_to_standard", _matrix_sql(standard_legs_sql(HOURLY), HOUR["n_blocks"]))
+@query("cross_reduces_to_standard", _matrix_sql(standard_legs_sql(HOURLY)))
 def cross_reduces_to_standard(spark, d):
     """The cross form with a variable as state and as both factors: the same matrices as of the variable with itself."""
     return _matrix(spark, d, hourly, SAME)
@@ -220,14 +224,15 @@ def cross_reduces_to_standard(spark, d):
 
 # ---- point estimates -----------------------------------------------------------------------------------------------
 
-POINT_N, POINT_BLOCKS = 32, 22
+POINT_N = 32
 
 
 def point_spectra(spark, d):
-    return estimators.block_dft(hourly(spark, d).where("p = 2"), POINT_N, POINT_BLOCKS, list(range(POINT_N // 2)))
+    field = hourly(spark, d)
+    return estimators.block_dft(field, POINT_N, S.number_of_blocks(field, POINT_N, POINT_N), list(range(POINT_N // 2)))
 
 
-_POINT = dft_sql(f"SELECT * FROM ({HOURLY}) WHERE p = 2", range(POINT_N // 2), POINT_N, POINT_N, POINT_BLOCKS, HANN, True)
+_POINT = dft_sql(HOURLY, range(POINT_N // 2), POINT_N, POINT_N, HANN, True)
 
 
 @query("amplitude_spectrum", f"WITH {_POINT} SELECT f::INT AS f, p, v, round(2 * avg(sqrt(re * re + im * im)), 6) AS amplitude FROM q GROUP BY f, p, v")
@@ -238,11 +243,11 @@ def amplitude_spectrum(spark, d):
 @query(
     "classical_bispectrum",
     f"""WITH {_POINT}, m AS (SELECT a.p, a.v, a.f AS i, c.f AS j, avg((a.re * c.re - a.im * c.im) * s.re + (a.re * c.im + a.im * c.re) * s.im) AS re, avg((a.re * c.im + a.im * c.re) * s.re - (a.re * c.re - a.im * c.im) * s.im) AS im
-        FROM q a JOIN q c ON c.b = a.b AND c.f <= a.f JOIN q s ON s.b = a.b AND s.f = a.f + c.f WHERE a.f < 8 AND a.f + c.f < {POINT_N // 2} GROUP BY ALL)
+        FROM q a JOIN q c ON c.b = a.b AND c.p = a.p AND c.f <= a.f JOIN q s ON s.b = a.b AND s.p = a.p AND s.f = a.f + c.f WHERE a.f + c.f < {POINT_N // 2} GROUP BY ALL)
     SELECT p, v, i::INT AS i, j::INT AS j, round(sqrt(re * re + im * im), 6) AS value FROM m""",
 )
 def classical_bispectrum(spark, d):
-    return rounded(estimators.classical_bispectrum(point_spectra(spark, d), 8, POINT_N), "value", digits=6)
+    return rounded(estimators.classical_bispectrum(point_spectra(spark, d), POINT_N // 2, POINT_N), "value", digits=6)
 
 
 def _embedding_grid(spark, d):
@@ -250,7 +255,7 @@ def _embedding_grid(spark, d):
     return f.select("t", F.floor(F.col("p") / 8).cast("int").alias("iy"), (F.col("p") % 8).cast("int").alias("ix"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
 
 
-_GRID = f"g AS (SELECT t, p // 8 AS iy, p % 8 AS ix, value FROM ({EMBEDDINGS}) WHERE t < 40)"
+_GRID = f"g AS (SELECT t, p // 8 AS iy, p % 8 AS ix, value FROM ({EMBEDDINGS}))"
 
 
 @query("symmetric_fraction", f"WITH {_GRID} SELECT a.t, round(sum(((a.value + m.value) / 2) ** 2) / sum(a.value ** 2), 6) AS fraction FROM g a JOIN g m ON m.t = a.t AND m.ix = a.ix AND m.iy = 7 - a.iy GROUP BY a.t")
@@ -258,11 +263,16 @@ def symmetric_fraction(spark, d):
     return rounded(estimators.symmetric_fraction(_embedding_grid(spark, d), 8, ["t"]), "fraction", digits=6)
 
 
+#: The grid has eight columns, so a transform padded to 4096 is a sum of eight terms for each wavenumber.
+_PAD = 4096
+
+
 @query(
     "streamwise_wavelength",
-    f"""WITH {_GRID}, s AS (SELECT t, iy, m, sum(value * cos(2 * pi() * m * ix / 64)) AS c, sum(value * sin(2 * pi() * m * ix / 64)) AS d FROM g, range(1, 33) r(m) GROUP BY t, iy, m),
-    w AS (SELECT t, m, sum(c * c + d * d) AS power FROM s GROUP BY t, m)
-    SELECT t, round(64 * 0.5 / arg_max(m, power), 6) AS wavelength FROM w GROUP BY t""",
+    f"""WITH {_GRID}, r AS (SELECT t, iy, list(value ORDER BY ix) AS row FROM g GROUP BY t, iy),
+    a AS (SELECT m, list(cos(2 * pi() * m * ix / {_PAD}) ORDER BY ix) AS c, list(sin(2 * pi() * m * ix / {_PAD}) ORDER BY ix) AS d FROM range(1, {_PAD // 2 + 1}) r(m), range(8) x(ix) GROUP BY m),
+    w AS (SELECT t, m, sum(list_inner_product(row, c) ** 2 + list_inner_product(row, d) ** 2) AS power FROM r, a GROUP BY t, m)
+    SELECT t, round({_PAD} * 0.5 / arg_max(m, power), 6) AS wavelength FROM w GROUP BY t""",
 )
 def streamwise_wavelength(spark, d):
-    return rounded(estimators.streamwise_wavelength(_embedding_grid(spark, d), 0.5, 4096, ["t"]), "wavelength", digits=6)
+    return rounded(estimators.streamwise_wavelength(_embedding_grid(spark, d), 0.5, _PAD, ["t"]), "wavelength", digits=6)

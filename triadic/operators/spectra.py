@@ -18,6 +18,11 @@ def long_time_mean(field: DataFrame) -> DataFrame:
     return field.groupBy("p", "v").agg(F.avg("value").alias("mean"))
 
 
+def number_of_blocks(field: DataFrame, n_dft: int, step: int) -> int:
+    """Whole blocks of a field, from its last time."""
+    return ((field.agg(F.max("t")).first()[0] or 0) + 1 - (n_dft - step)) // step
+
+
 def blocks_of(field: DataFrame, n_dft: int, step: int, n_blocks: int) -> DataFrame:
     """field with b and n for each block that holds a sample: b from its time alone, so no range join."""
     t = F.col("t")

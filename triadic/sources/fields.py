@@ -3,62 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-FLAGS = ("AF", "AO", "NF", "NO", "RF", "RO")
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def place(value: Column, names: tuple[str, ...]) -> Column:
-    """The number of a name in a fixed list; null for others."""
-    return (F.nullif(F.array_position(F.array(*map(F.lit, names)), value), F.lit(0)) - 1).cast("long")
-
+def ticks(ts: Column, seconds: int) -> Column:
+    """Whole steps of so many seconds since 1970, in the session's time zone."""
+    return F.floor((F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(F.lit("1970-01-01 00:00:00").cast("timestamp"))) / F.lit(seconds)).cast("long")
 
-def _ticks(ts: Column, origin: str, seconds: int) -> Column:
-    return F.floor((F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(F.lit(origin).cast("timestamp"))) / F.lit(seconds)).cast("long")
 
+def zero_filled(rows: DataFrame, measures: list[Column]) -> DataFrame:
+    """Rows (tick, name, ...) -> sums on every (t, p, v), 0 where there are none.
 
-def zero_filled(rows: DataFrame, nt: int, np_: int, measures: list[Column]) -> DataFrame:
-    """Sums of rows (t, p, ...) on every (t, p, v), 0 where there are none; v numbers the measures."""
+    Times run from the first tick of the table to its last, points are its names in order (null last), v numbers the
+    measures. Rows without a tick have no place. The driver sees the two ends and the number of names.
+    """
     spark = rows.sparkSession
-    calendar = spark.range(nt).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)).cast("array<bigint>")).alias("p"))
-    sums = rows.where((F.col("t") >= 0) & (F.col("t") < nt) & F.col("p").isNotNull()).groupBy("t", "p").agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)])
+    rows = rows.where(F.col("tick").isNotNull())
+    names = rows.select("name").distinct().withColumn("p", F.row_number().over(W.orderBy(F.col("name").asc_nulls_last())).cast("long") - 1)
+    ends, n = rows.agg(F.min("tick"), F.max("tick")).first(), names.count()
+    first, last = ends if n else (0, -1)
+    calendar = spark.range(last - first + 1).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<bigint>")).alias("p"))
+    known = names.withColumnRenamed("name", "known")
+    placed = rows.withColumn("t", F.col("tick") - F.lit(first)).join(known, F.col("name").eqNullSafe(F.col("known")))
+    sums = placed.groupBy("t", "p").agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)])
     full = calendar.join(sums, ["t", "p"], "left")
     values = F.array(*[F.coalesce(F.col(f"m{i}").cast("double"), F.lit(0.0)) for i in range(len(measures))])
     return full.select("t", "p", F.posexplode(values).alias("v", "value"))
 
 
 def events(spark: SparkSession, sf_dir: str, every: str = "hour", measures=("sum",), scale: float = 1.0) -> DataFrame:
-    """Events by hour (720) or day (30) since 2024-01-01 and event type (5 points)."""
-    seconds, nt = {"hour": (3600, 720), "day": (86400, 30)}[every]
-    rows = table(spark, sf_dir, "events").select(_ticks(F.col("ts"), "2024-01-01 00:00:00", seconds).alias("t"), place(F.col("event_type"), EVENT_TYPES).alias("p"), "value")
+    """Events by hour or day and event type."""
+    rows = table(spark, sf_dir, "events").select(ticks(F.col("ts"), {"hour": 3600, "day": 86400}[every]).alias("tick"), F.col("event_type").alias("name"), "value")
     known = {"count": F.count(F.lit(1)), "sum": F.sum("value"), "max": F.max("value")}
-    return zero_filled(rows, nt, len(EVENT_TYPES), [known[m] / F.lit(scale) for m in measures])
+    return zero_filled(rows, [known[m] / F.lit(scale) for m in measures])
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors as samples in time, their 64 dimensions as points of an 8 x 8 grid."""
+    """All vectors as samples in time, their dimensions as points."""
     rows = table(spark, sf_dir, "embeddings")
     return rows.select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("p", "value")).select("t", F.col("p").cast("long").alias("p"), F.lit(0).alias("v"), F.col("value").cast("double").alias("value"))
 
 
-def lineitem_daily(spark: SparkSession, sf_dir: str, nt: int = 2499, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """Quantity and extended price by ship date since 1995-01-02 and flags (6 points)."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        _ticks(F.col("l_shipdate"), "1995-01-02 00:00:00", 86400).alias("t"), place(F.concat("l_returnflag", "l_linestatus"), FLAGS).alias("p"), "l_quantity", "l_extendedprice"
-    )
-    return zero_filled(rows, nt, len(FLAGS), [F.sum("l_quantity") / F.lit(scale[0]), F.sum("l_extendedprice") / F.lit(scale[1])])
+def lineitem_daily(spark: SparkSession, sf_dir: str, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Quantity and extended price by ship date and flags."""
+    rows = table(spark, sf_dir, "lineitem").select(ticks(F.col("l_shipdate"), 86400).alias("tick"), F.concat("l_returnflag", "l_linestatus").alias("name"), "l_quantity", "l_extendedprice")
+    return zero_filled(rows, [F.sum("l_quantity") / F.lit(scale[0]), F.sum("l_extendedprice") / F.lit(scale[1])])
 
 
-def orders_daily(spark: SparkSession, sf_dir: str, nt: int = 2405, scale: float = 1.0) -> DataFrame:
-    """Total price of orders by day since 1995-01-01 and priority (5 points)."""
-    rows = table(spark, sf_dir, "orders").select(_ticks(F.col("o_orderdate"), "1995-01-01 00:00:00", 86400).alias("t"), place(F.col("o_orderpriority"), PRIORITIES).alias("p"), "o_totalprice")
-    return zero_filled(rows, nt, len(PRIORITIES), [F.sum("o_totalprice") / F.lit(scale)])
+def orders_daily(spark: SparkSession, sf_dir: str, scale: float = 1.0) -> DataFrame:
+    """Total price of orders by day and priority."""
+    rows = table(spark, sf_dir, "orders").select(ticks(F.col("o_orderdate"), 86400).alias("tick"), F.col("o_orderpriority").alias("name"), "o_totalprice")
+    return zero_filled(rows, [F.sum("o_totalprice") / F.lit(scale)])
 
 
 def waves(spark: SparkSession, frequencies, wavenumbers, nt: int = 1280, nx: int = 100, dt: float = 1.0) -> DataFrame:
