@@ -173,9 +173,9 @@ def standard_legs_sql(field: str, triads: str = TRIADS, freqs=None, shape=None)
         product AS (SELECT triad_idx, x.p, x.v AS s, x.b, {_PAIR} FROM tr JOIN q x ON x.f = tr.k JOIN q y ON y.f = tr.l AND y.p = x.p AND y.v = x.v AND y.b = x.b)"""
 
 
-def cross_legs_sql(field: str, terms: list[tuple]) -> str:
+def cross_legs_sql(field: str, terms: list[tuple], triads: str = TRIADS, freqs=None, shape=None) -> str:
     rows = ", ".join(map(str, terms))
-    return f"""WITH {dft_sql(field, FREQS, **HOUR)}, tr AS ({TRIADS}), te AS (SELECT * FROM (VALUES {rows}) v(state, s_v, term, q_v, r_v)),
+    return f"""WITH {dft_sql(field, freqs or FREQS, **(shape or HOUR))}, tr AS ({triads}), te AS (SELECT * FROM (VALUES {rows}) v(state, s_v, term, q_v, r_v)),
         total AS (SELECT triad_idx, p, state AS s, b, re, im FROM tr JOIN q ON q.f = tr.kl JOIN (SELECT DISTINCT state, s_v FROM te) ON v = s_v),
         product AS (SELECT triad_idx, x.p, state AS s, x.b, sum(x.re * y.re - x.im * y.im) AS re, sum(x.re * y.im + x.im * y.re) AS im
             FROM tr JOIN te ON true JOIN q x ON x.f = tr.k AND x.v = q_v JOIN q y ON y.f = tr.l AND y.v = r_v AND y.p = x.p AND y.b = x.b GROUP BY triad_idx, x.p, state, x.b)"""
