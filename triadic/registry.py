@@ -1,6 +1,6 @@
 """Every query of the bispectral engine by name, and the SQL that must agree with it."""
 
-from triadic.catalog import axes, decompositions, spectra
+from triadic.catalog import axes, decompositions, spectra, stored
 
-QUERIES: dict = axes.QUERIES | spectra.QUERIES | decompositions.QUERIES
-ORACLES: dict = axes.ORACLES | spectra.ORACLES | decompositions.ORACLES
+QUERIES: dict = axes.QUERIES | spectra.QUERIES | decompositions.QUERIES | stored.QUERIES
+ORACLES: dict = axes.ORACLES | spectra.ORACLES | decompositions.ORACLES | stored.ORACLES
