@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,11 +38,18 @@ def plain(q, w, config):
     return out
 
 
-RNG = np.random.default_rng(0)
-DATA = RNG.standard_normal((200, 30, 3))
-W = RNG.uniform(0.5, 1.5, 30)
-ONE = FitConfig(n_dft=16, time_step=0.5, n_overlap=8, max_freq_idx=4, tol=1e-10, chunk_values=200 * 7)
-CROSS = FitConfig(n_dft=16, time_step=0.5, n_overlap=8, max_freq_idx=4, tol=1e-10, n_variables=3, state_idx=(0, 1), qr_idx=((1, 2), (0, 2)), chunk_values=200 * 3 * 7)
+def made_field(nt=230, nx=30, nv=3):
+    """Waves that interact, drifting in amplitude, and noise."""
+    rng = np.random.default_rng(20_31)
+    t, x, v = np.arange(nt)[:, None, None], np.arange(nx)[None, :, None], np.arange(nv)[None, None, :]
+    waves = sum((1 + 0.2 * np.sin(0.05 * t * (k + 1))) * np.cos(k * 0.3 * x - 0.7 * k * t + v) for k in (1, 2, 3))
+    return waves + rng.uniform(-1, 1, (nt, nx, nv))
+
+
+DATA = made_field()
+W = 2 + np.cos(np.arange(30))
+ONE = FitConfig(n_dft=18, time_step=0.25, n_overlap=7, max_freq_idx=4, tol=1e-10, chunk_values=230 * 7)
+CROSS = FitConfig(n_dft=18, time_step=0.25, n_overlap=7, max_freq_idx=4, tol=1e-10, n_variables=3, state_idx=(2, 0), qr_idx=((0, 1, 1, 1), (2, 0)), chunk_values=230 * 3 * 7)
 
 
 def rows_of(result):
@@ -55,7 +64,7 @@ def test_fit_against_the_definitions(spark, config, nv):
     states = config.n_states
     want = plain(q, np.repeat(W[:, None], states, 1), config)
     got = rows_of(result)
-    assert len(got) == len(want) == 24
+    assert len(got) == len(want) == 25
     modes = {(r.triad_idx, r.comp, r.p, r.s): r.re + 1j * r.im for r in result.modes_of([3, 20]).collect()}
     for r, (radius, transfer, psi) in zip(got, want):
         assert r.l_abs == pytest.approx(radius, rel=1e-8)
@@ -83,7 +92,7 @@ def test_partitions_do_not_change_a_bit(spark):
 
 
 def test_scale_equivariance_and_options(spark):
-    q = DATA[:128, :4, :1]
+    q = DATA[:150, :4, :1]
     config = FitConfig(n_dft=32, time_step=1.0, max_freq_idx=4, compute_energy_transfer=False, constituent_modes=True, dtype="single")
     a, b = (rows_of(fit(arrays.from_array(spark, q * s), config)) for s in (1.0, 1e-2))
     for x, y in zip(a, b):
@@ -93,6 +102,7 @@ def test_scale_equivariance_and_options(spark):
 
 def test_surrogate_waves(spark):
     """Peaks that the published case states: resonant waves stand out, others do not."""
+    # Frequencies, wavenumbers' generator and peaks of the published case.
     k = np.random.default_rng(0).uniform(0, 5, 4)
     config = FitConfig(n_dft=128, time_step=1.0, overlap=0, window="hann", regions=(1,), max_freq_idx=40)
 
@@ -130,25 +140,34 @@ def test_ranking_and_selection(spark):
     all_rows = rows_of(result)
     want = sorted((r for r in all_rows if r.k and r.l), key=lambda r: (-r.l_abs, r.triad_idx))
     assert [r.triad_idx for r in result.top_triads(5).collect()] == [r.triad_idx for r in want[:5]]
-    assert result.top_triads(1000, "t", False).count() == 24
+    assert result.top_triads(1000, "t", False).count() == 25
     with pytest.raises(ValueError):
         result.top_triads(3, "x")
     n = len(want)
     assert [r.triad_idx for r in selected_for_saving(result.bispectrum, 0.3).collect()] == sorted(r.triad_idx for r in want[: int(np.ceil(0.3 * n))])
-    assert selected_for_saving(result.bispectrum, 1000).count() == n and selected_for_saving(result.bispectrum, None).count() == 24
+    assert selected_for_saving(result.bispectrum, 1000).count() == n and selected_for_saving(result.bispectrum, None).count() == 25
     assert top_triads(result.bispectrum.where("triad_idx < 0")).count() == 0
     dense = {(r.k, r.l): r.value for r in result.dense().collect()}
-    assert len(dense) == 256 and sum(np.isnan(v) for v in dense.values()) == 256 - 24
+    assert len(dense) == 324 and sum(np.isnan(v) for v in dense.values()) == 324 - 25
 
 
 def test_save_and_load(spark, tmp_path):
     field = arrays.from_array(spark, DATA[..., :1], 1, 1)
-    config = FitConfig(n_dft=16, time_step=0.5, n_overlap=8, max_freq_idx=3, savedir=str(tmp_path), save_modes_top=2, save_dtype="single")
-    result = fit(field, config)
+    config = FitConfig(n_dft=18, time_step=0.25, n_overlap=7, max_freq_idx=3, savedir=str(tmp_path), save_modes_top=2, save_dtype="single")
+    w = arrays.weights_from_array(spark, W, (30,), None)
+    results.save(fit(field, FitConfig(n_dft=18, time_step=0.25, n_overlap=7, max_freq_idx=3, savedir=str(tmp_path), save_modes_top=3), w))
+    result = fit(field, config, {"weights": w, "weights_name": "waves"}, xshape=(5, 6))
+    path = results.save(result)
+    assert path == result.savedir_sim and path.endswith("nfft18_novlp7_nblks20")
+    # What an earlier fit left is gone, and weights were kept with the fit.
+    assert len(list((Path(path) / "modes").glob("triad_idx=*"))) == 2
+    assert {r.p: r.w for r in spark.read.parquet(f"{path}/weights").collect()} == pytest.approx(dict(enumerate(W)), rel=1e-6)
+    results.save(fit(field, FitConfig(n_dft=18, time_step=0.25, n_overlap=7, max_freq_idx=3, savedir=str(tmp_path), save_modes=False), w))
+    assert not (Path(path) / "modes").exists() and not (Path(path) / "saved_triad_idx").exists()
     path = results.save(result)
-    assert path.endswith("nfft16_novlp8_nblks24")
     back = results.load_result(spark, path)
     assert back.config == config and back.n_triads == result.n_triads
+    assert (back.weights_name, back.xshape, back.xdim, back.dt, back.shape) == ("waves", (5, 6), 2, 0.25, (230, 5, 6, 1)) and back.weights.count() == 30
     kept = [r.triad_idx for r in spark.read.parquet(f"{path}/saved_triad_idx").collect()]
     assert len(kept) == 2
     stored = back.get_modes_at_triad(kept[0])
@@ -237,3 +256,38 @@ def test_panels_and_levels(spark):
     levels = estimators.contour_levels(panels).collect()
     assert len(levels) == 257 and levels[0].level == -levels[-1].level and levels[128].level == 0
     assert estimators.bispectrum_map(result.bispectrum.withColumn("l_abs", F.lit(0.0))).where("value IS NOT NULL").count() == 0
+
+
+def test_weights_and_modes_that_are_kept(spark):
+    field = arrays.from_array(spark, DATA[:, :6, :1], 2 - 1, 1)
+    config = FitConfig(n_dft=18, time_step=0.25, n_overlap=7, max_freq_idx=2, tol=1e-10)
+    plain = [r.l_abs for r in rows_of(fit(field, config))]
+    with pytest.warns(UserWarning, match="uniform"):
+        other = fit(field, config, np.ones(6))
+    assert other.weights_name == "uniform" and [r.l_abs for r in rows_of(other)] == plain
+    given = fit(field, config, {"weights": np.full((2, 3, 1), 2.0), "weights_name": "twice"}, xshape=(2, 3))
+    assert given.weights_name == "twice" and [r.l_abs for r in rows_of(given)] == pytest.approx([2 * x for x in plain])
+    with pytest.raises(ValueError, match="store_modes"):
+        given.modes  # noqa: B018
+    with pytest.raises(ValueError, match="grid"):
+        fit(field, config, xshape=(4, 2))
+    kept = fit(field, FitConfig(n_dft=18, time_step=0.25, n_overlap=7, max_freq_idx=2, store_modes=True))
+    assert kept.modes.count() == kept.n_triads * 2 * 6 and kept.modes is kept.modes
+    grid = {(r.k, r.l): r for r in kept.L.join(kept.T, ["k", "l"]).collect()}
+    assert len(grid) == 18**2 and sum(not np.isnan(r.value) for r in grid.values()) == kept.n_triads
+    assert kept.coeffs.groupBy("triad_idx").agg(F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias("n")).where("abs(n - 1) > 1e-9").count() == 0
+    report = kept.report()
+    assert report["n_triads"] == kept.n_triads and report["data_gb"] == pytest.approx(230 * 6 * 8 / 2**30)
+    with pytest.raises(ValueError, match="max_modes_gb"):
+        fit(field, FitConfig(n_dft=18, time_step=0.25, max_freq_idx=2, store_modes=True, max_modes_gb=1e-9))
+
+
+def test_many_blocks_and_slices_change_no_bit(spark):
+    """Chunks with fewer series than blocks send their legs; slices of triads and packing by other rows change nothing."""
+    field = arrays.from_array(spark, DATA[..., :1], 1, 1)
+    config = FitConfig(n_dft=18, time_step=0.25, n_overlap=16, max_freq_idx=2, tol=1e-10, chunk_values=230 * 4)
+    assert config.blocks(230) == 107
+    seen = [[(r.l_re, r.l_im, r.t, r.a_re) for r in rows_of(fit(f, config))] for f in (field, field.orderBy(F.rand(3)), field.repartition(5, "p"))]
+    assert seen[0] == seen[1] == seen[2]
+    want = plain(DATA[..., :1], np.ones((30, 1)), config)
+    assert [np.hypot(*x[:2]) for x in seen[0]] == pytest.approx([w[0] for w in want], rel=1e-8)

@@ -15,6 +15,13 @@ from __future__ import annotations
 import numpy as np
 
 EPS = np.finfo(np.float64).eps
+
+
+def nearness(n: int) -> float:
+    """How far a root of the pencil may lie off the unit circle, for matrices of norm 1 at most: where two roots meet, as at the top of the field of values, both move by the root of the rounding errors of 2 n columns. H changes by no more than that over so small an angle, so levels are compared within the same."""
+    return float(np.sqrt(8 * n * EPS))
+
+
 #: From this size on a matrix is looked at for low rank.
 LARGE = 16
 
@@ -45,7 +52,7 @@ def scaled(a: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def level_angles(a: np.ndarray, level: float) -> np.ndarray:
-    """Angles at which level is the largest eigenvalue of H, sorted."""
+    """Angles at which level is the largest eigenvalue of H, sorted; a of norm 1 at most."""
     n = len(a)
     eye, zero = np.eye(n), np.zeros((n, n))
     r = np.block([[2 * level * eye, -a.conj().T], [eye, zero]]).astype(complex)
@@ -67,11 +74,11 @@ def level_angles(a: np.ndarray, level: float) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         x = shifts[best] + 1 / nu
     x = x[np.isfinite(x)]
-    x = x[np.abs(np.abs(x) - 1) <= np.sqrt(EPS) * max(1.0, np.abs(a).sum(axis=0).max())]
-    angles = np.unique(np.round(np.mod(np.angle(x), 2 * np.pi), 10))
+    x = x[np.abs(np.abs(x) - 1) <= nearness(n)]
+    angles = np.sort(np.mod(np.angle(x), 2 * np.pi))
     if not len(angles):
         return angles
-    return angles[np.abs(field_of_values(a, angles) - level) <= np.sqrt(EPS) * max(level, 1.0)]
+    return angles[np.abs(field_of_values(a, angles) - level) <= nearness(n)]
 
 
 def numerical_radius(a: np.ndarray, tol: float = 1e-8, n_it_max: int = 500) -> tuple[complex, np.ndarray]:
@@ -104,8 +111,7 @@ def numerical_radius(a: np.ndarray, tol: float = 1e-8, n_it_max: int = 500) -> t
         if not above.any():
             break
         angles = middles[above]
-    w, v = np.linalg.eigh(rotated(small, np.array([best]))[0])
-    return _form(a, v[:, np.argmax(np.abs(w))])
+    return _form(a, np.linalg.eigh(rotated(small, np.array([best]))[0])[1][:, -1])
 
 
 def _form(a: np.ndarray, z: np.ndarray) -> tuple[complex, np.ndarray]:
@@ -149,9 +155,9 @@ def _stack_crossings(a: np.ndarray, level: np.ndarray) -> np.ndarray:
     nu = np.linalg.eigvals(inverse[np.arange(m), best] @ s)
     with np.errstate(divide="ignore", invalid="ignore"):
         x = shifts[best][:, None] + 1 / nu
-        near = np.isfinite(x) & (np.abs(np.abs(x) - 1) <= np.sqrt(EPS) * np.maximum(1.0, norm(a))[:, None])
+        near = np.isfinite(x) & (np.abs(np.abs(x) - 1) <= nearness(n))
     angles = np.where(near, np.mod(np.angle(np.where(near, x, 1)), 2 * np.pi), 0.0)
-    hit = near & (np.abs(_tops(a, angles) - level[:, None]) <= np.sqrt(EPS) * np.maximum(level, 1.0)[:, None])
+    hit = near & (np.abs(_tops(a, angles) - level[:, None]) <= nearness(n))
     return np.sort(np.where(hit, angles, np.nan), axis=1)
 
 
@@ -194,8 +200,7 @@ def numerical_radii(a: np.ndarray, tol: float = 1e-8, n_it_max: int = 500) -> tu
         active = active[up]
         best[active], top[active] = middles[up, at[up]] % (2 * np.pi), high[up]
     done = ~np.isnan(best)
-    w, v = np.linalg.eigh(rotated_each(small[done], best[done]))
-    z = v[np.arange(len(w)), :, np.argmax(np.abs(w), axis=1)]
+    z = np.linalg.eigh(rotated_each(small[done], best[done]))[1][..., -1]
     zero = np.abs(small[done]).max(axis=(1, 2)) == 0
     z[zero] = np.eye(n)[0]
     z = z / np.linalg.norm(z, axis=1, keepdims=True)
