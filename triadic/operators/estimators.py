@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triadic.operators import spectra
@@ -95,4 +94,6 @@ def mode_panels(modes: DataFrame, nx: int, variables: list[int]) -> DataFrame:
     """Plot-ready rows of chosen variables on a grid: part of each mode, and each panel's largest modulus."""
     rows = modes.where(F.col("s").isin(variables)).select("triad_idx", F.col("comp").alias("row"), F.col("s").alias("var"), F.floor(F.col("p") / nx).cast("int").alias("iy"), (F.col("p") % nx).cast("int").alias("ix"), F.col("re").alias("value"))
     product = interaction_map(modes.where(F.col("s").isin(variables))).select("triad_idx", F.lit(-1).alias("row"), F.col("s").alias("var"), F.floor(F.col("p") / nx).cast("int").alias("iy"), (F.col("p") % nx).cast("int").alias("ix"), "value")
-    return rows.unionByName(product).withColumn("level_max", F.max(F.abs("value")).over(W.partitionBy("triad_idx", "row", "var")))
+    rows = rows.unionByName(product)
+    tops = rows.groupBy("triad_idx", "row", "var").agg(F.max(F.abs("value")).alias("level_max"))  # a row a panel
+    return rows.join(tops, ["triad_idx", "row", "var"]).select(*rows.columns, "level_max")

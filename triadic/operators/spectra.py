@@ -7,7 +7,6 @@ frequencies and is what the SQL oracles check. Long fits go through triadic.plan
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triadic.functions.spectral import window_gain, window_table
@@ -83,20 +82,23 @@ def triad_legs(qhat: DataFrame, triads: DataFrame, terms: DataFrame | None = Non
 
 
 def bispectral_matrix(total: DataFrame, product: DataFrame, n_blocks: int, weights: DataFrame | None = None) -> DataFrame:
-    """(triad_idx, i, j, re, im): mean over blocks of conj(sum leg i) * weight * product leg j, summed over points and states."""
-    left = total.select("triad_idx", "p", "s", F.col("b").alias("i"), F.col("re").alias("ar"), F.col("im").alias("ai"))
-    right = product.select("triad_idx", "p", "s", F.col("b").alias("j"), F.col("re").alias("br"), F.col("im").alias("bi"))
-    w = F.lit(1.0)
+    """(triad_idx, i, j, re, im): mean over blocks of conj(sum leg i) * weight * product leg j, summed over points and states.
+
+    Each leg's blocks are gathered into arrays first, so that legs meet once a point and not once a pair of blocks; pairs
+    are made from the arrays just before the partial sums, and only the sums of a triad's matrix are shuffled.
+    """
+    rows = lambda leg, n: leg.groupBy("triad_idx", "p", "s").agg(F.collect_list(F.struct("b", "re", "im")).alias(n))
+    right, w = rows(product, "y"), F.lit(1.0)
     if weights is not None:
         keys = ["p"]
         if "v" in weights.columns:
             weights, keys = weights.withColumnRenamed("v", "s"), ["p", "s"]
         right, w = right.join(weights, keys), F.col("w")
-    both = left.join(right, ["triad_idx", "p", "s"])
-    re = (F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")) * w
-    im = (F.col("ar") * F.col("bi") - F.col("ai") * F.col("br")) * w
+    both = rows(total, "x").join(right, ["triad_idx", "p", "s"]).select("triad_idx", w.alias("w"), F.explode("x").alias("x"), "y").select("triad_idx", "w", "x", F.explode("y").alias("y"))
+    re = (F.col("x.re") * F.col("y.re") + F.col("x.im") * F.col("y.im")) * F.col("w")
+    im = (F.col("x.re") * F.col("y.im") - F.col("x.im") * F.col("y.re")) * F.col("w")
     n = F.lit(float(n_blocks))
-    return both.groupBy("triad_idx", "i", "j").agg((F.sum(re) / n).alias("re"), (F.sum(im) / n).alias("im"))
+    return both.groupBy("triad_idx", F.col("x.b").alias("i"), F.col("y.b").alias("j")).agg((F.sum(re) / n).alias("re"), (F.sum(im) / n).alias("im"))
 
 
 def combined(leg: DataFrame, coefficients: DataFrame) -> DataFrame:
@@ -115,18 +117,23 @@ def normalised(mode: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         if "v" in weights.columns:
             weights, keys = weights.withColumnRenamed("v", "s"), ["p", "s"]
         mode, w = mode.join(weights, keys), F.col("w")
-    norm = F.sqrt(F.sum(w * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))).over(W.partitionBy("triad_idx")))
-    return mode.withColumn("norm", norm).select("triad_idx", "p", "s", (F.col("re") / F.col("norm")).alias("re"), (F.col("im") / F.col("norm")).alias("im"))
+    norms = mode.groupBy("triad_idx").agg(F.sqrt(F.sum(w * (F.col("re") * F.col("re") + F.col("im") * F.col("im")))).alias("norm"))  # a row a triad, added up where the points are
+    return mode.join(norms, "triad_idx").select("triad_idx", "p", "s", (F.col("re") / F.col("norm")).alias("re"), (F.col("im") / F.col("norm")).alias("im"))
 
 
 def concat_in_time(fields: list[DataFrame]) -> DataFrame:
-    """Fields one after the other: each later one's times follow the last of those before."""
-    out, offset = None, 0
-    for f in fields:
-        own = f.withColumn("t", F.col("t") + F.lit(offset).cast("long"))
-        out = own if out is None else out.unionByName(own)
-        offset += f.agg(F.max("t")).first()[0] + 1
-    return out
+    """Fields one after the other: each later one's times follow the last of those before. One job finds all their ends."""
+    every = None
+    for k, f in enumerate(fields):
+        own = f.withColumn("part", F.lit(k))
+        every = own if every is None else every.unionByName(own)
+    ends = {r.part: r.last for r in every.groupBy("part").agg(F.max("t").alias("last")).collect()}  # a row a field
+    starts, at = [], 0
+    for k in range(len(fields)):
+        starts.append(at)
+        at += ends.get(k, -1) + 1
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("part") + 1)
+    return every.withColumn("t", F.col("t") + start).drop("part")
 
 
 def check_field(field: DataFrame) -> tuple[int, int, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,16 +27,19 @@ def uniform(points: DataFrame, n_vars: int | None = 1, dv: float = 1.0) -> DataF
 
 
 def rectilinear(axes: list[DataFrame], n_vars: int | None = 1) -> DataFrame:
-    """(i, c) axes, slowest first -> (p, w): products of trapezoid widths, p in row-major order."""
-    out = None
-    for d, axis in enumerate(axes):
-        own = cell_widths(axis.select(F.col("i").cast("long").alias("i"), "c"), "i", "c").agg(F.array_sort(F.collect_list(F.struct("i", "width"))).alias(f"a{d}"))
-        out = own if out is None else out.join(own)  # one row each: an axis is one number a grid line
-    point, w = F.lit(0).cast("long"), F.lit(1.0)
-    for d in range(len(axes)):
-        out = out.withColumn(f"n{d}", F.size(f"a{d}")).withColumn(f"e{d}", F.explode(f"a{d}")).drop(f"a{d}")
-        point, w = point * F.col(f"n{d}") + F.col(f"e{d}")["i"], w * F.col(f"e{d}")["width"]
-    return with_variables(out.select(point.alias("p"), w.alias("w")), n_vars)
+    """(i, c) axes, slowest first, i from 0 -> (p, w): products of trapezoid widths, p in row-major order.
+
+    The points are a range that tasks share; each takes its place on an axis from its number and meets that axis's widths, a
+    row for each grid line. The driver sees the axes' lengths.
+    """
+    sizes = [axis.count() for axis in axes]
+    out, stride = axes[0].sparkSession.range(math.prod(sizes)).withColumn("w", F.lit(1.0)), math.prod(sizes)
+    for axis, n in zip(axes, sizes):
+        stride //= max(n, 1)
+        widths = cell_widths(axis.select(F.col("i").cast("long").alias("i"), "c"), "i", "c").select("i", "width")
+        at = F.floor(F.col("id") / F.lit(stride)) % F.lit(n)
+        out = out.withColumn("i", at).join(F.broadcast(widths), "i").select("id", (F.col("w") * F.col("width")).alias("w"))
+    return with_variables(out.select(F.col("id").alias("p"), "w"), n_vars)
 
 
 def trapz_2d(x: DataFrame, y: DataFrame, n_vars: int | None = 1) -> DataFrame:
@@ -53,8 +58,9 @@ def _gradient(coord: str, along: str, across: str) -> Column:
 
 
 def curvilinear_2d(grid: DataFrame, n_vars: int | None = 1) -> DataFrame:
-    """(p, iy, ix, y, x) -> (p, w): the Jacobian of the index map times half weights on the edges."""
-    edge = lambda i: F.when((F.col(i) == 0) | (F.col(i) == F.max(i).over(W.partitionBy())), F.lit(0.5)).otherwise(F.lit(1.0))
+    """(p, iy, ix, y, x) -> (p, w): the Jacobian of the index map times half weights on the edges. A task holds a grid line; the driver sees the last line's numbers."""
+    ends = grid.agg(F.max("iy").alias("iy"), F.max("ix").alias("ix")).first()
+    edge = lambda i: F.when(F.col(i).isin(0, ends[i]), F.lit(0.5)).otherwise(F.lit(1.0))
     g = grid.withColumns({"xi": _gradient("x", "ix", "iy"), "yi": _gradient("y", "ix", "iy"), "xj": _gradient("x", "iy", "ix"), "yj": _gradient("y", "iy", "ix")})
-    g = g.withColumns({"ey": edge("iy"), "ex": edge("ix")})
-    return with_variables(g.select("p", (F.abs(F.col("xi") * F.col("yj") - F.col("xj") * F.col("yi")) * F.col("ey") * F.col("ex")).alias("w")), n_vars)
+    area = F.abs(F.col("xi") * F.col("yj") - F.col("xj") * F.col("yi"))
+    return with_variables(g.select("p", (area * edge("iy") * edge("ix")).alias("w")), n_vars)
