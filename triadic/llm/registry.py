@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_suffix_array_dedup": substring_dedup.OP1_SQL,
+    "op3_nearest_neighbours": nearest.OP3_SQL,
     "op5_ngram_jaccard_join": jaccard_join.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
