@@ -246,3 +246,22 @@ def mixed(
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """What op2 aims at, which SQL can express; its draws hang on hashes."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+#: Weights are shared round by round: sources above their cap get it, the rest is shared again.
+TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST)) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+g(round, source, n, w, target) AS (
+    SELECT 0, source, n, w, NULL::DOUBLE FROM s
+    UNION ALL
+    SELECT round + 1, source, n, w, CASE WHEN target IS NOT NULL THEN target WHEN w * level > 2 * n THEN 2.0 * n END
+    FROM (SELECT *, (1.5 * sum(n) OVER () - coalesce(sum(target) OVER (), 0)) / sum(w) FILTER (target IS NULL) OVER () AS level FROM g) WHERE round < (SELECT count(*) FROM s)),
+l AS (SELECT source, n, coalesce(target, w * (1.5 * sum(n) OVER () - coalesce(sum(target) OVER (), 0)) / sum(w) FILTER (target IS NULL) OVER ()) AS target FROM g WHERE round = (SELECT count(*) FROM s))
+SELECT doc_id, size, l.n AS source_size, round(l.target, 4) AS target FROM d JOIN l ON l.source IS NOT DISTINCT FROM d.source
+"""

@@ -13,6 +13,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_token_packing": packing.op9_token_packing,
     "op10_sentencepiece": sampled_pieces.op10_sentencepiece,
+    "mix_targets": mixing.mix_targets,
+    "base_secret_spans": secrets.base_secret_spans,
 }
 ORACLES = {
     "op1_suffix_array_dedup": substring_dedup.OP1_SQL,
@@ -20,4 +22,6 @@ ORACLES = {
     "op5_ngram_jaccard_join": jaccard_join.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "mix_targets": mixing.TARGETS_SQL,
+    "base_secret_spans": secrets.BASE_SQL,
 }

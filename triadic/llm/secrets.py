@@ -311,6 +311,27 @@ def op7_secret_scans(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def base_secret_spans(spark, sf_dir: str) -> DataFrame:
+    """What op7 finds by the fixed patterns alone, which SQL can express."""
+    return op7_secret_scans(spark, sf_dir).drop("spans", "n_guess")
+
+
+_ANY_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+_PATTERNS = ((0, rf"""(?:{_ANY_CASE})["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""), (1, "AKIA[A-Z0-9]+"), (2, "[0-9a-f]+"))
+#: Matches and what lies between them, put one after the other, give the places.
+BASE_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+x AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS kind, regexp_extract_all(text, '{p}') AS found, string_split_regex(text, '{p}') AS between FROM t" for k, p in _PATTERNS)}),
+y AS (SELECT doc_id, kind, found, between, unnest(range(1, len(found) + 1)) AS i FROM x),
+z AS (SELECT doc_id, kind, found[i] AS s, list_sum(list_transform(between[1:i], lambda b: length(b))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda b: length(b))), 0) AS a FROM y),
+b AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(s))::BIGINT AS z FROM z
+    WHERE length(CASE WHEN kind = 0 THEN regexp_extract(s, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE s END) >= CASE kind WHEN 0 THEN {LEAST_ASSIGN} WHEN 1 THEN {LEAST_ACCESS} ELSE 24 END)
+SELECT t.doc_id, count(b.a) FILTER (kind = 0) AS n_assign, count(b.a) FILTER (kind = 1) AS n_access, count(b.a) FILTER (kind = 2) AS n_hex,
+    sha256(coalesce(string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind), '')) AS base_sha256
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
 def digest(text: str | None) -> str:
     """base_sha256 of one text, in plain Python."""
     return hashlib.sha256(joined(base_spans(text or "")).encode()).hexdigest()
