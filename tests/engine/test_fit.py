@@ -229,6 +229,20 @@ def test_mat_files(spark, tmp_path, compress):
     matfile.register(spark)
     rows = spark.read.format("matfield").option("variable", "u").load(path).orderBy("t", "i").collect()
     assert [r.value for r in rows] == a.ravel().tolist()
+    one = str(tmp_path / "one.mat")
+    matfile.write_mat(one, {"u": a}, compress)
+    want = {(t, i * 2 + j): a[t, i, j] for t, i, j in np.ndindex(a.shape)}
+    for path_ in (one, str(tmp_path / "c.npy"), str(tmp_path / "f.npy")):
+        if path_.endswith("npy"):
+            np.save(path_, a if path_.endswith("c.npy") else np.asfortranarray(a))
+        place = next(iter(matfile.places(path_).values()))
+        flat = a.ravel(order="F" if place.fortran else "C")
+        assert place.shape == a.shape and (matfile.numbers(path_, place, 7, 11) == flat[7:18]).all()
+        rows = arrays.from_file(spark, path_, 1, 2)
+        assert {(r.t, r.p * 2 + r.v): r.value for r in rows.collect()} == want and rows.rdd.getNumPartitions() > 1
+        assert {(r.t, r.p): r.value for r in arrays.load(spark, path_, 2, 1).collect()} == want
+    with pytest.raises(ValueError, match="one array"):
+        arrays.load(spark, path, 2, 1)
     with pytest.raises(ValueError):
         arrays.read_array("x.csv")
     np.save(str(tmp_path / "y.npy"), a)

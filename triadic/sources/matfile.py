@@ -1,9 +1,10 @@
-"""MAT files of version 5 (and, where h5py is installed, 7.3), and a Spark data source for them."""
+"""MAT files of version 5 (and, where h5py is installed, 7.3), and a Spark data source for them and for .npy files, read in slabs."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -103,39 +104,164 @@ def write_mat(path: str, arrays: dict[str, np.ndarray], compress: bool = False)
             f.write(whole)
 
 
+# ---- arrays in files, read in slabs by offset ------------------------------------------------------------------------
+
+
+@dataclass
+class Place:
+    """Where an array lies: numbers of `kind` from `offset` on, first axis fastest if `fortran`; with `packed`, offset is that of a zlib stream and `inner` counts its bytes before the numbers."""
+
+    offset: int
+    kind: str
+    shape: tuple[int, ...]
+    fortran: bool
+    packed: int = 0
+    inner: int = 0
+    complex: bool = False
+
+
+def _tag(head: bytes, order: str) -> tuple[int, int, int]:
+    """(type, bytes of data, bytes of the tag with its data, padded) of an element that begins with head."""
+    kind, size = struct.unpack_from(order + "II", head)
+    if kind >> 16:
+        return kind & 0xFFFF, kind >> 16, 8
+    return kind, size, 8 + size + (-size % 8 if kind != COMPRESSED else 0)
+
+
+def _header(read, order: str) -> tuple[str, Place | None]:
+    """Name and place of a matrix whose elements read(n) gives; the place's offset counts from the matrix's first element."""
+    at = 0
+    parts = []
+    for _ in range(3):
+        head = read(8)
+        kind, size, whole = _tag(head, order)
+        body = head[4 : 4 + size] if whole == 8 and size <= 4 else read(whole - 8)[:size]
+        parts.append(body)
+        at += whole
+    flags = struct.unpack(order + "II", parts[0][:8])[0]
+    if flags & 0xFF not in NUMERIC:
+        return parts[2].decode("latin-1"), None
+    head = read(8)
+    kind, size, whole = _tag(head, order)
+    dims = tuple(np.frombuffer(parts[1], order + "i4").tolist())
+    return parts[2].decode("latin-1"), Place(at + (4 if whole == 8 and size <= 4 else 8), order + ELEMENT[kind], dims, True, complex=bool(flags & 0x800))
+
+
+class _Unpacked:
+    """Reads a zlib stream of a file bit by bit."""
+
+    def __init__(self, f, size: int):
+        self.f, self.left, self.stream, self.held = f, size, zlib.decompressobj(), b""
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) < n and (self.left or self.stream.unconsumed_tail):
+            raw = self.stream.unconsumed_tail or self.f.read(min(self.left, 1 << 20))
+            if not self.stream.unconsumed_tail:
+                self.left -= len(raw)
+            self.held += self.stream.decompress(raw, 1 << 20)
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+    def skip(self, n: int) -> None:
+        while n:
+            n -= len(self.read(min(n, 1 << 20)))
+
+
+def places(path: str) -> dict[str, Place]:
+    """The numeric arrays of a .npy file (named "") or of a .mat file of version 5, from their headers alone."""
+    out = {}
+    with open(path, "rb") as f:
+        if path.endswith(".npy"):
+            version = np.lib.format.read_magic(f)
+            shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+            return {"": Place(f.tell(), kind.str, shape, fortran, complex=kind.kind == "c")}
+        top = f.read(128)
+        if top[:4] == b"\x89HDF":
+            raise ValueError("MAT files of version 7.3 are read whole, by read_mat")
+        order = "<" if top[126:128] == b"IM" else ">"
+        while len(head := f.read(8)) == 8:
+            kind, size, whole = _tag(head, order)
+            here = f.tell()
+            if kind == MATRIX:
+                name, place = _header(f.read, order)
+                if place:
+                    place.offset += here
+            elif kind == COMPRESSED:
+                unpacked = _Unpacked(f, size)
+                if _tag(unpacked.read(8), order)[0] != MATRIX:
+                    f.seek(here + size)
+                    continue
+                name, place = _header(unpacked.read, order)
+                if place:
+                    place.inner, place.offset, place.packed = place.offset + 8, here, size
+            else:
+                name, place = "", None
+            if place and not name.startswith(("__", "#")):
+                out[name] = place
+            f.seek(here + whole - 8)
+    return out
+
+
+def numbers(path: str, place: Place, first: int, count: int) -> np.ndarray:
+    """count numbers of an array from the first-th on, in the order they lie in the file."""
+    width = np.dtype(place.kind).itemsize
+    with open(path, "rb") as f:
+        f.seek(place.offset)
+        if place.packed:
+            stream = _Unpacked(f, place.packed)
+            stream.skip(place.inner + first * width)
+            return np.frombuffer(stream.read(count * width), place.kind)
+        f.seek(first * width, 1)
+        return np.frombuffer(f.read(count * width), place.kind)
+
+
 class _Slab(InputPartition):
     def __init__(self, lo: int, hi: int):
         self.lo, self.hi = lo, hi
 
 
-class _MatReader(DataSourceReader):
+#: Numbers that a task gives away at a time.
+STEP = 1 << 18
+
+
+class _ArrayReader(DataSourceReader):
+    """A partition is a stretch of the array as it lies in the file: of times where they are the slowest axis, else of the other axes."""
+
     def __init__(self, options: dict):
         self.path, self.name, self.parts = options["path"], options.get("variable"), int(options.get("partitions", 4))
 
-    def _array(self) -> np.ndarray:
-        from triadic.sources.arrays import the_array
-
-        found = read_mat(self.path)
-        return found[self.name] if self.name else the_array(found)
+    def _place(self) -> Place:
+        found = places(self.path)
+        if not self.name and len(found) > 1:
+            found = {k: p for k, p in found.items() if len(p.shape) >= 2 and max(p.shape) > 1}
+        if self.name is not None and self.name not in found or not self.name and len(found) != 1:
+            raise ValueError(f"one array is expected, found: {', '.join(sorted(found)) or 'none'}")
+        place = found[self.name] if self.name else next(iter(found.values()))
+        if place.complex:
+            raise TypeError("the field must be real-valued")
+        return place
 
     def partitions(self):
-        nt = self._array().shape[0]
-        edges = np.linspace(0, nt, min(self.parts, nt) + 1).astype(int).tolist()
+        place = self._place()
+        rows = place.shape[-1] if place.fortran else place.shape[0]  # of the slowest axis
+        edges = np.linspace(0, rows, min(self.parts, rows) + 1).astype(int).tolist()
         return [_Slab(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
     def read(self, partition):
         import pyarrow as pa
 
-        a = self._array()
-        if np.iscomplexobj(a):
-            raise TypeError("the field must be real-valued")
-        slab = a[partition.lo : partition.hi].reshape(partition.hi - partition.lo, -1)
-        t, p = np.meshgrid(np.arange(partition.lo, partition.hi), np.arange(slab.shape[1]), indexing="ij")
-        yield pa.RecordBatch.from_arrays([pa.array(t.ravel()), pa.array(p.ravel()), pa.array(slab.ravel().astype(float))], ["t", "i", "value"])
+        place = self._place()
+        size = int(np.prod(place.shape))
+        each = size // (place.shape[-1] if place.fortran else place.shape[0])
+        for lo in range(partition.lo * each, partition.hi * each, STEP):
+            n = min(STEP, partition.hi * each - lo)
+            at = np.unravel_index(np.arange(lo, lo + n), place.shape, order="F" if place.fortran else "C")
+            i = np.ravel_multi_index(at[1:], place.shape[1:]) if len(place.shape) > 1 else np.zeros(n, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(numbers(self.path, place, lo, n).astype(float))], ["t", "i", "value"])
 
 
 class MatSource(DataSource):
-    """spark.read.format("matfield").load(path): rows (t, i, value), i the row-major number within a sample (point and variable)."""
+    """spark.read.format("matfield").load(path): rows (t, i, value) of a .npy file or a .mat file of version 5, i the row-major number within a sample (point and variable). The path must be one that all tasks can open; headers are read first and numbers in slabs by their offset."""
 
     @classmethod
     def name(cls):
@@ -145,7 +271,7 @@ class MatSource(DataSource):
         return "t long, i long, value double"
 
     def reader(self, schema):
-        return _MatReader(self.options)
+        return _ArrayReader(self.options)
 
 
 def register(spark) -> None:
