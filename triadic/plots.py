@@ -78,3 +78,45 @@ def plot_modes(result: FitResult, k: int, l: int, x: np.ndarray, y: np.ndarray,
     if path:
         fig.savefig(path, dpi=200, bbox_inches="tight")
     return fig
+
+
+def plot_cascade(result: FitResult, table, f0: float, reach: float, path: str | None = None):
+    """ln |L| on cells of the frequency plane up to `reach`, the triads of a cascade's table ringed and named, and the line f1 + f2 = f0."""
+    plt = _pyplot()
+    freq, field = bispectrum_arrays(result)
+    half = (freq[1] - freq[0]) / 2
+    edges = np.r_[freq - half, freq[-1] + half]
+    fig, ax = plt.subplots()
+    drawn = ax.pcolormesh(edges, edges, field.T)
+    ax.plot([0, reach], [f0, f0 - reach], "k--", linewidth=0.8)
+    for r in table.toLocalIterator():
+        ax.plot(r.f1, r.f2, "o", fillstyle="none", color="k")
+        ax.annotate(f"({r.k},{r.l})", (r.f1, r.f2), textcoords="offset points", xytext=(5, 5))
+    ax.set(xlabel="$f_1$", ylabel="$f_2$", aspect="equal", xlim=(0, reach), ylim=(-reach, reach))
+    fig.colorbar(drawn, ax=ax, label=r"$\log|\lambda_1|$")
+    if path:
+        fig.savefig(path, dpi=200, bbox_inches="tight")
+    return fig
+
+
+def surface_arrays(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """f1, f2 and value of a table of triads, and the top of the vertical axis: colours go by it, so that a flat surface looks flat."""
+    rows = np.array([(r.f1, r.f2, r.value) for r in table.toLocalIterator()], float).reshape(-1, 3)
+    return rows[:, 0], rows[:, 1], rows[:, 2], 1.05 * float(np.nanmax(rows[:, 2], initial=0.0)) or 1.0
+
+
+def plot_surface(table, amplitudes=None, time_step: float = 1.0, n_dft: int | None = None, path: str | None = None):
+    """A surface over the frequency plane, beside an amplitude spectrum (a table of f, amplitude) if there is one."""
+    plt = _pyplot()
+    fig = plt.figure()
+    columns = 1 if amplitudes is None else 2
+    if amplitudes is not None:
+        rows = sorted((r.f, r.amplitude) for r in amplitudes.toLocalIterator())
+        fig.add_subplot(1, columns, 1).plot([f / time_step / n_dft for f, _ in rows], [a for _, a in rows], "k")
+    f1, f2, value, top = surface_arrays(table)
+    ax = fig.add_subplot(1, columns, columns, projection="3d")
+    ax.plot_trisurf(f1, f2, value, vmin=0, vmax=top)
+    ax.set(xlabel="$f_1$", ylabel="$f_2$", zlim=(0, top))
+    if path:
+        fig.savefig(path, dpi=150)
+    return fig
