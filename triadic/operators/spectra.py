@@ -57,44 +57,56 @@ def realizations(field: DataFrame, n_dft: int, step: int, n_blocks: int, freqs:
     return dft(windowed_blocks(field, n_dft, step, n_blocks, window), n_dft, freqs, gain)
 
 
+def by_block(qhat: DataFrame) -> DataFrame:
+    """(f, p, v, x): the blocks of a spectrum as one array of (b, re, im), so that legs are joined once a point and not once a block."""
+    return qhat.groupBy("f", "p", "v").agg(F.array_sort(F.collect_list(F.struct("b", "re", "im"))).alias("x"))
+
+
+def _product(a: str, b: str):
+    """Products of two arrays of blocks."""
+    both = lambda x, y: F.struct(x["b"].alias("b"), (x["re"] * y["re"] - x["im"] * y["im"]).alias("re"), (x["re"] * y["im"] + x["im"] * y["re"]).alias("im"))
+    return F.zip_with(a, b, both)
+
+
+def _sum(arrays):
+    """The sum of some arrays of blocks."""
+    plus = lambda x, y: F.struct(x["b"].alias("b"), (x["re"] + y["re"]).alias("re"), (x["im"] + y["im"]).alias("im"))
+    return F.aggregate(F.slice(arrays, 2, F.size(arrays)), F.element_at(arrays, 1), lambda t, x: F.zip_with(t, x, plus))
+
+
 def triad_legs(qhat: DataFrame, triads: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sum and product legs of each triad: (triad_idx, p, s, b, re, im), s the state.
+    """Sum and product legs of each triad: (triad_idx, p, s, x), s the state and x the blocks as (b, re, im).
 
     Without terms each variable meets itself. terms: (state, s_v, term, q_v, r_v); a state's products add up.
-    Triads and terms are small and broadcast; q-hat rows meet on frequency, point, variable and block.
+    Triads and terms are small and broadcast; spectra meet on frequency, point and variable.
     """
-    names = F.broadcast(triads.select("triad_idx", "k", "l", "kl"))
+    names, spectrum = F.broadcast(triads.select("triad_idx", "k", "l", "kl")), by_block(qhat)
+    leg = lambda f: spectrum.join(names, F.col("f") == F.col(f))
     if terms is None:
-        spectrum = qhat.withColumnRenamed("v", "s")
-        total = spectrum.join(names, F.col("f") == F.col("kl")).select("triad_idx", "p", "s", "b", "re", "im")
-        one = spectrum.join(names, F.col("f") == F.col("k")).select("triad_idx", "p", "s", "b", F.col("re").alias("ar"), F.col("im").alias("ai"))
-        two = spectrum.join(names, F.col("f") == F.col("l")).select("triad_idx", "p", "s", "b", F.col("re").alias("br"), F.col("im").alias("bi"))
-        both = one.join(two, ["triad_idx", "p", "s", "b"])
-        return total, both.select("triad_idx", "p", "s", "b", (F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")).alias("re"), (F.col("ar") * F.col("bi") + F.col("ai") * F.col("br")).alias("im"))
+        named = lambda f, x: leg(f).select("triad_idx", "p", F.col("v").alias("s"), F.col("x").alias(x))
+        both = named("k", "a").join(named("l", "b"), ["triad_idx", "p", "s"])
+        return named("kl", "x"), both.select("triad_idx", "p", "s", _product("a", "b").alias("x"))
     states = F.broadcast(terms.select(F.col("state").alias("s"), "s_v").distinct())
-    total = qhat.join(names, F.col("f") == F.col("kl")).join(states, F.col("v") == F.col("s_v")).select("triad_idx", "p", "s", "b", "re", "im")
+    total = leg("kl").join(states, F.col("v") == F.col("s_v")).select("triad_idx", "p", "s", "x")
     pairs = F.broadcast(terms.select(F.col("state").alias("s"), "term", "q_v", "r_v"))
-    one = qhat.join(names, F.col("f") == F.col("k")).join(pairs, F.col("v") == F.col("q_v")).select("triad_idx", "p", "s", "term", "b", F.col("re").alias("ar"), F.col("im").alias("ai"))
-    two = qhat.join(names, F.col("f") == F.col("l")).join(pairs, F.col("v") == F.col("r_v")).select("triad_idx", "p", "s", "term", "b", F.col("re").alias("br"), F.col("im").alias("bi"))
-    both = one.join(two, ["triad_idx", "p", "s", "term", "b"])
-    re, im = F.col("ar") * F.col("br") - F.col("ai") * F.col("bi"), F.col("ar") * F.col("bi") + F.col("ai") * F.col("br")
-    return total, both.groupBy("triad_idx", "p", "s", "b").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    factor = lambda f, v, x: leg(f).join(pairs, F.col("v") == F.col(v)).select("triad_idx", "p", "s", "term", F.col("x").alias(x))
+    both = factor("k", "q_v", "a").join(factor("l", "r_v", "b"), ["triad_idx", "p", "s", "term"])
+    terms_of = both.groupBy("triad_idx", "p", "s").agg(F.collect_list(_product("a", "b")).alias("products"))  # a few terms a state
+    return total, terms_of.select("triad_idx", "p", "s", _sum(F.col("products")).alias("x"))
 
 
 def bispectral_matrix(total: DataFrame, product: DataFrame, n_blocks: int, weights: DataFrame | None = None) -> DataFrame:
     """(triad_idx, i, j, re, im): mean over blocks of conj(sum leg i) * weight * product leg j, summed over points and states.
 
-    Each leg's blocks are gathered into arrays first, so that legs meet once a point and not once a pair of blocks; pairs
-    are made from the arrays just before the partial sums, and only the sums of a triad's matrix are shuffled.
+    Pairs of blocks are made from the legs' arrays just before the partial sums, and only the sums of a triad's matrix are shuffled.
     """
-    rows = lambda leg, n: leg.groupBy("triad_idx", "p", "s").agg(F.collect_list(F.struct("b", "re", "im")).alias(n))
-    right, w = rows(product, "y"), F.lit(1.0)
+    right, w = product.withColumnRenamed("x", "y"), F.lit(1.0)
     if weights is not None:
         keys = ["p"]
         if "v" in weights.columns:
             weights, keys = weights.withColumnRenamed("v", "s"), ["p", "s"]
         right, w = right.join(weights, keys), F.col("w")
-    both = rows(total, "x").join(right, ["triad_idx", "p", "s"]).select("triad_idx", w.alias("w"), F.explode("x").alias("x"), "y").select("triad_idx", "w", "x", F.explode("y").alias("y"))
+    both = total.join(right, ["triad_idx", "p", "s"]).select("triad_idx", w.alias("w"), F.explode("x").alias("x"), "y").select("triad_idx", "w", "x", F.explode("y").alias("y"))
     re = (F.col("x.re") * F.col("y.re") + F.col("x.im") * F.col("y.im")) * F.col("w")
     im = (F.col("x.re") * F.col("y.im") - F.col("x.im") * F.col("y.re")) * F.col("w")
     n = F.lit(float(n_blocks))
@@ -103,7 +115,7 @@ def bispectral_matrix(total: DataFrame, product: DataFrame, n_blocks: int, weigh
 
 def combined(leg: DataFrame, coefficients: DataFrame) -> DataFrame:
     """A leg's blocks added up with (triad_idx, b, a_re, a_im): the un-normalised mode (triad_idx, p, s, re, im)."""
-    both = leg.join(F.broadcast(coefficients), ["triad_idx", "b"])
+    both = leg.select("triad_idx", "p", "s", F.explode("x").alias("x")).select("triad_idx", "p", "s", "x.*").join(F.broadcast(coefficients), ["triad_idx", "b"])
     re = F.col("re") * F.col("a_re") - F.col("im") * F.col("a_im")
     im = F.col("re") * F.col("a_im") + F.col("im") * F.col("a_re")
     return both.groupBy("triad_idx", "p", "s").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
