@@ -55,6 +55,13 @@ def test_rows_without_or_with_repeated_ids_stay_if_texts_differ(spark):
     assert got == sorted([(None, "a"), (None, "b"), (None, "c c"), (None, ""), (5, "d"), (7, "e"), (7, "f"), (9, "g")], key=str)
 
 
+def test_blocks_of_long_texts(spark):
+    texts = ["ab€" * 1000, "", "x", "yz" * 256 * 2, "w" * (256 * 4 + 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, body string")
+    for r in df.select("i", exact_dedup._cut_up(F.col("body"), 4).alias("parts")).collect():
+        assert r.parts == ([texts[r.i][a : a + 4] for a in range(0, len(texts[r.i]), 4)] or [""])
+
+
 def test_exact_groups_of_nothing(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
 

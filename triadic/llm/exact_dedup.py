@@ -6,11 +6,10 @@ then names are paired with their right neighbours and the distinct pairs are sor
 until each document has one name. A name stands for one content, which hashes only choose the bucket of,
 so two documents have the same number of blocks and the same last name exactly when their texts are equal.
 
-Only documents that share their length and 64-bit hash with another row are named: for all others the
-pair of length and hash is an identity already, as equal texts have equal hashes. Each round of names is
+Every document is named. Each round of names is
 written to the shared folder, which fixes the integers and cuts the lineage. A round's names stand on
 distinct blocks, so thousands of copies add one row to a sort, and the way back to the documents is an
-equi-join whose hot keys adaptive execution splits.
+equi-join whose hot keys adaptive execution splits. Texts of any length are cut where they are read.
 
 Rows with null text count as the empty text. A null doc_id is compared as any value is and sorts last.
 Repeated rows are further members of their group; those that carry the smallest doc_id all stay in
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from triadic.llm.common import SPACES, bounded_broadcast, clean_text, cut, rows_of
 
-BLOCK_CHARS = 4096
+BLOCK_CHARS, STRETCH = 4096, 256
 
 
 def normalised(text):
@@ -45,15 +44,24 @@ def _sorted_names(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return cut(ordered.withColumn(name, F.monotonically_increasing_id()))
 
 
+def _cut_up(text, block_chars: int):
+    """A text's blocks, one at least. Long texts are first cut into stretches of STRETCH blocks, as finding a place in a text takes time in proportion to it."""
+
+    def parts(x, n):
+        count = F.greatest(F.lit(1), F.ceil(F.length(x) / F.lit(n))).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(x, i * n + 1, F.lit(n)))
+
+    return F.flatten(F.transform(parts(text, block_chars * STRETCH), lambda x: parts(x, block_chars)))
+
+
 def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(key, body) -> (key, blocks, name): one collision-free identity for each body. key must be unique."""
+    """(key, body) -> (key, blocks, name): one collision-free identity for each body; rows with one key must have one body."""
     size = F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(block_chars))).cast("int")
-    blocks = texts.select("key", size.alias("blocks"), F.explode(F.sequence(F.lit(0), size - 1)).alias("at"), "body").select(
-        "key", "blocks", "at", F.expr(f"substring(body, at * {block_chars} + 1, {block_chars})").alias("block")
-    )
-    blocks = cut(blocks)
-    names = _sorted_names(blocks, ["block"], "name")
-    level = cut(blocks.join(names, "block").select("key", "blocks", "at", "name"))
+    cut_up = texts.select("key", size.alias("blocks"), F.posexplode(_cut_up(F.col("body"), block_chars)).alias("at", "block"))
+    # The hash comes first in comparisons, as blocks often begin alike; equality is that of the blocks.
+    blocks = cut_up.select("key", "blocks", "at", F.xxhash64("block").alias("first"), "block")
+    names = _sorted_names(blocks, ["first", "block"], "name")
+    level = cut(blocks.join(names, ["first", "block"]).select("key", "blocks", "at", "name"))
     done, most = [level.where("blocks = 1").select("key", "blocks", "name")], level.agg(F.max("blocks")).first()[0] or 1
     level, width = level.where("blocks > 1"), 1
     while width < most:
@@ -80,14 +88,12 @@ def _groups(docs: DataFrame, block_chars: int) -> DataFrame:
     body = normalised(clean_text())
     facts = docs.select("doc_id", F.xxhash64("text").alias("mark"), body.alias("body"))
     facts = cut(facts.select("doc_id", "mark", F.xxhash64("body").alias("h"), F.length("body").alias("n"), F.sha2("body", 256).alias("text_sha256")))
-    shared = facts.groupBy("h", "n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "n")
-    shared = cut(shared)  # the join below then has two plain exchanges, and hot hashes can be split
-    texts = docs.select("doc_id", body.alias("body")).select("doc_id", "body", F.xxhash64("body").alias("h"), F.length("body").alias("n"))
-    texts = texts.join(shared, ["h", "n"], "left_semi").select(F.struct("doc_id", "h", "n").alias("key"), "body")
+    texts = docs.select("doc_id", body.alias("body")).select(F.struct("doc_id", F.xxhash64("body").alias("h"), F.length("body").alias("n")).alias("key"), "body")
+    # Rows of one doc_id and text have one key and one name.
     identity = named_identities(texts, block_chars).groupBy("key").agg(F.max("blocks").alias("blocks"), F.max("name").alias("name"))
     identity = identity.select(F.col("key.doc_id").alias("other_id"), F.col("key.h").alias("other_h"), F.col("key.n").alias("other_n"), "blocks", "name")
-    facts = facts.join(identity, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("h") == F.col("other_h")) & (F.col("n") == F.col("other_n")), "left")
-    one = F.struct("h", "n", F.coalesce("blocks", F.lit(-1)).alias("blocks"), F.coalesce("name", F.lit(-1)).alias("name"))
+    facts = facts.join(identity, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("h") == F.col("other_h")) & (F.col("n") == F.col("other_n")))
+    one = F.struct("blocks", "name")
     facts = cut(facts.select("doc_id", "mark", "text_sha256", one.alias("class")))
     groups = facts.groupBy("class").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     out = facts.join(cut(groups), "class")  # two plain exchanges, so that a hot class can be split
