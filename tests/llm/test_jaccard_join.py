@@ -82,6 +82,33 @@ def test_large_group_of_near_copies(spark):
     assert run(spark, rows, bucket_block=40, group_block=30) == brute(rows, 0.8)
 
 
+def test_chain_of_near_copies(spark, monkeypatch):
+    """Each text is near its neighbours only, so pairs that share a bucket are verified, not all."""
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(1500)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 150])) for i in range(200)] + [(300, " ".join(words[60:210])), (301, "else " * 9)]
+    seen = []
+    found = jj._sparse_pairs
+    monkeypatch.setattr(jj, "_sparse_pairs", lambda *a: seen.append(found(*a)) or seen[-1])
+    assert run(spark, rows, group_block=8) == brute(rows, 0.8)
+    assert seen[0] is not None and 397 <= seen[0][1].count() < 200 * 25 / 2
+
+
+def test_many_rows_without_id(spark):
+    rows = [(None, f"text number {i} " + " ".join(f"w{(i * 7 + k) % 997}" for k in range(12))) for i in range(5000)] + [(None, "the same words " * 10)] * 800
+    got = run(spark, rows)
+    assert len(got) == 5800 and sum(r[3] for r in got) >= 800 * 799
+
+
+def test_long_chains_and_stars_of_components(spark):
+    rng = random.Random(2)
+    order = list(range(3000))
+    rng.shuffle(order)
+    edges = list(zip(order, order[1:])) + [(5000, 5000 + i) for i in range(1, 2000)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).groupBy("component").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 3000), (5000, 2000)]
+
+
 def test_keep_one_and_nothing(spark):
     rows = corpus(3)
     df = spark.createDataFrame([(d, t, "s", 0, 1) for d, t in rows if d != 4 or t is None], DOCS)

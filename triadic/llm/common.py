@@ -54,6 +54,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_settings(df: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """df, and what is made of it, planned in a copy of its session that has other settings; the session itself stays as it is."""
+    spark = df.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    for name, value in settings.items():
+        own.conf().set(name, value)
+    return _in_session(df, own)
+
+
+def in_own_session(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df planned in the session of `like` again."""
+    return _in_session(df, like._jdf.sparkSession())
+
+
+def without_estimates(df: DataFrame) -> DataFrame:
+    """df, a checkpoint, as a table whose size the planner does not guess. A checkpoint keeps the guess of its plan, which is a product over joins, so in a loop its digits double with each round."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
+def _in_session(df: DataFrame, session) -> DataFrame:
+    dataset = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset
+    return DataFrame(dataset.ofRows(session, df._jdf.queryExecution().logical()), df.sparkSession)
+
+
 #: What is broadcast holds no more bytes than this, as counted from its values.
 MOST_BYTES = 32 << 20
 

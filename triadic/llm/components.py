@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import cut
+from triadic.llm.common import cut, without_estimates
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,16 +19,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     whether there are changes.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both)
+    both = without_estimates(cut(both))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component"))
-    labels = cut(labels)
+    labels = without_estimates(cut(labels))
     while True:
         offered = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("offer"))
         nearer = labels.join(offered, "node").select("node", "component", F.least("component", "offer").alias("mid"))
         hooked = nearer.select("node", "mid", F.col("component").alias("was")).unionByName(nearer.where("mid < component").select(F.col("component").alias("node"), "mid", F.lit(None).cast("long").alias("was")))
         hooked = hooked.groupBy("node").agg(F.min("mid").alias("mid"), F.max("was").alias("was"))
         jumped = hooked.join(labels.select(F.col("node").alias("mid"), F.col("component").alias("far")), "mid", "left")
-        jumped = cut(jumped.select("node", F.least("mid", F.coalesce("far", "mid")).alias("component"), "was"))
+        jumped = without_estimates(cut(jumped.select("node", F.least("mid", F.coalesce("far", "mid")).alias("component"), "was")))
         changed = jumped.where("component <> was").limit(1).count()
         labels = jumped.select("node", "component")
         if not changed:

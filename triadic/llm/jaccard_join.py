@@ -16,9 +16,11 @@ similarity of their sets is at least `threshold`.
 
 A bucket of n classes is compared from single members only until all are connected: every member
 outside the largest part is compared with all, so no connection is missed and near-copies cost n, not n
-squared. Large buckets and groups are cut into blocks, and pairs of blocks are tasks' units of bounded size;
-pairs are never rows. Counting the links of a group of n different texts takes n squared comparisons at the
-end, in block pairs, as intersections of incidence matrices.
+squared. Large buckets and groups are cut into blocks, and pairs of blocks are tasks' units of bounded size, in sets
+and in bytes; a very long text is hashed in pieces and its set is one member. Counting the links of a group of n texts that are
+near each other takes n squared comparisons at the end, in block pairs, as intersections of incidence matrices. In a
+large group whose members share few buckets, as a chain of near copies, pairs that share one are verified instead,
+where fewer sets travel that way; so pairs are rows only where they are fewer than members times blocks.
 
 Null text counts as empty. Texts without words have no n-grams: they are linked to nothing, and each is
 its own class and group. Repeated rows are copies like any others. A row with null doc_id takes part, and a
@@ -285,6 +287,45 @@ def _verify(threshold: float):
     return run
 
 
+def _verify_pairs(threshold: float):
+    """Rows (a, b, copies of both, hashes of both) -> (cid, links, root) for both of a pair that reaches the threshold."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b, of_a, of_b = (batch.column(k).to_numpy() for k in range(4))
+            hit = np.zeros(len(a), bool)
+            for r, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit[r] = both >= threshold * (len(x) + len(y) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a[hit], b[hit]]), pa.array(np.r_[of_b[hit], of_a[hit]]), pa.array(np.r_[a[hit], a[hit]])], ["cid", "links", "root"])
+
+    return run
+
+
+def _sparse_pairs(sizes: DataFrame, members: DataFrame, rows: DataFrame, bands: int) -> tuple[DataFrame, DataFrame] | None:
+    """Of groups of several blocks those in which fewer sets would travel by pairs that share a bucket than by pairs of blocks, as in a chain of near copies; and their pairs. None if there are none."""
+    big = sizes.where("cuts > 1")
+    if not big.limit(1).count():
+        return None
+    inside = members.select("cid", "comp").join(bounded_broadcast(big), "comp")
+    own = rows.join(inside, "cid")
+    shared = own.groupBy("comp", "sets", "cuts", "bucket").agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("comp", "sets", "cuts").agg(F.sum(F.col("m") * (F.col("m") - 1)).alias("met"))
+    # A pair is met once for each bucket that it shares. Pairs of numbers are narrow, so they are made wherever they take no more room than the sets.
+    maybe = cut(shared.where(F.col("met") < F.col("sets") * F.col("cuts") * F.lit(float(bands))).select("comp"))
+    if not maybe.limit(1).count():
+        return None
+    own = own.join(maybe, "comp", "left_semi").select("comp", "sets", "cuts", "bucket", "cid")
+    pairs = own.withColumnRenamed("cid", "cid_a").join(own.select("comp", "bucket", F.col("cid").alias("cid_b")), ["comp", "bucket"]).where("cid_a < cid_b")
+    pairs = cut(pairs.select("comp", "sets", "cuts", "cid_a", "cid_b").distinct())
+    sparse = cut(pairs.groupBy("comp", "sets", "cuts").agg(F.count(F.lit(1)).alias("pairs")).where("2 * pairs < cast(sets AS double) * cuts").select("comp"))
+    if not sparse.limit(1).count():
+        return None
+    return sparse, pairs.join(sparse, "comp", "left_semi").select("cid_a", "cid_b")
+
+
 def _rehash(shingle: int):
     """Rows with their text last -> the same columns with the sorted hashes of its set."""
 
@@ -359,7 +400,9 @@ def _near(docs: DataFrame, shingle: int, threshold: float, bands: int, rows_in_b
     pairs_of_sets = sizes.agg(F.sum(F.col("sets").cast("double") * F.col("sets"))).first()[0] or 0.0
     block_sets = min(group_block, max(LEAST_BLOCK, int((pairs_of_sets / (2 * parts)) ** 0.5)))
     cuts = F.greatest(F.ceil(F.col("sets") / F.lit(block_sets)), F.ceil(F.col("bytes") / F.lit(group_bytes)))
-    sizes = sizes.select("comp", F.least(F.col("sets"), cuts).cast("int").alias("cuts"))
+    sizes = sizes.select("comp", "sets", F.least(F.col("sets"), cuts).cast("int").alias("cuts"))
+    loose = _sparse_pairs(sizes, members, rows, bands)
+    sizes = sizes.drop("sets")
     wanted = members.join(sizes, "comp").drop("n")
     # One text speaks for its class; another of its doc_id and hash would be given away by its set. Rows that are repeated whole are looked at once.
     speaking = texts
@@ -368,8 +411,17 @@ def _near(docs: DataFrame, shingle: int, threshold: float, bands: int, rows_in_b
     spoken = speaking.join(wanted, F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("mark") == F.col("set_mark"))).select("cid", "comp", "cuts", "copies", "k1", "k2", "text")
     hashed = spoken.mapInArrow(_checked(_rehash(shingle)), "cid long, comp long, cuts int, copies long, k1 long, k2 long, hashes binary")
     block, pairs = _blocks(F.col("cuts"), "cid")
+    by_pair = None
+    if loose is not None:
+        sparse, asked = loose
+        own = cut(hashed.join(sparse, "comp", "left_semi").select("cid", "copies", "hashes"))
+        named = lambda side: own.toDF(*[f"{c}_{side}" for c in own.columns])
+        by_pair = asked.join(named("a"), "cid_a").join(named("b"), "cid_b").select("cid_a", "cid_b", "copies_a", "copies_b", "hashes_a", "hashes_b")
+        by_pair = by_pair.mapInArrow(_verify_pairs(threshold), "cid long, links long, root long")
+        hashed = hashed.join(sparse, "comp", "left_anti")
     units = hashed.select("comp", F.explode(pairs).alias("pair"), block.alias("block"), "cid", "copies", "hashes").select("comp", "pair.i", "pair.j", "block", "cid", "copies", "hashes")
-    verified = cut(_dealt(units, "comp", parts).mapInArrow(_verify(threshold), "cid long, links long, root long"))
+    verified = _dealt(units, "comp", parts).mapInArrow(_verify(threshold), "cid long, links long, root long")
+    verified = cut(verified if by_pair is None else verified.unionByName(by_pair))
     final = connected_components(verified.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.select("cid", "k1", "k2", "set_id", "set_mark", "copies").join(links, "cid", "left").join(final.withColumnRenamed("node", "cid"), "cid", "left")

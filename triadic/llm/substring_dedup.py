@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triadic.llm.common import bounded_broadcast, clean_text, cut, mix64, shared_dir, short_batches, slices_by_bytes, utf8_buffer
+from triadic.llm.common import bounded_broadcast, clean_text, cut, in_own_session, mix64, short_batches, slices_by_bytes, utf8_buffer, with_settings
 
 LENGTH, WINDOW, GRAM, PIECE = 400, 200, 16, 1 << 20
 #: Offsets in a cell after the first round, whose cells have `window`.
@@ -276,13 +276,7 @@ def _round(texts: DataFrame, cell: int, length: int, window: int, piece: int) ->
 
 def _kept_by_document(df: DataFrame) -> DataFrame:
     """A checkpoint of df that Spark still knows to be partitioned as df's plan is; an adaptive plan would not tell. It is planned in a session of its own, so the caller's settings stay as they are."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    plain = spark._jsparkSession.cloneSession()
-    plain.conf().set("spark.sql.adaptive.enabled", "false")
-    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
-    written = dataset.ofRows(plain, df._jdf.queryExecution().logical()).checkpoint(True)
-    return DataFrame(dataset.ofRows(spark._jsparkSession, written.queryExecution().logical()), spark)
+    return in_own_session(cut(with_settings(df, {"spark.sql.adaptive.enabled": "false"})), df)
 
 
 def _removed(texts: DataFrame, length: int, window: int, gram: int, piece: int, id_type: str) -> DataFrame:
