@@ -39,8 +39,9 @@ def test_naming_tells_apart_what_a_hash_would_not(spark):
     """All bodies are named, whatever their hashes: names are equal exactly when bodies are."""
     bodies = ["".join("ab"[(i >> k) & 1] * 3 for k in range(5)) for i in range(16)] * 2 + ["ab" * 20, "ab" * 20 + "a", ""]
     df = spark.createDataFrame(list(enumerate(bodies)), "key long, body string")
-    got = {r.key: (r.blocks, r["name"]) for r in exact_dedup.named_identities(df, block_chars=4).collect()}
-    assert len(got) == len(bodies)
+    plain = exact_dedup.named_identities(df, block_chars=4).collect()
+    got = {r.key: (r.blocks, r["name"]) for r in exact_dedup.named_identities(df, block_chars=4, frequent_rows=3).collect()}
+    assert len(got) == len(bodies) and len({(r.blocks, r["name"]) for r in plain}) == len(set(got.values()))
     for i, a in enumerate(bodies):
         for j, b in enumerate(bodies):
             assert (got[i] == got[j]) == (a == b)

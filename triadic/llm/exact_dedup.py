@@ -1,15 +1,17 @@
 """Exact duplicates by deterministic block naming.
 
-A normalised text is cut into blocks of a fixed number of characters. The distinct blocks are dealt to
-buckets, each bucket is sorted by content, and a block's integer name is its bucket and its place there;
+A normalised text is cut into blocks of a fixed number of characters. The blocks are dealt to
+buckets by hash, each bucket is sorted by content, and a block's integer name is its bucket and its rank there,
+equal blocks having one rank;
 then names are paired with their right neighbours and the distinct pairs are sorted and named in turn,
 until each document has one name. A name stands for one content, which hashes only choose the bucket of,
 so two documents have the same number of blocks and the same last name exactly when their texts are equal.
 
-Every document is named. Each round of names is
-written to the shared folder, which fixes the integers and cuts the lineage. A round's names stand on
-distinct blocks, so thousands of copies add one row to a sort, and the way back to the documents is an
-equi-join whose hot keys adaptive execution splits. Texts of any length are cut where they are read.
+Every document is named, and its text is shuffled once, to the sort. Blocks that come in more than FREQUENT rows
+would make a bucket hot; they are made distinct first (copies meet in partial aggregates), are ranked among
+themselves, under names below 0, and their rows get their names by a join. Each round of names is
+written to the shared folder, which cuts the lineage. Rounds of pairs stand on distinct pairs, and the way back to
+the documents is an equi-join whose hot keys adaptive execution splits. Texts of any length are cut where they are read.
 
 Rows with null text count as the empty text. A null doc_id is compared as any value is and sorts last.
 Repeated rows are further members of their group; those that carry the smallest doc_id all stay in
@@ -21,11 +23,12 @@ input other than doc_id and text are not read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triadic.llm.common import SPACES, bounded_broadcast, clean_text, cut, rows_of
 
-BLOCK_CHARS, STRETCH = 4096, 256
+BLOCK_CHARS, STRETCH, FREQUENT, BUCKET_CHARS = 4096, 256, 1000, 1 << 22
 
 
 def normalised(text):
@@ -35,11 +38,7 @@ def normalised(text):
 
 
 def _sorted_names(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The distinct rows of these columns, with the number of their partition and their place in its sorted order as one integer.
-
-    A sort over all partitions would need a sample of whole blocks on the driver; the partitions of the
-    distinct rows do as well, since names need an order within each only.
-    """
+    """The distinct rows of these columns, with the number of their partition and their place in its sorted order as one integer."""
     ordered = df.select(*columns).distinct().sortWithinPartitions(*columns)
     return cut(ordered.withColumn(name, F.monotonically_increasing_id()))
 
@@ -54,14 +53,27 @@ def _cut_up(text, block_chars: int):
     return F.flatten(F.transform(parts(text, block_chars * STRETCH), lambda x: parts(x, block_chars)))
 
 
-def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS, frequent_rows: int = FREQUENT) -> DataFrame:
     """(key, body) -> (key, blocks, name): one collision-free identity for each body; rows with one key must have one body."""
     size = F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(block_chars))).cast("int")
     cut_up = texts.select("key", size.alias("blocks"), F.posexplode(_cut_up(F.col("body"), block_chars)).alias("at", "block"))
     # The hash comes first in comparisons, as blocks often begin alike; equality is that of the blocks.
     blocks = cut_up.select("key", "blocks", "at", F.xxhash64("block").alias("first"), "block")
-    names = _sorted_names(blocks, ["first", "block"], "name")
-    level = cut(blocks.join(names, ["first", "block"]).select("key", "blocks", "at", "name"))
+    counts = blocks.groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
+    frequent = cut(counts.where(F.col("rows") > frequent_rows).select("first"))
+    buckets = max(1, (texts.agg(F.sum(F.length("body"))).first()[0] or 0) // BUCKET_CHARS)
+    bucket = F.pmod("first", F.lit(buckets))
+    place = F.dense_rank().over(W.partitionBy("bucket").orderBy("first", "block")).cast("long")
+    ranked = lambda df, sign: df.withColumn("bucket", bucket).withColumn("name", (F.col("bucket") * (1 << 31) + place) * sign)
+    narrow = ["key", "blocks", "at", "name"]
+    level = blocks
+    if some := frequent.limit(1).count():
+        few = bounded_broadcast(frequent)
+        often, level = blocks.join(few, "first", "left_semi"), blocks.join(few, "first", "left_anti")
+        names = cut(ranked(often.select("first", "block").distinct(), -1).select("first", "block", "name"))
+        often = often.join(bounded_broadcast(names), ["first", "block"]).select(narrow)
+    level = ranked(level, 1).select(narrow)
+    level = cut(level.unionByName(often) if some else level)
     done, most = [level.where("blocks = 1").select("key", "blocks", "name")], level.agg(F.max("blocks")).first()[0] or 1
     level, width = level.where("blocks > 1"), 1
     while width < most:
