@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from triadic.llm.common import SPACES, bounded_broadcast, clean_text, cut, rows_of
 
-BLOCK_CHARS, STRETCH, FREQUENT, BUCKET_CHARS = 4096, 256, 1000, 1 << 22
+BLOCK_CHARS, STRETCH, FREQUENT, BUCKET_CHARS = 4096, 256, 1000, 1 << 18
 
 
 def normalised(text):
@@ -53,27 +53,24 @@ def _cut_up(text, block_chars: int):
     return F.flatten(F.transform(parts(text, block_chars * STRETCH), lambda x: parts(x, block_chars)))
 
 
-def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS, frequent_rows: int = FREQUENT) -> DataFrame:
-    """(key, body) -> (key, blocks, name): one collision-free identity for each body; rows with one key must have one body."""
+def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS, buckets: int = 1, frequent: DataFrame | None = None) -> DataFrame:
+    """(key, body) -> (key, blocks, name): one collision-free identity for each body; rows with one key must have one body. frequent: (first) hashes of blocks that come in very many rows."""
     size = F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(block_chars))).cast("int")
     cut_up = texts.select("key", size.alias("blocks"), F.posexplode(_cut_up(F.col("body"), block_chars)).alias("at", "block"))
     # The hash comes first in comparisons, as blocks often begin alike; equality is that of the blocks.
     blocks = cut_up.select("key", "blocks", "at", F.xxhash64("block").alias("first"), "block")
-    counts = blocks.groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
-    frequent = cut(counts.where(F.col("rows") > frequent_rows).select("first"))
-    buckets = max(1, (texts.agg(F.sum(F.length("body"))).first()[0] or 0) // BUCKET_CHARS)
     bucket = F.pmod("first", F.lit(buckets))
     place = F.dense_rank().over(W.partitionBy("bucket").orderBy("first", "block")).cast("long")
     ranked = lambda df, sign: df.withColumn("bucket", bucket).withColumn("name", (F.col("bucket") * (1 << 31) + place) * sign)
     narrow = ["key", "blocks", "at", "name"]
     level = blocks
-    if some := frequent.limit(1).count():
+    if frequent is not None:
         few = bounded_broadcast(frequent)
         often, level = blocks.join(few, "first", "left_semi"), blocks.join(few, "first", "left_anti")
         names = cut(ranked(often.select("first", "block").distinct(), -1).select("first", "block", "name"))
         often = often.join(bounded_broadcast(names), ["first", "block"]).select(narrow)
     level = ranked(level, 1).select(narrow)
-    level = cut(level.unionByName(often) if some else level)
+    level = cut(level if frequent is None else level.unionByName(often))
     done, most = [level.where("blocks = 1").select("key", "blocks", "name")], level.agg(F.max("blocks")).first()[0] or 1
     level, width = level.where("blocks > 1"), 1
     while width < most:
@@ -95,14 +92,17 @@ def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS, frequent_
     return out
 
 
-def _groups(docs: DataFrame, block_chars: int) -> DataFrame:
+def _groups(docs: DataFrame, block_chars: int, frequent_rows: int = FREQUENT) -> DataFrame:
     """exact_groups with mark, a hash of the text as it stands."""
     body = normalised(clean_text())
     facts = docs.select("doc_id", F.xxhash64("text").alias("mark"), body.alias("body"))
-    facts = cut(facts.select("doc_id", "mark", F.xxhash64("body").alias("h"), F.length("body").alias("n"), F.sha2("body", 256).alias("text_sha256")))
+    facts = cut(facts.select("doc_id", "mark", F.xxhash64("body").alias("h"), F.length("body").alias("n"), F.sha2("body", 256).alias("text_sha256"), F.transform(_cut_up(F.col("body"), block_chars), lambda b: F.xxhash64(b)).alias("firsts")))
     texts = docs.select("doc_id", body.alias("body")).select(F.struct("doc_id", F.xxhash64("body").alias("h"), F.length("body").alias("n")).alias("key"), "body")
     # Rows of one doc_id and text have one key and one name.
-    identity = named_identities(texts, block_chars).groupBy("key").agg(F.max("blocks").alias("blocks"), F.max("name").alias("name"))
+    counts = facts.select(F.explode("firsts").alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
+    frequent = cut(counts.where(F.col("rows") > frequent_rows).select("first"))
+    buckets = max(1, (facts.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // BUCKET_CHARS)
+    identity = named_identities(texts, block_chars, buckets, frequent if frequent.limit(1).count() else None).groupBy("key").agg(F.max("blocks").alias("blocks"), F.max("name").alias("name"))
     identity = identity.select(F.col("key.doc_id").alias("other_id"), F.col("key.h").alias("other_h"), F.col("key.n").alias("other_n"), "blocks", "name")
     facts = facts.join(identity, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("h") == F.col("other_h")) & (F.col("n") == F.col("other_n")))
     one = F.struct("blocks", "name")
@@ -112,9 +112,9 @@ def _groups(docs: DataFrame, block_chars: int) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "mark")
 
 
-def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS, frequent_rows: int = FREQUENT) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    return _groups(docs, block_chars).drop("mark")
+    return _groups(docs, block_chars, frequent_rows).drop("mark")
 
 
 def drop_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
