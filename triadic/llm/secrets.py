@@ -24,7 +24,6 @@ repeats and walks keep only the starts that can still be the cheapest, and value
 from __future__ import annotations
 
 import base64
-import hashlib
 import math
 import re
 
@@ -265,10 +264,6 @@ def guessed_spans(text: str, low: str | None = None, min_log10: float = MIN_LOG1
     return found
 
 
-def joined(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
-
-
 def find_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, words=COMMON_WORDS, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end; end exclusive, in code points) for each row of docs. Known words are `words`, then those of the vocabulary file, which the driver reads."""
     shipped = docs.sparkSession.sparkContext.broadcast(ranks([*words, *(vocabulary_words(vocabulary) if vocabulary else ())]))  # a vocabulary's words
@@ -330,8 +325,3 @@ SELECT t.doc_id, count(b.a) FILTER (kind = 0) AS n_assign, count(b.a) FILTER (ki
     sha256(coalesce(string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind), '')) AS base_sha256
 FROM t LEFT JOIN b ON b.doc_id = t.doc_id GROUP BY t.doc_id
 """
-
-
-def digest(text: str | None) -> str:
-    """base_sha256 of one text, in plain Python."""
-    return hashlib.sha256(joined(base_spans(text or "")).encode()).hexdigest()
