@@ -404,6 +404,12 @@ class FitResult:
             raise ValueError("modes are not kept; set store_modes, or ask for some with modes_of or get_modes_at_triad")
         return self.modes_of().persist()
 
+    def forget(self) -> None:
+        """Gives back what Spark keeps of this fit."""
+        self.bispectrum.unpersist()
+        if "modes" in self.__dict__:
+            self.__dict__.pop("modes").unpersist()
+
     def modes_of(self, triad_idx=None) -> DataFrame:
         """(triad_idx, comp, p, s, re, im): comp 0 sum, 1 product, 2 and 3 the constituents. triad_idx: a number, numbers, a table of them, or None for all."""
         if self.field is None:
@@ -475,8 +481,8 @@ def resolved_weights(weights, spark, nx: int, nv: int | None, xshape: tuple[int,
     return None, "uniform"
 
 
-def fit(field: DataFrame, config: FitConfig, weights=None, xshape: tuple[int, ...] | None = None) -> FitResult:
-    """Decomposes a dense field (t, p, v, value). weights: (p, w), or (p, v, w) for a variable with itself; None: all 1. xshape: the grid of the points, if there is one."""
+def fit(field: DataFrame, config: FitConfig, weights=None, xshape: tuple[int, ...] | None = None, keep: bool = True) -> FitResult:
+    """Decomposes a dense field (t, p, v, value). weights: (p, w), or (p, v, w) for a variable with itself; None: all 1. xshape: the grid of the points, if there is one. keep: Spark keeps the solved triads, a row each, once they are made, so that rankings, grids and modes do not solve them again; forget() gives them back."""
     began = time.perf_counter()
     nt, nx, nv = spectra.check_field(field)
     LOG.info("field checked in %.2f s", time.perf_counter() - began)
@@ -504,7 +510,7 @@ def fit(field: DataFrame, config: FitConfig, weights=None, xshape: tuple[int, ..
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # fixed: the solver is work for processors, whatever the bytes
     ordered = parts.repartition(n, "triad_idx").sortWithinPartitions("triad_idx", "chunk")
     solved = ordered.mapInArrow(_solve(config, table, n_blocks), _SOLVED)
-    result = FitResult(config, (nt, nx, nv), solved, field, None, weights, name, xshape)
+    result = FitResult(config, (nt, nx, nv), solved.persist() if keep else solved, field, None, weights, name, xshape)
     for what, value in result.report().items():
         LOG.info("%s: %s", what, value)
     return result
