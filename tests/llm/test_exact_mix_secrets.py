@@ -27,8 +27,8 @@ def test_exact_groups_match_brute_force(spark):
     for i, t, _ in rows:
         groups[norm(t)].append(i)
     want = sorted((i, min(groups[norm(t)]), len(groups[norm(t)]), i == min(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t, _ in rows)
-    for block, often in ((1000, 2), (4096, 1000)):
-        got = exact_dedup.exact_groups(frame(spark, rows), block, often)
+    for block in (1000, 4096):
+        got = exact_dedup.exact_groups(frame(spark, rows), block_chars=block)
         assert sorted(map(tuple, got.collect())) == want
     kept = exact_dedup.drop_copies(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
@@ -39,10 +39,8 @@ def test_naming_tells_apart_what_a_hash_would_not(spark):
     """All bodies are named, whatever their hashes: names are equal exactly when bodies are."""
     bodies = ["".join("ab"[(i >> k) & 1] * 3 for k in range(5)) for i in range(16)] * 2 + ["ab" * 20, "ab" * 20 + "a", ""]
     df = spark.createDataFrame(list(enumerate(bodies)), "key long, body string")
-    often = df.select(F.explode(exact_dedup._cut_up(F.col("body"), 4)).alias("b")).select(F.xxhash64("b").alias("first")).groupBy("first").count().where("count > 3").select("first")
-    plain = exact_dedup.named_identities(df, block_chars=4).collect()
-    got = {r.key: (r.blocks, r["name"]) for r in exact_dedup.named_identities(df, 4, 5, often).collect()}
-    assert len(got) == len(bodies) and len({(r.blocks, r["name"]) for r in plain}) == len(set(got.values())) and often.count() > 0
+    got = {r.key: (r.blocks, r["name"]) for r in exact_dedup.named_identities(df, block_chars=4).collect()}
+    assert len(got) == len(bodies)
     for i, a in enumerate(bodies):
         for j, b in enumerate(bodies):
             assert (got[i] == got[j]) == (a == b)
@@ -59,9 +57,14 @@ def test_rows_without_or_with_repeated_ids_stay_if_texts_differ(spark):
 
 def test_blocks_of_long_texts(spark):
     texts = ["ab€" * 1000, "", "x", "yz" * 256 * 2, "w" * (256 * 4 + 1)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i long, body string")
-    for r in df.select("i", exact_dedup._cut_up(F.col("body"), 4).alias("parts")).collect():
-        assert r.parts == ([texts[r.i][a : a + 4] for a in range(0, len(texts[r.i]), 4)] or [""])
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, body string")
+    got = defaultdict(list)
+    for r in sorted(exact_dedup._cut_up(df, 4).collect(), key=lambda r: (r.key, r["at"])):
+        assert r["at"] == len(got[r.key])
+        got[r.key].append(r.block)
+        assert r.blocks == max(1, -(-len(texts[r.key]) // 4))
+    for i, t in enumerate(texts):
+        assert got[i] == ([t[a : a + 4] for a in range(0, len(t), 4)] or [""])
 
 
 def test_exact_groups_of_nothing(spark):

@@ -1,17 +1,17 @@
 """Exact duplicates by deterministic block naming.
 
-A normalised text is cut into blocks of a fixed number of characters. The blocks are dealt to
-buckets by hash, each bucket is sorted by content, and a block's integer name is its bucket and its rank there,
-equal blocks having one rank;
+A normalised text is cut into blocks of a fixed number of characters. The distinct blocks are dealt to
+buckets, each bucket is sorted by content, and a block's integer name is its bucket and its place there;
 then names are paired with their right neighbours and the distinct pairs are sorted and named in turn,
 until each document has one name. A name stands for one content, which hashes only choose the bucket of,
 so two documents have the same number of blocks and the same last name exactly when their texts are equal.
 
-Every document is named, and its text is shuffled once, to the sort. Blocks that come in more than FREQUENT rows
-would make a bucket hot; they are made distinct first (copies meet in partial aggregates), are ranked among
-themselves, under names below 0, and their rows get their names by a join. Each round of names is
-written to the shared folder, which cuts the lineage. Rounds of pairs stand on distinct pairs, and the way back to
-the documents is an equi-join whose hot keys adaptive execution splits. Texts of any length are cut where they are read.
+Only documents that share their length and 64-bit hash with another row are named: for all others the
+pair of length and hash is an identity already, as equal texts have equal hashes, so no collision can join two of
+them (what naming all costs is in the README). Each round of names is
+written to the shared folder, which fixes the integers and cuts the lineage. A round's names stand on
+distinct blocks, so thousands of copies add one row to a sort, and the way back to the documents is an
+equi-join whose hot keys adaptive execution splits.
 
 Rows with null text count as the empty text. A null doc_id is compared as any value is and sorts last.
 Repeated rows are further members of their group; those that carry the smallest doc_id all stay in
@@ -23,12 +23,11 @@ input other than doc_id and text are not read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triadic.llm.common import SPACES, bounded_broadcast, clean_text, cut, rows_of
 
-BLOCK_CHARS, STRETCH, FREQUENT, BUCKET_CHARS = 4096, 256, 1000, 1 << 18
+BLOCK_CHARS, STRETCH = 4096, 256
 
 
 def normalised(text):
@@ -38,39 +37,31 @@ def normalised(text):
 
 
 def _sorted_names(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The distinct rows of these columns, with the number of their partition and their place in its sorted order as one integer."""
+    """The distinct rows of these columns, with the number of their partition and their place in its sorted order as one integer.
+
+    A sort over all partitions would need a sample of whole blocks on the driver; the partitions of the
+    distinct rows do as well, since names need an order within each only.
+    """
     ordered = df.select(*columns).distinct().sortWithinPartitions(*columns)
     return cut(ordered.withColumn(name, F.monotonically_increasing_id()))
 
 
-def _cut_up(text, block_chars: int):
-    """A text's blocks, one at least. Long texts are first cut into stretches of STRETCH blocks, as finding a place in a text takes time in proportion to it."""
-
-    def parts(x, n):
-        count = F.greatest(F.lit(1), F.ceil(F.length(x) / F.lit(n))).cast("int")
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(x, i * n + 1, F.lit(n)))
-
-    return F.flatten(F.transform(parts(text, block_chars * STRETCH), lambda x: parts(x, block_chars)))
-
-
-def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS, buckets: int = 1, frequent: DataFrame | None = None) -> DataFrame:
-    """(key, body) -> (key, blocks, name): one collision-free identity for each body; rows with one key must have one body. frequent: (first) hashes of blocks that come in very many rows."""
-    size = F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(block_chars))).cast("int")
-    cut_up = texts.select("key", size.alias("blocks"), F.posexplode(_cut_up(F.col("body"), block_chars)).alias("at", "block"))
-    # The hash comes first in comparisons, as blocks often begin alike; equality is that of the blocks.
-    blocks = cut_up.select("key", "blocks", "at", F.xxhash64("block").alias("first"), "block")
-    bucket = F.pmod("first", F.lit(buckets))
-    place = F.dense_rank().over(W.partitionBy("bucket").orderBy("first", "block")).cast("long")
-    ranked = lambda df, sign: df.withColumn("bucket", bucket).withColumn("name", (F.col("bucket") * (1 << 31) + place) * sign)
-    narrow = ["key", "blocks", "at", "name"]
-    level = blocks
-    if frequent is not None:
-        few = bounded_broadcast(frequent)
-        often, level = blocks.join(few, "first", "left_semi"), blocks.join(few, "first", "left_anti")
-        names = cut(ranked(often.select("first", "block").distinct(), -1).select("first", "block", "name"))
-        often = often.join(bounded_broadcast(names), ["first", "block"]).select(narrow)
-    level = ranked(level, 1).select(narrow)
-    level = cut(level if frequent is None else level.unionByName(often))
+def _cut_up(texts: DataFrame, block_chars: int) -> DataFrame:
+    """(key, body) -> (key, blocks, at, block), a row for each block, one at least. Texts are first cut into stretches of STRETCH blocks, as a row with a long text is copied for each part of it."""
+    blocks = lambda text, n: F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(n))).cast("int")
+    part = lambda text, at, n: F.expr(f"substring({text}, {at} * {n} + 1, {n})")
+    numbered = lambda text, n: F.explode(F.sequence(F.lit(0), blocks(text, n) - 1))
+    long = block_chars * STRETCH
+    stretches = texts.select("key", blocks("body", block_chars).alias("blocks"), numbered("body", long).alias("st"), "body").select("key", "blocks", "st", part("body", "st", long).alias("body"))
+    cut_up = stretches.select("key", "blocks", "st", numbered("body", block_chars).alias("i"), "body")
+    return cut_up.select("key", "blocks", (F.col("st") * STRETCH + F.col("i")).alias("at"), part("body", "i", block_chars).alias("block"))
+
+
+def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, body) -> (key, blocks, name): one collision-free identity for each body. key must be unique."""
+    blocks = cut(_cut_up(texts, block_chars))
+    names = _sorted_names(blocks, ["block"], "name")
+    level = cut(blocks.join(names, "block").select("key", "blocks", "at", "name"))
     done, most = [level.where("blocks = 1").select("key", "blocks", "name")], level.agg(F.max("blocks")).first()[0] or 1
     level, width = level.where("blocks > 1"), 1
     while width < most:
@@ -92,29 +83,28 @@ def named_identities(texts: DataFrame, block_chars: int = BLOCK_CHARS, buckets:
     return out
 
 
-def _groups(docs: DataFrame, block_chars: int, frequent_rows: int = FREQUENT) -> DataFrame:
+def _groups(docs: DataFrame, block_chars: int) -> DataFrame:
     """exact_groups with mark, a hash of the text as it stands."""
     body = normalised(clean_text())
     facts = docs.select("doc_id", F.xxhash64("text").alias("mark"), body.alias("body"))
-    facts = cut(facts.select("doc_id", "mark", F.xxhash64("body").alias("h"), F.length("body").alias("n"), F.sha2("body", 256).alias("text_sha256"), F.transform(_cut_up(F.col("body"), block_chars), lambda b: F.xxhash64(b)).alias("firsts")))
-    texts = docs.select("doc_id", body.alias("body")).select(F.struct("doc_id", F.xxhash64("body").alias("h"), F.length("body").alias("n")).alias("key"), "body")
-    # Rows of one doc_id and text have one key and one name.
-    counts = facts.select(F.explode("firsts").alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
-    frequent = cut(counts.where(F.col("rows") > frequent_rows).select("first"))
-    buckets = max(1, (facts.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // BUCKET_CHARS)
-    identity = named_identities(texts, block_chars, buckets, frequent if frequent.limit(1).count() else None).groupBy("key").agg(F.max("blocks").alias("blocks"), F.max("name").alias("name"))
+    facts = cut(facts.select("doc_id", "mark", F.xxhash64("body").alias("h"), F.length("body").alias("n"), F.sha2("body", 256).alias("text_sha256")))
+    shared = facts.groupBy("h", "n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "n")
+    shared = cut(shared)  # the join below then has two plain exchanges, and hot hashes can be split
+    texts = docs.select("doc_id", body.alias("body")).select("doc_id", "body", F.xxhash64("body").alias("h"), F.length("body").alias("n"))
+    texts = texts.join(shared, ["h", "n"], "left_semi").select(F.struct("doc_id", "h", "n").alias("key"), "body")
+    identity = named_identities(texts, block_chars).groupBy("key").agg(F.max("blocks").alias("blocks"), F.max("name").alias("name"))
     identity = identity.select(F.col("key.doc_id").alias("other_id"), F.col("key.h").alias("other_h"), F.col("key.n").alias("other_n"), "blocks", "name")
-    facts = facts.join(identity, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("h") == F.col("other_h")) & (F.col("n") == F.col("other_n")))
-    one = F.struct("blocks", "name")
+    facts = facts.join(identity, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("h") == F.col("other_h")) & (F.col("n") == F.col("other_n")), "left")
+    one = F.struct("h", "n", F.coalesce("blocks", F.lit(-1)).alias("blocks"), F.coalesce("name", F.lit(-1)).alias("name"))
     facts = cut(facts.select("doc_id", "mark", "text_sha256", one.alias("class")))
     groups = facts.groupBy("class").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     out = facts.join(cut(groups), "class")  # two plain exchanges, so that a hot class can be split
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "mark")
 
 
-def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS, frequent_rows: int = FREQUENT) -> DataFrame:
+def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    return _groups(docs, block_chars, frequent_rows).drop("mark")
+    return _groups(docs, block_chars).drop("mark")
 
 
 def drop_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
