@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from dataclasses import replace
 
 import numpy as np
@@ -31,7 +32,24 @@ def _folder(spark) -> str:
     """A new folder that executors share with the driver: in local mode any, else beside the checkpoints."""
     if spark.sparkContext._jsc.sc().isLocal():
         return tempfile.mkdtemp(prefix="triadic-results-")
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/results-{spark.sparkContext.applicationId}"
+    return _shared_folder(spark)
+
+
+def _shared_folder(spark) -> str:
+    """A new folder, which is there, in spark.checkpoint.dir."""
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/results-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    return path
+
+
+def _put(spark, path: str, write) -> None:
+    """A file that write(path) makes on the driver's disk, copied to path by the file system that path names."""
+    with tempfile.TemporaryDirectory(prefix="triadic-file-") as own:
+        made = f"{own}/{path.rsplit('/', 1)[1]}"
+        write(made)
+        name = spark._jvm.org.apache.hadoop.fs.Path
+        name(path).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(name(f"file://{made}"), name(path))
 
 
 def _daily_array(spark, d) -> np.ndarray:
@@ -46,10 +64,10 @@ def _daily_array(spark, d) -> np.ndarray:
 @query("arrays_from_files", f"WITH f AS ({C.DAILY}), n AS (SELECT max(t) + 1 AS nt FROM f) SELECT t + i * nt AS t, p, v, round(value, 8) + 0.0 AS value FROM f, n, range(4) r(i)")
 def arrays_from_files(spark, d):
     """An array, a dictionary with one, and files of three kinds, one after the other in time."""
-    a, folder = _daily_array(spark, d), tempfile.mkdtemp(prefix="triadic-arrays-")
-    np.save(f"{folder}/a.npy", a)
-    np.savez(f"{folder}/b.npz", x=a, dt=0.5)
-    matfile.write_mat(f"{folder}/c.mat", {"x": a}, True)
+    a, folder = _daily_array(spark, d), _folder(spark)
+    _put(spark, f"{folder}/a.npy", lambda path: np.save(path, a))
+    _put(spark, f"{folder}/b.npz", lambda path: np.savez(path, x=a, dt=0.5))
+    _put(spark, f"{folder}/c.mat", lambda path: matfile.write_mat(path, {"x": a}, True))
     field = arrays.load(spark, [f"{folder}/a.npy", f"{folder}/b.npz", f"{folder}/c.mat", {"x": a, "dt": 0.5}])
     return rounded(field.select("t", "p", "v", "value"), "value", digits=8)
 
@@ -62,8 +80,8 @@ def array_of_grid_and_variables(spark, d):
 
 @query("matfield_source", f"SELECT t, p AS i, round(value, 8) + 0.0 AS value FROM ({C.DAILY})")
 def matfield_source(spark, d):
-    folder = _folder(spark)
-    matfile.write_mat(f"{folder}/x.mat", {"x": _daily_array(spark, d)})
+    folder, a = _folder(spark), _daily_array(spark, d)
+    _put(spark, f"{folder}/x.mat", lambda path: matfile.write_mat(path, {"x": a}))
     matfile.register(spark)
     return rounded(spark.read.format("matfield").option("variable", "x").load(f"{folder}/x.mat"), "value", digits=8)
 

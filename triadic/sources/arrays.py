@@ -91,9 +91,10 @@ def read_array(path: str) -> np.ndarray:
     """.npy, .npz and .mat files."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "npy":
-        return np.load(path, allow_pickle=False)
+        with matfile.opened(path) as f:
+            return np.load(f, allow_pickle=False)
     if kind == "npz":
-        with np.load(path, allow_pickle=False) as f:
+        with matfile.opened(path) as raw, np.load(raw, allow_pickle=False) as f:
             return the_array(dict(f))
     if kind == "mat":
         return the_array(read_mat(path))
@@ -112,7 +113,7 @@ def load(spark: SparkSession, data, n_space_dims: int = 1, n_variables: int = 1)
 
 
 def _is_hdf5(path: str) -> bool:
-    with open(path, "rb") as f:
+    with matfile.opened(path) as f:
         return b"\x89HDF" in f.read(1024)
 
 
