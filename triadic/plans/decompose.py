@@ -13,7 +13,7 @@ triads are made from a second pass over the chunks, with the coefficients as row
 
 What a task holds: a chunk's series and half spectrum (chunk_values numbers, 8 bytes each, and about four times that),
 and a batch of triads (BATCH_BYTES). A point's whole series must fit into a task, as the matrices of a triad need all
-blocks of a point.
+blocks of a point. Fields with many more blocks than series are solved without matrices of blocks (triadic.plans.tall).
 """
 
 from __future__ import annotations
@@ -325,9 +325,9 @@ def _modes(config: FitConfig, nt: int, nv: int, slices: int):
 class FitResult:
     """A fit: its spectrum as a table, and modes on request."""
 
-    def __init__(self, config: FitConfig, shape: tuple[int, int, int], bispectrum: DataFrame, field: DataFrame | None = None, path: str | None = None, weights: DataFrame | None = None, weights_name: str = "uniform", xshape: tuple[int, ...] | None = None):
+    def __init__(self, config: FitConfig, shape: tuple[int, int, int], bispectrum: DataFrame, field: DataFrame | None = None, path: str | None = None, weights: DataFrame | None = None, weights_name: str = "uniform", xshape: tuple[int, ...] | None = None, inner: tuple[DataFrame, ...] = ()):
         self.config, self.bispectrum, self.field, self.path = config, bispectrum, field, path
-        self.weights, self.weights_name = weights, weights_name
+        self.weights, self.weights_name, self.inner = weights, weights_name, inner
         self.nt, self.nx, self.nv = shape
         self.xshape = tuple(xshape or (self.nx,))
         if int(np.prod(self.xshape)) != self.nx:
@@ -406,7 +406,8 @@ class FitResult:
 
     def forget(self) -> None:
         """Gives back what Spark keeps of this fit."""
-        self.bispectrum.unpersist()
+        for kept in (self.bispectrum, *self.inner):
+            kept.unpersist()
         if "modes" in self.__dict__:
             self.__dict__.pop("modes").unpersist()
 
@@ -483,6 +484,8 @@ def resolved_weights(weights, spark, nx: int, nv: int | None, xshape: tuple[int,
 
 def fit(field: DataFrame, config: FitConfig, weights=None, xshape: tuple[int, ...] | None = None, keep: bool = True) -> FitResult:
     """Decomposes a dense field (t, p, v, value). weights: (p, w), or (p, v, w) for a variable with itself; None: all 1. xshape: the grid of the points, if there is one. keep: Spark keeps the solved triads, a row each, once they are made, so that rankings, grids and modes do not solve them again; forget() gives them back."""
+    from triadic.plans import tall
+
     began = time.perf_counter()
     nt, nx, nv = spectra.check_field(field)
     LOG.info("field checked in %.2f s", time.perf_counter() - began)
@@ -505,12 +508,18 @@ def fit(field: DataFrame, config: FitConfig, weights=None, xshape: tuple[int, ..
         by_variable = "v" in weights.columns and config.state_idx is None
         own = weights.select(F.col("p").cast("long").alias("p"), *([F.col("v").cast("int").alias("v")] if by_variable else []), F.col("w").cast("double").alias("w"))
         rows = rows.unionByName(own.mapInArrow(_pack_weights(points, by_variable), _PACKED))
+    if tall.applies(config, nt, nx):
+        solved, inner = tall.solve(rows, config, table, (nt, nx, nv), weights is not None, keep)
+        return _reported(FitResult(config, (nt, nx, nv), solved.persist() if keep else solved, field, None, weights, name, xshape, (inner,)))
     at = rows.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.col("chunk") * slices + s))).drop("chunk")
     parts = at.repartitionById(n_chunks * slices, "at").groupBy("at").applyInArrow(_partials(config, table, nt, nv, slices, weights is not None), _PART)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # fixed: the solver is work for processors, whatever the bytes
     ordered = parts.repartition(n, "triad_idx").sortWithinPartitions("triad_idx", "chunk")
     solved = ordered.mapInArrow(_solve(config, table, n_blocks), _SOLVED)
-    result = FitResult(config, (nt, nx, nv), solved.persist() if keep else solved, field, None, weights, name, xshape)
+    return _reported(FitResult(config, (nt, nx, nv), solved.persist() if keep else solved, field, None, weights, name, xshape))
+
+
+def _reported(result: FitResult) -> FitResult:
     for what, value in result.report().items():
         LOG.info("%s: %s", what, value)
     return result
