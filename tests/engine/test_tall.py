@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from test_fit import DATA, W, plain, rows_of
@@ -66,3 +68,25 @@ def test_long_records_make_no_matrix_of_blocks(spark):
     config = FitConfig(n_dft=8, time_step=1.0, n_overlap=4, max_freq_idx=1)
     got = rows_of(fit(arrays.from_array(spark, rng.standard_normal((80_004, 2))), config))
     assert len(got) == 4 and all(len(r.a_re) == 20_000 and r.l_abs > 0 for r in got)
+
+
+@pytest.mark.parametrize("name", ["embedding_radius_few_blocks"])
+def test_queries_on_many_vectors(spark, monkeypatch, tmp_path, name):
+    """14,000 vectors have more blocks than series: no matrix of blocks, and the same rows as from these."""
+    import __spark_entry__ as entry
+    from triadic.plans import decompose
+
+    x = np.random.default_rng(7).standard_normal((14_000, 64)).astype(np.float32)
+    x += np.cos(0.05 * np.arange(14_000))[:, None] + np.cos(0.1 * np.arange(14_000))[:, None]
+    table = pa.table({"vec_id": np.arange(14_000), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": np.zeros(14_000, np.int32)})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    run = lambda: sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
+    want = run()
+
+    def refused(*_):
+        raise AssertionError("matrices of blocks")
+
+    monkeypatch.setattr(tall, "MOST_BLOCKS", 100)
+    monkeypatch.setattr(decompose, "_partials", refused)
+    got = run()
+    assert len(got) == len(want) and all(a == pytest.approx(b, rel=1e-5, abs=2e-6) for a, b in zip(got, want))
