@@ -70,7 +70,7 @@ def test_long_records_make_no_matrix_of_blocks(spark):
     assert len(got) == 4 and all(len(r.a_re) == 20_000 and r.l_abs > 0 for r in got)
 
 
-@pytest.mark.parametrize("name", ["embedding_radius_few_blocks", "worked_cascade"])
+@pytest.mark.parametrize("name", ["embedding_radius_few_blocks", "worked_cascade", "worked_single_variable"])
 def test_queries_on_many_vectors(spark, monkeypatch, tmp_path, name):
     """14,000 vectors have more blocks than series: no matrix of blocks, and the same rows as from these."""
     import __spark_entry__ as entry
