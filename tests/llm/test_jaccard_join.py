@@ -159,3 +159,43 @@ def test_components(spark):
     want = sorted((x, find(x)) for x in label)
     assert sorted(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edges_of_a_large_group_are_few(spark, monkeypatch):
+    """Near copies meet in most of their buckets; what is handed on connects each of them few times, and as brute force does."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        own = list(words)
+        own[rng.integers(120)] = f"x{i}"
+        texts.append(" ".join(own))
+    seen, plain = [], jj.connected_components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(jj, "connected_components", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jj.near_duplicates(docs).collect()
+    assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {299}
+    assert len(seen) == 2 and max(seen) <= 300
+
+
+def test_forest_connects_the_same():
+    rng = np.random.default_rng(12)
+    for n, m in ((1, 0), (50, 20), (50, 60), (2000, 1999)):
+        a, b = (rng.integers(0, n, m), rng.integers(0, n, m)) if m != 1999 else (rng.permutation(2000)[:-1], None)
+        if b is None:  # a chain in any order
+            order = rng.permutation(2000)
+            a, b = order[:-1], order[1:]
+        label = list(range(n))
+        for _ in range(n):
+            before = list(label)
+            for x, y in zip(a, b):
+                label[x] = label[y] = min(label[x], label[y])
+            if label == before:
+                break
+        x, root = jj.forest(a, b)
+        assert {(int(i), int(r)) for i, r in zip(x, root)} == {(i, r) for i, r in enumerate(label) if i != r}

@@ -204,12 +204,79 @@ def _sketches(shingle: int, bands: int, rows: int, seed: int):
     return run
 
 
+#: Edges that a task holds to leave out those that connect nothing new.
+HELD_EDGES = 1 << 18
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same nodes as (a, b) do: one from each node to the least that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        u, v = label[x], label[y]
+        apart = u != v
+        if not apart.any():
+            joined = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[joined], nodes[label[joined]]
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+class Forest:
+    """Edges of a task, reduced to a forest whenever HELD_EDGES have come; what a forest of many nodes still holds is given away."""
+
+    def __init__(self):
+        self.a, self.b, self.n = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        self.a.append(a)
+        self.b.append(b)
+        self.n += len(a)
+        if self.n < HELD_EDGES:
+            return None
+        a, b = self.rest()
+        if len(a) > HELD_EDGES // 2:
+            return a, b
+        self.a, self.b, self.n = [a], [b], len(a)
+        return None
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        found = forest(np.concatenate([none, *self.a]), np.concatenate([none, *self.b]))
+        self.a, self.b, self.n = [], [], 0
+        return found
+
+
+#: Tasks whose forests meet in one.
+MERGED_TASKS = 16
+
+
+def _forests(batches):
+    """Edges (a, b) -> a forest of them."""
+    import pyarrow as pa
+
+    held, rows = Forest(), lambda found: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+    for batch in batches:
+        if (found := held.add(*(batch.column(k).to_numpy() for k in range(2)))) is not None:
+            yield rows(found)
+    yield rows(held.rest())
+
+
+def _merged(edges: DataFrame) -> DataFrame:
+    """Written edges (a, b), of which those are left out that connect nothing new among MERGED_TASKS tasks."""
+    return edges.coalesce(-(-edges.rdd.getNumPartitions() // MERGED_TASKS)).mapInArrow(_forests, "a long, b long").distinct()
+
+
 def _compare_buckets(width: int, plan):
-    """Rows (bucket, i, j, cid, sig), whole groups by (bucket, i, j) -> edges from each member to the least of its part."""
+    """Rows (bucket, i, j, cid, sig), whole groups by (bucket, i, j) -> edges from each member to the least of its part, less those that connect nothing new within a task."""
 
     def run(batches):
         import pyarrow as pa
 
+        held, rows = Forest(), lambda found: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
         for t in whole_groups(batches, ["bucket", "i", "j"]):
             cid = t["cid"].to_numpy()
             sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, width)
@@ -224,7 +291,9 @@ def _compare_buckets(width: int, plan):
                 joined = np.flatnonzero(root != np.arange(hi - lo))
                 a.append(cid[lo:hi][joined])
                 b.append(cid[lo:hi][root[joined]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+            if (found := held.add(np.concatenate(a), np.concatenate(b))) is not None:
+                yield rows(found)
+        yield rows(held.rest())
 
     return run
 
@@ -252,11 +321,13 @@ def linked_pairs(sets: list[np.ndarray], threshold: float, left: np.ndarray, rig
 
 
 def _verify(threshold: float):
-    """Rows (comp, i, j, block, cid, copies, hashes) -> (cid, links, root), a row for each member of each pair of blocks."""
+    """Rows (comp, i, j, block, cid, copies, hashes) -> (cid, links, null), a row for each member of each pair of blocks, and (cid, 0, root) for a forest of the links."""
 
     def run(batches):
         import pyarrow as pa
 
+        held, rows = Forest(), lambda *found: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["cid", "links", "root"])
+        edges = lambda found: rows(found[0], np.zeros(len(found[0]), np.int64), found[1])
         for t in whole_groups(batches, ["comp", "i", "j"]):
             cid, copies, block = (t[k].to_numpy() for k in ("cid", "copies", "block"))
             blobs = t["hashes"].to_pylist()
@@ -282,7 +353,11 @@ def _verify(threshold: float):
                     if len(found) > 1:
                         label[np.isin(label, found)] = found[0]
                 root[lo:hi] = cid[lo:hi][label]
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(links), pa.array(root)], ["cid", "links", "root"])
+            yield rows(cid, links, [None] * len(cid))
+            joined = cid != root
+            if (found := held.add(cid[joined], root[joined])) is not None:
+                yield edges(found)
+        yield edges(held.rest())
 
     return run
 
@@ -391,8 +466,8 @@ def _near(docs: DataFrame, shingle: int, threshold: float, bands: int, rows_in_b
     shared = shared.join(classes.select("cid", "sig"), "cid").select("cid", "sig", F.explode("shared").alias("s")).select("cid", "sig", "s.bucket", "s.size")
     _, pairs = _blocks(F.ceil(F.col("size") / F.lit(bucket_block)).cast("int"), "cid")
     dealt = shared.select("bucket", F.explode(pairs).alias("pair"), "cid", "sig").select("bucket", "pair.i", "pair.j", "cid", "sig")
-    edges = cut(_dealt(dealt, "bucket", parts).mapInArrow(_compare_buckets(width, plan), "a long, b long").distinct())
-    groups = connected_components(edges)
+    edges = cut(_dealt(dealt, "bucket", parts).mapInArrow(_compare_buckets(width, plan), "a long, b long"))
+    groups = connected_components(_merged(edges))
     members = groups.withColumnsRenamed({"node": "cid", "component": "comp"}).join(classes.select("cid", "k1", "k2", "n", "set_id", "set_mark", "copies"), "cid")
     members = cut(members)
     # A block has at most group_block sets on average, fewer where pairs of blocks would not go round all partitions, and about group_bytes of hashes unless one set alone has more.
@@ -422,7 +497,7 @@ def _near(docs: DataFrame, shingle: int, threshold: float, bands: int, rows_in_b
     units = hashed.select("comp", F.explode(pairs).alias("pair"), block.alias("block"), "cid", "copies", "hashes").select("comp", "pair.i", "pair.j", "block", "cid", "copies", "hashes")
     verified = _dealt(units, "comp", parts).mapInArrow(_verify(threshold), "cid long, links long, root long")
     verified = cut(verified if by_pair is None else verified.unionByName(by_pair))
-    final = connected_components(verified.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    final = connected_components(_merged(verified.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))))
     links = verified.groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.select("cid", "k1", "k2", "set_id", "set_mark", "copies").join(links, "cid", "left").join(final.withColumnRenamed("node", "cid"), "cid", "left")
     known = known.withColumn("component", F.coalesce("component", "cid"))
