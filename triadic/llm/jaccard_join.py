@@ -267,7 +267,7 @@ def _forests(batches):
 
 def _merged(edges: DataFrame) -> DataFrame:
     """Written edges (a, b), of which those are left out that connect nothing new among MERGED_TASKS tasks."""
-    return edges.coalesce(-(-edges.rdd.getNumPartitions() // MERGED_TASKS)).mapInArrow(_forests, "a long, b long").distinct()
+    return edges.coalesce(max(1, -(-edges.rdd.getNumPartitions() // MERGED_TASKS))).mapInArrow(_forests, "a long, b long").distinct()
 
 
 def _compare_buckets(width: int, plan):
