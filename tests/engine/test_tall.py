@@ -70,6 +70,31 @@ def test_long_records_make_no_matrix_of_blocks(spark):
     assert len(got) == 4 and all(len(r.a_re) == 20_000 and r.l_abs > 0 for r in got)
 
 
+def test_the_field_is_packed_once(spark, monkeypatch):
+    """Both passes over the chunks of blocks start from kept spectra, without copies for slices; forget() gives them back."""
+    monkeypatch.setattr(tall, "MOST_BLOCKS", 50)
+    config = FitConfig(n_dft=18, time_step=0.25, n_overlap=16, max_freq_idx=2)
+    read = spark.sparkContext.accumulator(0)
+    field = arrays.from_array(spark, np.ascontiguousarray(DATA[:, :5, :1]), 1, 1)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    n = field.count()
+    result = fit(field.mapInArrow(counted, field.schema), config)
+    assert read.value == n  # the check of the field
+    rows = rows_of(result)
+    assert len(rows) == result.n_triads and all(len(r.a_re) == result.n_blocks for r in rows)
+    assert read.value == 2 * n
+    solved, spectra = result.inner
+    assert spectra.storageLevel.useDisk and not spectra.storageLevel.useMemory
+    assert spectra.count() == -(-5 // config.points(230, 1)) * -(-result.n_blocks // tall.blocks_of_chunk(config, 5, 1, 5))
+    result.forget()
+    assert not spectra.storageLevel.useDisk and not solved.storageLevel.useMemory
+
+
 @pytest.mark.parametrize("name", ["embedding_radius_few_blocks", "worked_cascade", "worked_single_variable"])
 def test_queries_on_many_vectors(spark, monkeypatch, tmp_path, name):
     """14,000 vectors have more blocks than series: no matrix of blocks, and the same rows as from these."""

@@ -510,7 +510,7 @@ def fit(field: DataFrame, config: FitConfig, weights=None, xshape: tuple[int, ..
         rows = rows.unionByName(own.mapInArrow(_pack_weights(points, by_variable), _PACKED))
     if tall.applies(config, nt, nx):
         solved, inner = tall.solve(rows, config, table, (nt, nx, nv), weights is not None, keep)
-        return _reported(FitResult(config, (nt, nx, nv), solved.persist() if keep else solved, field, None, weights, name, xshape, (inner,)))
+        return _reported(FitResult(config, (nt, nx, nv), solved.persist() if keep else solved, field, None, weights, name, xshape, inner))
     at = rows.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.col("chunk") * slices + s))).drop("chunk")
     parts = at.repartitionById(n_chunks * slices, "at").groupBy("at").applyInArrow(_partials(config, table, nt, nv, slices, weights is not None), _PART)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # fixed: the solver is work for processors, whatever the bytes

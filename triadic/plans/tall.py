@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +45,15 @@ def blocks_of_chunk(config: FitConfig, nx: int, nv: int, n_freqs: int) -> int:
     return max(4 * nx * config.n_states, CHUNK_NUMBERS // (n_freqs * nx * nv))
 
 
-def _spectra(config: FitConfig, freqs: np.ndarray, nt: int, nv: int, per: int, slices: int, weighted: bool):
-    """A chunk of points -> its spectra (frequencies, points, nv, blocks) by chunk of blocks, a copy for each slice of triads."""
+def _spectra(config: FitConfig, freqs: np.ndarray, nt: int, nv: int, per: int, weighted: bool):
+    """A chunk of points -> its spectra (frequencies, points, nv, blocks) by chunk of blocks."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points, series, w = _held(batches, config, nt, nv, weighted)
         half = HalfSpectrum(series, config, freqs).half
         for at in range(0, half.shape[-1], per):
-            x = np.ascontiguousarray(half[..., at : at + per]).tobytes()
-            for s in range(slices):
-                row = at // per * slices + s, points.astype(np.int64).tobytes(), w.tobytes() if weighted else None, x
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([c], pa.binary()) for c in row[1:])], ["at", "p", "w", "x"])
+            row = at // per, points.astype(np.int64).tobytes(), w.tobytes() if weighted else None, np.ascontiguousarray(half[..., at : at + per]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([c], pa.binary()) for c in row[1:])], ["at", "p", "w", "x"])
 
     return run
 
@@ -200,15 +199,18 @@ def _arrow(ddl: str):
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def solve(rows: DataFrame, config: FitConfig, table: dict[str, np.ndarray], shape: tuple[int, int, int], weighted: bool, keep: bool) -> tuple[DataFrame, DataFrame]:
-    """Packed chunks of points, with their weights -> (solved triads as every fit has them, those without coefficients, which are kept if asked for)."""
+def solve(rows: DataFrame, config: FitConfig, table: dict[str, np.ndarray], shape: tuple[int, int, int], weighted: bool, keep: bool) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Packed chunks of points, with their weights -> (solved triads as every fit has them, what is kept for them if asked for: triads without coefficients, and spectra)."""
     spark, (nt, nx, nv) = rows.sparkSession, shape
     freqs, n, n_triads = np.concatenate([table[c] for c in ("k", "l", "kl")]), config.blocks(nt), len(table["k"])
     per = blocks_of_chunk(config, nx, nv, len(np.unique(np.abs(freqs))))
-    n_chunks, n_parts = -(-nx // config.points(nt, nv)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_chunks, n_parts = -(-nx // config.points(nt, nv)), min(n_triads, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunks = -(-n // per)
-    slices = max(1, min(-(-2 * spark.sparkContext.defaultParallelism // chunks), -(-n_triads // 4)))
-    pieces = rows.repartitionById(n_chunks, "chunk").groupBy("chunk").applyInArrow(_spectra(config, freqs, nt, nv, per, slices, weighted), _PIECE)
+    slices = max(1, min(-(-spark.sparkContext.defaultParallelism // chunks), -(-n_triads // 4)))
+    spectra = rows.repartitionById(n_chunks, "chunk").groupBy("chunk").applyInArrow(_spectra(config, freqs, nt, nv, per, weighted), _PIECE)
+    if keep:  # both passes read them, so the field is packed and shuffled once; on disk, as they can be larger than it
+        spectra = spectra.persist(StorageLevel.DISK_ONLY)
+    pieces = spectra.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.col("at") * slices + s)))
     factors = pieces.repartitionById(chunks * slices, "at").groupBy("at").applyInArrow(_factors(config, table, freqs, nv, slices), _FACTOR)
     ordered = factors.repartition(n_parts, "triad_idx").sortWithinPartitions("triad_idx", "chunk")
     solved = ordered.mapInArrow(_solve(config, table, n), _TRIAD)
@@ -220,4 +222,4 @@ def solve(rows: DataFrame, config: FitConfig, table: dict[str, np.ndarray], shap
     names = [c for c in solved.columns if c != "y"]
     every = solved.select(F.lit(-1).alias("chunk"), *names).unionByName(shares, allowMissingColumns=True)
     whole = every.repartition(n_parts, "triad_idx").sortWithinPartitions("triad_idx", "chunk")
-    return whole.mapInArrow(_assemble(names, n), _SOLVED), solved
+    return whole.mapInArrow(_assemble(names, n), _SOLVED), (solved, spectra)
